@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import mix_sources
+from .simhash import near_duplicates
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +50,7 @@ FROM e
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_mixing": op9_mixing}
+    return {"op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
