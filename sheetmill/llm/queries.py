@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .language_id import identify
 from .mixing import mix_sources
 from .simhash import near_duplicates
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ FROM e
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
+    return {"op7_language_id": op7_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
