@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .language_id import identify
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .simhash import near_duplicates
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -55,7 +61,7 @@ FROM e
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_language_id": op7_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
+    return {"op1_line_dedup": op1_line_dedup, "op7_language_id": op7_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
