@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import cut, slices
 
 MIN_CHARS = 12
+#: Wanted lines (id and line number: about 16 bytes each) up to which they are broadcast to the
+#: texts; beyond it texts and lines are shuffled by document.
+BROADCAST_LINES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_BASE, -1, 1 << 64))
 
@@ -76,7 +79,12 @@ def _lines(min_chars: int):
     return run
 
 
-def neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray]:
+#: What a line emits: deletions from its second half, from its first half, itself, and deletions
+#: that a shorter line may equal.
+SECOND, FIRST, WHOLE, SHORTER = 1, 2, 4, 8
+
+
+def neighbourhood(line: str, emit: int = SECOND | FIRST | WHOLE | SHORTER) -> tuple[np.ndarray, np.ndarray]:
     """Hashed keys of a line and its single deletions, and their kinds: 0 a deletion with its
     position (lines of equal length that differ there share it), 1 a deletion as a shorter line,
     2 the line itself (which 1 of a longer line meets)."""
@@ -93,9 +101,12 @@ def neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray]:
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(32))
 
-    shorter = np.unique(keyed(less, n - 1, -1))
-    keys = np.concatenate((keyed(less, n, np.arange(n)), shorter, keyed(before[-1:], n, -1)))
-    return keys.view(np.int64), np.repeat(np.array([0, 1, 2], np.int8), [n, len(shorter), 1])
+    at = np.arange(n if emit & SECOND else n // 2)[0 if emit & FIRST else n // 2 :]
+    equal = keyed(less[at], n, at) if emit & (SECOND | FIRST) else at[:0].astype(np.uint64)
+    shorter = np.unique(keyed(less, n - 1, -1)) if emit & SHORTER else equal[:0]
+    whole = keyed(before[-1:], n, -1) if emit & WHOLE else equal[:0]
+    kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(equal), len(shorter), len(whole)])
+    return np.concatenate((equal, shorter, whole)).view(np.int64), kinds
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +114,9 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, kinds, row, number = [], [], [], []
         for i, (text, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
             lines = (text or "").split("\n")
-            for j in wanted:
+            for j, emit in sorted({(w["line"], w["emit"]) for w in wanted}):
                 if j < len(lines):
-                    found = neighbourhood(lines[j].strip())
+                    found = neighbourhood(lines[j].strip(), emit)
                     keys.append(found[0])
                     kinds.append(found[1])
                     row.append(np.full(len(found[0]), i))
@@ -131,6 +142,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(number, pa.int32()), pa.array(found)], names=["doc_id", "line", "found"])
 
 
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        near = [within_one_edit(a, b) for a, b in zip(batch.column("left").to_pylist(), batch.column("found").to_pylist(), strict=True)]
+        yield batch.select(["doc_id", "line"]).filter(pa.array(near, pa.bool_()))
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         texts, counts, gone = [], [], []
@@ -155,14 +172,30 @@ def near_partners(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
     ``firsts``: ``doc_id, line, low, k0..k3`` of each distinct line's first occurrence."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    halves = firsts.where("k0 != 0").select("doc_id", "line", "low", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a != b").select("half")
+    halves = firsts.where("k0 != 0").select("doc_id", "line", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("side", "half"))
+    shared = (
+        halves.groupBy("half")
+        .agg(F.count(F.when(F.col("side") < 2, 1)).alias("own"), F.count(F.when(F.col("side") > 1, 1)).alias("longer"))
+        .where("own > 1 or (own = 1 and longer > 0)")
+    )
+    part = F.when(F.col("side") > 1, F.lit(SHORTER)).otherwise(
+        F.when(F.col("own") > 1, F.when(F.col("side") == 0, F.lit(SECOND)).otherwise(F.lit(FIRST))).otherwise(F.lit(0))
+        .bitwiseOR(F.when(F.col("longer") > 0, F.lit(WHOLE)).otherwise(F.lit(0)))
+    )
     wanted = cut(
-        halves.join(shared, "half").groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_set("line").alias("wanted"))
+        halves.join(shared, "half")
+        .groupBy("doc_id", "line")
+        .agg(F.bit_or(part).alias("emit"))
+        .groupBy(F.col("doc_id").alias("w_id"))
+        .agg(F.collect_list(F.struct("line", "emit")).alias("wanted"))
     )
     texts = docs.select("doc_id", "text")
 
     def pick(wanted: DataFrame, make, schema: str) -> DataFrame:
+        """What ``make`` finds in the wanted lines of the texts; few lines go to the texts, not
+        the texts to the lines."""
+        few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
+        wanted = F.broadcast(wanted) if few else wanted
         return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("doc_id", "text", "wanted").mapInArrow(make, schema)
 
     variants = pick(wanted, _variants, f"key long, kind byte, doc_id {kind}, line int").withColumn("at", F.struct("doc_id", "line"))
@@ -188,14 +221,15 @@ def near_partners(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         .select("doc_id", "line", F.col("other.doc_id").alias("o_id"), F.col("other.line").alias("o_line"))
     )
     named = pairs.select("doc_id", "line").union(pairs.select("o_id", "o_line")).distinct()
-    found = pick(named.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list("line").alias("wanted")), _texts, f"doc_id {kind}, line int, found string").distinct()
+    named = cut(named.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list("line").alias("wanted")))
+    found = pick(named, _texts, f"doc_id {kind}, line int, found string").distinct()
     found = cut(found.select(F.col("doc_id").alias("f_id"), F.col("line").alias("f_line"), "found"))
     both = (
         pairs.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("line") == F.col("f_line")))
         .select("doc_id", "line", "o_id", "o_line", F.col("found").alias("left"))
         .join(found, F.col("o_id").eqNullSafe(F.col("f_id")) & (F.col("o_line") == F.col("f_line")))
     )
-    return both.where(F.levenshtein("left", "found", 1) >= 0).select("doc_id", "line").distinct()
+    return both.select("doc_id", "line", "left", "found").mapInArrow(_verify, f"doc_id {kind}, line int").distinct()
 
 
 def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Line deduplication against brute force."""
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -36,7 +37,9 @@ def brute(docs, min_chars):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [1 << 20, -1])
+def test_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(D, "BROADCAST_LINES", broadcast)
     rng = np.random.default_rng(4)
     alphabet = np.array(list("abcdé ö"))
     base = ["".join(rng.choice(alphabet, rng.integers(9, 30))) for _ in range(40)]
