@@ -1,14 +1,15 @@
 """Token ids of texts by a public tokenizer file, with each distinct word encoded once.
 
-The tokenizers library splits a normalised text into words and encodes each word for itself.  The
-same split is made here with the same pattern, and the library encodes only words that a bounded
-memo does not hold; a test holds the ids against the library's own for whole texts.
+The tokenizers library splits a normalised text into words and encodes each word for itself.  Here
+a text is cut at single spaces, where a word always begins, and the library's model encodes only
+those parts that a bounded memo does not hold; a test holds the ids against the library's own for
+whole texts.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterable
+from array import array
 from functools import cache
 
 import numpy as np
@@ -16,59 +17,94 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-#: Words that a worker remembers; beyond that it starts anew.
-MEMO = 400_000
+#: Parts of texts that a worker remembers; beyond that it starts anew.
+MEMO = 500_000
 
 # The word patterns that the tokenizer files name or imply.
 BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+MARKS = frozenset(".,;:!?")
+
+
+def _byte_characters() -> list[str]:
+    """The printable character that stands for each byte in the files' vocabularies."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
 class Encoder:
-    """``file``: a tokenizer file's name.  Strings of special tokens in a text are ordinary text."""
+    """Strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, file: str, pattern: str, normal: Callable[[str], str] | None = None):
+    def __init__(self, file: str, pattern: str):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
-        self.normal = normal
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)
+        self.words = regex.compile(pattern).findall
+        self.shown = str.maketrans(dict(enumerate(_byte_characters())))
         self.memo: dict[str, bytes] = {}
 
-    def _learn(self, words: Iterable[str]) -> None:
-        new = list(words)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(found.ids, "<u2").tobytes()
+    def _word(self, word: str) -> bytes:
+        shown = word.encode("utf-8", "replace").decode("latin-1").translate(self.shown)
+        return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _ids(self, part: str) -> bytes:
+        return b"".join(map(self._word, self.words(part)))
+
+    def _known(self, parts: list[str], lead: str) -> bytes:
+        """The ids of parts that each follow ``lead``."""
+        memo = self.memo
+        try:
+            return b"".join(map(memo.__getitem__, parts))
+        except KeyError:
+            if len(memo) > MEMO:
+                memo.clear()
+            for part in set(parts).difference(memo):
+                word, mark = part[:-1], part[-1:]
+                if part.isalpha():  # one word; and letters before a mark are one too
+                    memo[part] = self._word(lead + part)
+                elif mark in MARKS and word.isalpha():
+                    if word not in memo:
+                        memo[word] = self._word(lead + word)
+                    memo[part] = memo[word] + self._word(mark)
+                else:
+                    memo[part] = self._ids(lead + part)
+            return b"".join(map(memo.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 16-bit integers."""
-        out = []
-        for text in texts:
-            words = self.split(self.normal(text) if self.normal else text)
-            try:
-                found = b"".join(map(self.memo.__getitem__, words))
-            except KeyError:
-                unknown = set(words).difference(self.memo)
-                if len(self.memo) + len(unknown) > MEMO:
-                    unknown = set(words)
-                self._learn(unknown)
-                found = b"".join(map(self.memo.__getitem__, words))
-            out.append(np.frombuffer(found, "<u2"))
-        return out
+        return [np.frombuffer(self._encode(t), np.uint16) for t in texts]
 
 
+class ByteEncoder(Encoder):
+    odd_space = regex.compile(r" (?:\s|$)").search
 
-@cache
-def byte_encoder(file: str = "byte_bpe_50k.json") -> Encoder:
-    return Encoder(file, BYTE_WORDS)
+    def _encode(self, text: str) -> bytes:
+        if ByteEncoder.odd_space(text):  # some space does not begin a word
+            return self._ids(text)
+        first, *rest = text.split(" ")
+        return self._ids(first) + self._known(rest, " ")
+
+
+class WordEncoder(Encoder):
+    def _encode(self, text: str) -> bytes:
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text)
+            # One code point at a time, as the library lowers: no final sigma.
+            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return self._known(text.split(" "), "")
 
 
-def _lower(text: str) -> str:
-    # One code point at a time, as the library lowers: no final sigma.
-    return text.lower() if text.isascii() or "Σ" not in text else "".join(c.lower() for c in text)
+@cache
+def byte_encoder(file: str = "byte_bpe_50k.json") -> Encoder:
+    return ByteEncoder(file, BYTE_WORDS)
 
 
 @cache
 def word_encoder(file: str = "word_bpe_49k.json") -> Encoder:
-    return Encoder(file, WORD_WORDS, lambda text: _lower(text if text.isascii() else unicodedata.normalize("NFC", text)))
+    return WordEncoder(file, WORD_WORDS)
