@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import shared_dir, table
 from .language_id import identify
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .simhash import near_duplicates
+from .token_files import read_tokens, write_tokens
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), folder))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -66,7 +73,7 @@ FROM e
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op7_language_id": op7_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
+    return {"op1_line_dedup": op1_line_dedup, "op4_token_files": op4_token_files, "op7_language_id": op7_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
