@@ -114,9 +114,10 @@ def mix_sources(
 
 def mixed_documents(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """The mix itself, in the columns of ``docs``: one row for each epoch in which a document is
-    taken whole, and one with its first words where the budget cuts it."""
+    taken whole, and one with its first words where the budget cuts it.  A document without a
+    word adds nothing to a mix and has no row."""
     others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
-    mixed = mix_sources(docs, weights=weights, cap=cap, keep=["text", *others])
+    mixed = mix_sources(docs, weights=weights, cap=cap, keep=["text", *others]).where("size > 0")
     # A part ends where a word ends, so that the first k parts hold the first k words.
     parts = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     first = F.array_join(F.slice(parts, F.lit(1), F.col("cut_words").cast("int")), "")
