@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_files import read_tokens, write_tokens
 
 
@@ -21,6 +22,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), folder))
@@ -73,7 +78,7 @@ FROM e
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op4_token_files": op4_token_files, "op7_language_id": op7_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
+    return {"op1_line_dedup": op1_line_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op4_token_files": op4_token_files, "op7_language_id": op7_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
