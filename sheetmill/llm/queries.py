@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import shared_dir, table
 from .embeddings import near_vectors
 from .fingerprints import compare_versions
+from .html_extraction import extract_main_text
 from .language_id import identify
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
@@ -37,6 +38,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), folder))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -88,7 +93,7 @@ FROM e
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_fingerprints": op3_fingerprints, "op4_token_files": op4_token_files, "op6_embedding_dedup": op6_embedding_dedup, "op7_language_id": op7_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
+    return {"op1_line_dedup": op1_line_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_fingerprints": op3_fingerprints, "op4_token_files": op4_token_files, "op5_html_extraction": op5_html_extraction, "op6_embedding_dedup": op6_embedding_dedup, "op7_language_id": op7_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
