@@ -62,7 +62,7 @@ def utf8_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``most_bytes`` of text, and a longer text alone."""
     for batch in batches:
         if not batch.num_rows:

@@ -18,7 +18,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Parts of texts that a worker remembers; beyond that it starts anew.
-MEMO = 500_000
+MEMO = 400_000
 
 # The word patterns that the tokenizer files name or imply.
 BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
