@@ -6,14 +6,14 @@ a string repeats, so does an anchor inside it: of each window of substring hashe
 own first window, and equal strings belong to equal anchors at equal distances.
 
 1. Anchors are counted; starts whose anchor occurs once are done: nothing equals them.
-2. The others send, for each anchor, the stretch of text that their starts cover.  Equal stretches
-   collapse before they are shuffled, which is all that remains of a group of copies; a stretch
-   that occurs twice needs no comparison.
-3. The distinct stretches of equal anchors meet in one task, which builds a suffix array of them in
-   two stages: suffixes smaller than their successors are sorted directly, the others are
-   induced by scanning the buckets; adjacent common prefixes of ``length`` mark repeats.  An anchor with
-   very many different stretches is first split by its starts' distance, so that what its
-   stretches share collapses again.
+2. The others belong to stretches: the text that the starts of one anchor cover.  Digests of the stretches
+   are counted; one that occurs twice repeats as a whole, and so a group of copies collapses to
+   one digest with a count.
+3. Where an anchor has different stretches, one of each goes, with its bytes, to the task of that
+   anchor, which builds a suffix array of them in two stages: suffixes smaller than their successors
+   are sorted directly, the others are induced by scanning the buckets; adjacent common prefixes of
+   ``length`` mark repeats.  An anchor that is very frequent is first split by its starts'
+   distance, so that what its stretches share collapses again.
 4. The marked starts go back to their documents, whose bytes are cut.
 """
 
@@ -33,7 +33,7 @@ from .common import slices, utf8_buffer
 
 LENGTH = 400
 #: Bytes of a hashed substring; a window holds LENGTH - GRAM + 1 of them.
-GRAM = 32
+GRAM = 96
 #: Different stretches of an anchor from which they are split by distance, and starts of a part.
 HOT, PART = 2_000, 64
 #: Text of a suffix array that one call builds, about, and starts whose anchors are found at once.
@@ -172,10 +172,9 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     unsure = np.flatnonzero(changed & ~is_last)
     for i in unsure.tolist():
         place[i] = i + w - 1 - int(np.argmin(x[i : i + w][::-1]))
-    known = np.flatnonzero(place >= 0)
-    filled = place[known[np.searchsorted(known, np.arange(m), "right") - 1]]
-    # An equal minimum that has left the window is replaced by the next equal one, which is_last saw.
-    return filled
+    # An equal minimum that has left the window is replaced by the next equal one, which is_last saw;
+    # places never go back.
+    return np.maximum.accumulate(place)
 
 
 def anchors(data: np.ndarray, edges: np.ndarray, length: int, gram: int, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, ...]]:
@@ -188,8 +187,14 @@ def anchors(data: np.ndarray, edges: np.ndarray, length: int, gram: int, chunk:
         hashes = _gram_hashes(part, gram)
         place = _sliding_least(hashes, length - gram + 1)
         m = len(place)
-        text = np.searchsorted(edges, np.arange(a, a + m), "right") - 1
-        valid = np.arange(a + length, a + m + length) <= edges[text + 1]
+        # The last starts of a text would run over its end.
+        low, high = np.searchsorted(edges, [a, a + m + length], "right")
+        ends = edges[low : min(high + 1, len(edges))]
+        begins = np.maximum(edges[low - 1 : low - 1 + len(ends)], ends - length + 1)
+        change = np.zeros(m + 1, np.int32)
+        np.add.at(change, np.clip(begins - a, 0, m), 1)
+        np.add.at(change, np.clip(ends - a, 0, m), -1)
+        valid = np.cumsum(change[:-1]) == 0
         new = valid.copy()
         new[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
         first = np.flatnonzero(new)
@@ -197,7 +202,8 @@ def anchors(data: np.ndarray, edges: np.ndarray, length: int, gram: int, chunk:
             continue
         stop = np.flatnonzero(np.concatenate((valid[:-1] & ~valid[1:], valid[-1:]))) + 1
         end = np.minimum(np.concatenate((first[1:], [m])), stop[np.searchsorted(stop, first, "right")])
-        text, base = text[first], a - edges[text[first]]
+        text = np.searchsorted(edges, first + a, "right") - 1
+        base = a - edges[text]
         yield text, hashes[place[first]].view(np.int64), place[first] + base, first + base, end + base
 
 
@@ -213,54 +219,61 @@ def _find_anchors(length: int, gram: int):
     return run
 
 
-def _stretches(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """Number of the row, key, digest, start and bytes of each wanted stretch."""
-    data, edges = utf8_buffer(batch.column("text"))
-    lists = batch.column("wanted")
-    offsets = lists.offsets.to_pylist()
-    fields = {f.name: lists.values.field(k).to_pylist() for k, f in enumerate(lists.type.value_type)}
-    for i, (low, high) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-        whole = data[edges[i] : edges[i + 1]].tobytes()
-        for k in range(low, high):
-            anchor, place, first, end = fields["anchor"][k], fields["place"][k], fields["first"][k], fields["end"][k]
-            while first < end:
-                key, stop = anchor, end
-                if fields["hot"][k]:
-                    # Parts of a hot anchor's stretch lie at fixed distances from the anchor.
-                    far = (place - first) // PART
-                    stop = min(end, place - far * PART + 1)
-                    key = xxhash.xxh3_64_intdigest(b"%d %d" % (anchor, far)) - (1 << 63)
-                part = whole[first : stop + length - 1]
-                yield i, key, xxhash.xxh3_128_intdigest(part, place - first), first, part
-                first = stop
-
-
-def _halves(digests: list[int]) -> tuple[pa.Array, pa.Array]:
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[list[int], dict[str, list]]:
+    """A column of lists of structs: the lists' edges, and each field of all their elements."""
+    lists = batch.column(name)
+    edges = lists.offsets.to_numpy()
+    flat = lists.flatten()
+    return (edges - edges[0]).tolist(), {f.name: flat.field(k).to_pylist() for k, f in enumerate(flat.type)}
+
+
+def _numbers(digests: list[int]) -> tuple[pa.Array, pa.Array]:
     low = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64)
     return pa.array(np.array([d >> 64 for d in digests], np.uint64).view(np.int64)), pa.array(low)
 
 
-def _distinct_stretches(length: int):
+def _digest_stretches(length: int):
+    """Key, digest, row, first start and number of starts of each wanted stretch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK):
-            found: dict[tuple[int, int], list] = {}
-            for _, key, digest, _, part in _stretches(batch, length):
-                found.setdefault((key, digest), [0, part])[0] += 1
+            data, text_edges = utf8_buffer(batch.column("text"))
+            edges, fields = _lists(batch, "wanted")
+            rows, keys, digests, starts, counts = [], [], [], [], []
+            for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                whole = data[text_edges[i] : text_edges[i + 1]].tobytes()
+                for anchor, place, first, end, hot in zip(*(fields[f][low:high] for f in ("anchor", "place", "first", "end", "hot")), strict=True):
+                    while first < end:
+                        key, stop = anchor, end
+                        if hot:  # parts of a hot anchor's stretch lie at fixed distances from the anchor
+                            far = (place - first) // PART
+                            stop = min(end, place - far * PART + 1)
+                            key = xxhash.xxh3_64_intdigest(b"%d %d" % (anchor, far)) - (1 << 63)
+                        rows.append(i)
+                        keys.append(key)
+                        digests.append(xxhash.xxh3_128_intdigest(whole[first : stop + length - 1], place - first))
+                        starts.append(first)
+                        counts.append(stop - first)
+                        first = stop
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in found], pa.int64()), *_halves([d for _, d in found]), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([p for _, p in found.values()], pa.binary())],
-                names=["key", "d1", "d2", "n", "part"],
+                [pa.array(keys, pa.int64()), *_numbers(digests), batch.column("row").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())],
+                names=["key", "d1", "d2", "row", "start", "starts"],
             )
 
     return run
 
 
-def _placed_stretches(length: int):
+def _take_bytes(length: int):
+    """Wanted stretches with their bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK):
-            rows = [(i, key, digest, first) for i, key, digest, first, _ in _stretches(batch, length)]
+            data, text_edges = utf8_buffer(batch.column("text"))
+            edges, fields = _lists(batch, "wanted")
+            base = np.repeat(text_edges[:-1], np.diff(edges)).tolist()
+            parts = [data[b + a : b + a + n + length - 1].tobytes() for b, a, n in zip(base, fields["start"], fields["starts"], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[1] for r in rows], pa.int64()), *_halves([r[2] for r in rows]), batch.column("row").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[3] for r in rows], pa.int32())],
-                names=["key", "d1", "d2", "row", "start"],
+                [*(pa.array(fields[f], pa.int64()) for f in ("key", "d1", "d2")), pa.array(parts, pa.binary())], names=["key", "d1", "d2", "part"]
             )
 
     return run
@@ -269,30 +282,24 @@ def _placed_stretches(length: int):
 def _compare(length: int):
     """Distinct stretches, sorted by key: which starts of each repeat in another of its key."""
 
-    def of(held: list[tuple[int, int, int, bytes, int]]) -> pa.RecordBatch:
-        keys = [h[0] for h in held]
-        # A stretch alone with its key has no other to be compared with.
-        met = [k for k in range(len(held)) if (k and keys[k - 1] == keys[k]) or keys[k] == (keys[k + 1] if k + 1 < len(held) else None)]
-        marks = dict(zip(met, repeated_starts([held[k][3] for k in met], length), strict=True))
+    def of(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         rows = []
-        for k, (key, d1, d2, part, n) in enumerate(held):
-            starts = len(part) - length + 1
-            if n > 1:
-                rows.append((key, d1, d2, [0], [starts]))
-            elif k in marks and (some := marks[k][:starts]).any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], some.astype(np.int8), [0]))))
+        for (key, d1, d2, part), marks in zip(held, repeated_starts([h[3] for h in held], length), strict=True):
+            marks = marks[: len(part) - length + 1]
+            if marks.any():
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0]))))
                 rows.append((key, d1, d2, edge[::2].tolist(), edge[1::2].tolist()))
         k, a, b, first, end = zip(*rows, strict=True) if rows else ([], [], [], [], [])
         return pa.RecordBatch.from_arrays(
-            [pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(first, pa.list_(pa.int32())), pa.array(end, pa.list_(pa.int32()))],
+            [*(pa.array(x, pa.int64()) for x in (k, a, b)), *(pa.array(x, pa.list_(pa.int32())) for x in (first, end))],
             names=["key", "d1", "d2", "firsts", "ends"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes, int]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "d1", "d2", "part", "n")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "d1", "d2", "part")), strict=True):
                 if size >= ARRAY_BYTES and row[0] != held[-1][0]:
                     yield of(held)
                     held, size = [], 0
@@ -356,18 +363,26 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     )
     # All three joins with the texts take the same columns, so that the texts are shuffled once.
     chosen = texts.join(wanted, F.col("row") == F.col("w_row")).select("doc_id", "row", "text", "wanted")
-    distinct = (
-        chosen.mapInArrow(_distinct_stretches(length), "key long, d1 long, d2 long, n long, part binary")
-        .groupBy("key", "d1", "d2")
-        .agg(F.sum("n").alias("n"), F.first("part").alias("part"))
+    placed = chosen.mapInArrow(_digest_stretches(length), "key long, d1 long, d2 long, row binary, start int, starts int")
+    digests = placed.groupBy("key", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "starts")).alias("at"))
+    different = digests.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
+    samples = (
+        digests.join(different, "key")
+        .groupBy(F.col("at.row").alias("w_row"))
+        .agg(F.collect_list(F.struct("key", "d1", "d2", "at.start", "at.starts")).alias("wanted"))
     )
-    marked = (
-        distinct.repartition("key")
+    compared = (
+        texts.join(samples, F.col("row") == F.col("w_row"))
+        .select("doc_id", "row", "text", "wanted")
+        .mapInArrow(_take_bytes(length), "key long, d1 long, d2 long, part binary")
+        .repartition("key")
         .sortWithinPartitions("key", "d1", "d2")
         .mapInArrow(_compare(length), "key long, d1 long, d2 long, firsts array<int>, ends array<int>")
     )
+    whole = digests.where("n > 1").select("key", "d1", "d2", F.array(F.lit(0)).alias("firsts"), F.array("at.starts").alias("ends"))
+    marked = whole.union(compared)
     spans = (
-        chosen.mapInArrow(_placed_stretches(length), "key long, d1 long, d2 long, row binary, start int")
+        placed.select("key", "d1", "d2", "row", "start")
         .join(marked, ["key", "d1", "d2"])
         .select("row", "start", F.explode(F.arrays_zip("firsts", "ends")).alias("m"))
         .select(F.col("row").alias("m_row"), F.struct((F.col("start") + F.col("m.firsts")).alias("a"), (F.col("start") + F.col("m.ends") + length - 1).alias("b")).alias("m"))
