@@ -5,15 +5,14 @@ a string repeats, so does an anchor inside it: of each window of substring hashe
 (the last of equals), which depends on the window's bytes alone.  So a start belongs to the anchor of its
 own first window, and equal strings belong to equal anchors at equal distances.
 
-1. Anchors are counted; starts whose anchor occurs once are done: nothing equals them.
-2. The others belong to stretches: the text that the starts of one anchor cover.  Digests of the stretches
-   are counted; one that occurs twice repeats as a whole, and so a group of copies collapses to
-   one digest with a count.
+1. Each anchor has a stretch: the text that its starts cover.  One pass emits the stretches' digests;
+   anchors are counted, and starts whose anchor occurs once are done: nothing equals them.
+2. A digest that occurs twice repeats as a whole, so a group of copies collapses to a count.
 3. Where an anchor has different stretches, one of each goes, with its bytes, to the task of that
    anchor, which builds a suffix array of them in two stages: suffixes smaller than their successors
    are sorted directly, the others are induced by scanning the buckets; adjacent common prefixes of
-   ``length`` mark repeats.  An anchor that is very frequent is first split by its starts'
-   distance, so that what its stretches share collapses again.
+   ``length`` mark repeats.  Where an anchor has very many different stretches, they are first
+   split by their starts' distance to it, so that what they share collapses again.
 4. The marked starts go back to their documents, whose bytes are cut.
 """
 
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8_buffer
+from .common import cut, slices, utf8_buffer
 
 LENGTH = 400
 #: Bytes of a hashed substring; a window holds LENGTH - GRAM + 1 of them.
@@ -207,13 +206,25 @@ def anchors(data: np.ndarray, edges: np.ndarray, length: int, gram: int, chunk:
         yield text, hashes[place[first]].view(np.int64), place[first] + base, first + base, end + base
 
 
+def _numbers(digests: list[int]) -> tuple[pa.Array, pa.Array]:
+    low = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64)
+    return pa.array(np.array([d >> 64 for d in digests], np.uint64).view(np.int64)), pa.array(low)
+
+
 def _find_anchors(length: int, gram: int):
+    """Anchor, its stretch's digest, row, place, first start and number of starts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK):
-            for text, hashes, *places in anchors(*utf8_buffer(batch.column("text")), length, gram):
+            data, edges = utf8_buffer(batch.column("text"))
+            whole = data.tobytes()
+            for text, hashes, place, first, end in anchors(data, edges, length, gram):
+                low = edges[text] + first
+                spans = zip(low.tolist(), (low + (end - first) + length - 1).tolist(), (place - first).tolist(), strict=True)
+                digests = [xxhash.xxh3_128_intdigest(whole[a:b], far) for a, b, far in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes), batch.column("row").take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in places)],
-                    names=["anchor", "row", "place", "first", "end"],
+                    [pa.array(hashes), *_numbers(digests), batch.column("row").take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (place, first, end - first))],
+                    names=["anchor", "d1", "d2", "row", "place", "start", "starts"],
                 )
 
     return run
@@ -227,84 +238,67 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[list[int], dict[str, list]
     return (edges - edges[0]).tolist(), {f.name: flat.field(k).to_pylist() for k, f in enumerate(flat.type)}
 
 
-def _numbers(digests: list[int]) -> tuple[pa.Array, pa.Array]:
-    low = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64)
-    return pa.array(np.array([d >> 64 for d in digests], np.uint64).view(np.int64)), pa.array(low)
-
-
-def _digest_stretches(length: int):
-    """Key, digest, row, first start and number of starts of each wanted stretch."""
+PARTS = "key long, p1 long, p2 long, anchor long, d1 long, d2 long, shift int, part binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", CHUNK):
-            data, text_edges = utf8_buffer(batch.column("text"))
-            edges, fields = _lists(batch, "wanted")
-            rows, keys, digests, starts, counts = [], [], [], [], []
-            for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                whole = data[text_edges[i] : text_edges[i + 1]].tobytes()
-                for anchor, place, first, end, hot in zip(*(fields[f][low:high] for f in ("anchor", "place", "first", "end", "hot")), strict=True):
-                    while first < end:
-                        key, stop = anchor, end
-                        if hot:  # parts of a hot anchor's stretch lie at fixed distances from the anchor
-                            far = (place - first) // PART
-                            stop = min(end, place - far * PART + 1)
-                            key = xxhash.xxh3_64_intdigest(b"%d %d" % (anchor, far)) - (1 << 63)
-                        rows.append(i)
-                        keys.append(key)
-                        digests.append(xxhash.xxh3_128_intdigest(whole[first : stop + length - 1], place - first))
-                        starts.append(first)
-                        counts.append(stop - first)
-                        first = stop
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), *_numbers(digests), batch.column("row").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())],
-                names=["key", "d1", "d2", "row", "start", "starts"],
-            )
-
-    return run
 
-
-def _take_bytes(length: int):
-    """Wanted stretches with their bytes."""
+def _take_parts(length: int, split: bool):
+    """Wanted stretches with their bytes, whole or ``split`` at fixed distances from the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK):
             data, text_edges = utf8_buffer(batch.column("text"))
+            whole = data.tobytes()
             edges, fields = _lists(batch, "wanted")
             base = np.repeat(text_edges[:-1], np.diff(edges)).tolist()
-            parts = [data[b + a : b + a + n + length - 1].tobytes() for b, a, n in zip(base, fields["start"], fields["starts"], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(fields[f], pa.int64()) for f in ("key", "d1", "d2")), pa.array(parts, pa.binary())], names=["key", "d1", "d2", "part"]
-            )
+            rows: list[tuple] = []
+            for b, anchor, d1, d2, place, start, starts in zip(base, *(fields[f] for f in ("anchor", "d1", "d2", "place", "start", "starts")), strict=True):
+                first, end = start, start + starts
+                while first < end:
+                    key, p1, p2, stop = anchor, d1, d2, end
+                    if split:
+                        far = (place - first) // PART
+                        stop = min(end, place - far * PART + 1)
+                        key = xxhash.xxh3_64_intdigest(b"%d %d" % (anchor, far)) - (1 << 63)
+                    part = whole[b + first : b + stop + length - 1]
+                    if split:
+                        digest = xxhash.xxh3_128_intdigest(part, place - first)
+                        p1, p2 = (digest >> 64) - (1 << 63), (digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                    rows.append((key, p1, p2, anchor, d1, d2, first - start, part))
+                    first = stop
+            if rows:
+                *numbers, shift, part = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x, pa.int64()) for x in numbers), pa.array(shift, pa.int32()), pa.array(part, pa.binary())],
+                    names=["key", "p1", "p2", "anchor", "d1", "d2", "shift", "part"],
+                )
 
     return run
 
 
 def _compare(length: int):
-    """Distinct stretches, sorted by key: which starts of each repeat in another of its key."""
+    """Distinct parts ``key, p1, p2, n, part`` sorted by key: their starts ``low <= start < high``
+    that repeat, in another of their key or because the part occurs ``n`` times."""
 
-    def of(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    def of(held: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
         rows = []
-        for (key, d1, d2, part), marks in zip(held, repeated_starts([h[3] for h in held], length), strict=True):
-            marks = marks[: len(part) - length + 1]
-            if marks.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0]))))
-                rows.append((key, d1, d2, edge[::2].tolist(), edge[1::2].tolist()))
-        k, a, b, first, end = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(x, pa.int64()) for x in (k, a, b)), *(pa.array(x, pa.list_(pa.int32())) for x in (first, end))],
-            names=["key", "d1", "d2", "firsts", "ends"],
-        )
+        for (key, p1, p2, n, part), marks in zip(held, repeated_starts([h[4] for h in held], length), strict=True):
+            marks = marks[: len(part) - length + 1] | (n > 1)
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))).tolist()
+            rows += [(key, p1, p2, low, high) for low, high in zip(edge[::2], edge[1::2], strict=True)]
+        columns = zip(*rows, strict=True) if rows else ((),) * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["key", "p1", "p2", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes]] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "d1", "d2", "part")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "p1", "p2", "n", "part")), strict=True):
                 if size >= ARRAY_BYTES and row[0] != held[-1][0]:
                     yield of(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield of(held)
 
@@ -354,38 +348,43 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     # A row's name: the same for equal rows alone.
     name = F.unhex(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).cast("binary")))
     texts = docs.select("doc_id", "text", name.alias("row"))
-    found = texts.select("row", "text").mapInArrow(_find_anchors(length, gram), "anchor long, row binary, place int, first int, end int")
-    repeated = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = (
-        found.join(repeated, "anchor")
-        .groupBy(F.col("row").alias("w_row"))
-        .agg(F.collect_set(F.struct("anchor", "place", "first", "end", (F.col("n") > HOT).alias("hot"))).alias("wanted"))
-    )
-    # All three joins with the texts take the same columns, so that the texts are shuffled once.
-    chosen = texts.join(wanted, F.col("row") == F.col("w_row")).select("doc_id", "row", "text", "wanted")
-    placed = chosen.mapInArrow(_digest_stretches(length), "key long, d1 long, d2 long, row binary, start int, starts int")
-    digests = placed.groupBy("key", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "starts")).alias("at"))
-    different = digests.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
-    samples = (
-        digests.join(different, "key")
-        .groupBy(F.col("at.row").alias("w_row"))
-        .agg(F.collect_list(F.struct("key", "d1", "d2", "at.start", "at.starts")).alias("wanted"))
+    found = texts.select("row", "text").mapInArrow(
+        _find_anchors(length, gram), "anchor long, d1 long, d2 long, row binary, place int, start int, starts int"
     )
-    compared = (
-        texts.join(samples, F.col("row") == F.col("w_row"))
-        .select("doc_id", "row", "text", "wanted")
-        .mapInArrow(_take_bytes(length), "key long, d1 long, d2 long, part binary")
-        .repartition("key")
-        .sortWithinPartitions("key", "d1", "d2")
-        .mapInArrow(_compare(length), "key long, d1 long, d2 long, firsts array<int>, ends array<int>")
+    # Cut, so that a very frequent anchor is split over tasks by the join below.
+    repeated = cut(
+        found.groupBy("anchor")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("d1").alias("least"), F.max("d1").alias("most"))
+        .where("n > 1")
+        .select("anchor", (F.col("least") != F.col("most")).alias("differ"))
     )
-    whole = digests.where("n > 1").select("key", "d1", "d2", F.array(F.lit(0)).alias("firsts"), F.array("at.starts").alias("ends"))
-    marked = whole.union(compared)
+    placed = cut(found.join(repeated, "anchor"))
+    stretch = ["anchor", "d1", "d2"]
+    whole = placed.groupBy(*stretch).agg(F.count(F.lit(1)).alias("n"), F.max("starts").alias("high")).where("n > 1").select(*stretch, F.lit(0).alias("low"), "high")
+    kinds = placed.where("differ").groupBy(*stretch).agg(F.min(F.struct("row", "place", "start", "starts")).alias("at"))
+    hot = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > HOT).select("anchor"))
+
+    def parts(some: DataFrame, split: bool) -> DataFrame:
+        wanted = some.groupBy(F.col("at.row").alias("w_row")).agg(F.collect_list(F.struct(*stretch, "at.place", "at.start", "at.starts")).alias("wanted"))
+        return texts.join(wanted, F.col("row") == F.col("w_row")).select("doc_id", "row", "text", "wanted").mapInArrow(_take_parts(length, split), PARTS)
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "p1", "p2").mapInArrow(_compare(length), "key long, p1 long, p2 long, low int, high int")
+
+    marked = whole
+    single = compared(parts(kinds.join(hot, "anchor", "left_anti"), False).select("key", "p1", "p2", F.lit(1).cast("long").alias("n"), "part"))
+    marked = marked.union(single.select(F.col("key").alias("anchor"), F.col("p1").alias("d1"), F.col("p2").alias("d2"), "low", "high"))
+    if hot.limit(1).count():
+        split = parts(kinds.join(hot, "anchor", "left_semi"), True)
+        distinct = split.groupBy("key", "p1", "p2").agg(F.count(F.lit(1)).alias("n"), F.first("part").alias("part"))
+        found_parts = cut(compared(distinct.select("key", "p1", "p2", "n", "part")))
+        marked = marked.union(
+            split.drop("part").join(found_parts, ["key", "p1", "p2"]).select(*stretch, (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
+        )
     spans = (
-        placed.select("key", "d1", "d2", "row", "start")
-        .join(marked, ["key", "d1", "d2"])
-        .select("row", "start", F.explode(F.arrays_zip("firsts", "ends")).alias("m"))
-        .select(F.col("row").alias("m_row"), F.struct((F.col("start") + F.col("m.firsts")).alias("a"), (F.col("start") + F.col("m.ends") + length - 1).alias("b")).alias("m"))
+        placed.select(*stretch, "row", "start")
+        .join(marked, stretch)
+        .select(F.col("row").alias("m_row"), F.struct((F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + length - 1).alias("b")).alias("m"))
         .groupBy("m_row")
         .agg(F.collect_set("m").alias("marks"))
     )
