@@ -32,7 +32,7 @@ from .common import cut, slices, utf8_buffer
 
 LENGTH = 400
 #: Bytes of a hashed substring; a window holds LENGTH - GRAM + 1 of them.
-GRAM = 96
+GRAM = 160
 #: Different stretches of an anchor from which they are split by distance, and starts of a part.
 HOT, PART = 2_000, 64
 #: Text of a suffix array that one call builds, about, and starts whose anchors are found at once.
@@ -45,9 +45,31 @@ _NONE = ~np.uint64(0)
 
 
 def direct_sort(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The positions ordered by their suffixes' first ``depth`` symbols."""
+    """The positions ordered by their suffixes' first ``depth`` symbols.
+
+    Sixteen symbols sort as two numbers.  Those that agree so far and have the same hash of ``depth``
+    symbols are left in any order; other groups are sorted by their bytes."""
+    n = len(text)
+    if not len(at):
+        return at
+    padded = np.concatenate((text, np.zeros(16, np.uint8)))
+    words = np.ndarray((n + 9,), ">u8", padded.tobytes(), strides=(1,))
+    first, second = words[at].astype(np.uint64), words[np.minimum(at + 8, n + 8)].astype(np.uint64)
+    order = np.lexsort((second, first))
+    at, first, second = at[order], first[order], second[order]
+    new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+    begin = np.flatnonzero(new)
+    size = np.diff(np.concatenate((begin, [len(at)])))
+    deep = np.zeros(n, np.uint64)
+    hashes = _gram_hashes(text, depth)
+    deep[: len(hashes)] = hashes
+    deep = deep[at]
+    same = (np.minimum.reduceat(deep, begin) == np.maximum.reduceat(deep, begin)) & (deep[begin] != 0)
     raw = text.tobytes()
-    return np.array(sorted(at.tolist(), key=lambda i: raw[i : i + depth]), np.int64)
+    for k in np.flatnonzero((size > 1) & ~same).tolist():
+        a, b = begin[k], begin[k] + size[k]
+        at[a:b] = sorted(at[a:b].tolist(), key=lambda i: raw[i : i + depth])
+    return at
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -64,10 +86,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     # smaller[i]: suffix i is smaller than suffix i + 1; the empty suffix is smallest.
     differs = np.flatnonzero(text[1:] != text[:-1])
     sign = text[differs] < text[differs + 1]
-    ahead = np.searchsorted(differs, np.arange(n))
     smaller = np.zeros(n, bool)
-    inner = ahead < len(differs)
-    smaller[inner] = sign[ahead[inner]]
+    if len(differs):
+        smaller[: differs[-1] + 1] = np.repeat(sign, np.diff(np.concatenate(([-1], differs))))
     placed = direct_sort(text, np.flatnonzero(smaller), depth)
     count = np.bincount(text, minlength=256)
     direct = np.bincount(text[placed], minlength=256)
@@ -110,8 +131,8 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     edge = np.concatenate(([0], np.cumsum(sizes)))
     text = np.frombuffer(b"".join(parts), np.uint8)
     order = suffix_array(text, length)
-    end = edge[np.searchsorted(edge, order, "right")]
-    order = order[end - order >= length]  # a string lies inside its part
+    room = np.repeat(edge[1:], sizes) - np.arange(len(text))
+    order = order[room[order] >= length]  # a string lies inside its part
     raw = text.tobytes()
     found = np.zeros(len(text), bool)
     if len(order) > 1:
@@ -206,25 +227,22 @@ def anchors(data: np.ndarray, edges: np.ndarray, length: int, gram: int, chunk:
         yield text, hashes[place[first]].view(np.int64), place[first] + base, first + base, end + base
 
 
-def _numbers(digests: list[int]) -> tuple[pa.Array, pa.Array]:
-    low = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64)
-    return pa.array(np.array([d >> 64 for d in digests], np.uint64).view(np.int64)), pa.array(low)
-
-
 def _find_anchors(length: int, gram: int):
-    """Anchor, its stretch's digest, row, place, first start and number of starts."""
+    """Anchor, its stretch's digest, the row's name, and packed in ``at``: the first start, its distance
+    to the anchor and the number of starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK):
             data, edges = utf8_buffer(batch.column("text"))
             whole = data.tobytes()
             for text, hashes, place, first, end in anchors(data, edges, length, gram):
-                low = edges[text] + first
-                spans = zip(low.tolist(), (low + (end - first) + length - 1).tolist(), (place - first).tolist(), strict=True)
-                digests = [xxhash.xxh3_128_intdigest(whole[a:b], far) for a, b, far in spans]
+                low, far, starts = edges[text] + first, place - first, end - first
+                spans = zip(low.tolist(), (low + starts + length - 1).tolist(), far.tolist(), strict=True)
+                digests = np.fromiter((xxhash.xxh3_64_intdigest(whole[a:b], f) for a, b, f in spans), np.uint64, len(low))
+                rows = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes), *_numbers(digests), batch.column("row").take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (place, first, end - first))],
-                    names=["anchor", "d1", "d2", "row", "place", "start", "starts"],
+                    [pa.array(hashes), pa.array(digests.view(np.int64)), batch.column("r1").take(rows), batch.column("r2").take(rows), pa.array(first << 24 | far << 12 | starts)],
+                    names=["anchor", "d", "r1", "r2", "at"],
                 )
 
     return run
@@ -238,7 +256,7 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[list[int], dict[str, list]
     return (edges - edges[0]).tolist(), {f.name: flat.field(k).to_pylist() for k, f in enumerate(flat.type)}
 
 
-PARTS = "key long, p1 long, p2 long, anchor long, d1 long, d2 long, shift int, part binary"
+PARTS = "key long, p long, anchor long, d long, shift int, part binary"
 
 
 def _take_parts(length: int, split: bool):
@@ -251,54 +269,53 @@ def _take_parts(length: int, split: bool):
             edges, fields = _lists(batch, "wanted")
             base = np.repeat(text_edges[:-1], np.diff(edges)).tolist()
             rows: list[tuple] = []
-            for b, anchor, d1, d2, place, start, starts in zip(base, *(fields[f] for f in ("anchor", "d1", "d2", "place", "start", "starts")), strict=True):
-                first, end = start, start + starts
+            for b, anchor, d, at in zip(base, fields["anchor"], fields["d"], fields["at"], strict=True):
+                start = first = at >> 24
+                place, end = start + (at >> 12 & 4095), start + (at & 4095)
                 while first < end:
-                    key, p1, p2, stop = anchor, d1, d2, end
+                    key, p, stop = anchor, d, end
                     if split:
                         far = (place - first) // PART
                         stop = min(end, place - far * PART + 1)
                         key = xxhash.xxh3_64_intdigest(b"%d %d" % (anchor, far)) - (1 << 63)
                     part = whole[b + first : b + stop + length - 1]
                     if split:
-                        digest = xxhash.xxh3_128_intdigest(part, place - first)
-                        p1, p2 = (digest >> 64) - (1 << 63), (digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-                    rows.append((key, p1, p2, anchor, d1, d2, first - start, part))
+                        p = xxhash.xxh3_64_intdigest(part, place - first) - (1 << 63)
+                    rows.append((key, p, anchor, d, first - start, part))
                     first = stop
             if rows:
                 *numbers, shift, part = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x, pa.int64()) for x in numbers), pa.array(shift, pa.int32()), pa.array(part, pa.binary())],
-                    names=["key", "p1", "p2", "anchor", "d1", "d2", "shift", "part"],
+                    [*(pa.array(x, pa.int64()) for x in numbers), pa.array(shift, pa.int32()), pa.array(part, pa.binary())], names=["key", "p", "anchor", "d", "shift", "part"]
                 )
 
     return run
 
 
 def _compare(length: int):
-    """Distinct parts ``key, p1, p2, n, part`` sorted by key: their starts ``low <= start < high``
-    that repeat, in another of their key or because the part occurs ``n`` times."""
+    """Distinct parts ``key, p, n, part`` sorted by key: their starts ``low <= start < high`` that
+    repeat, in another of their key or because the part occurs ``n`` times."""
 
-    def of(held: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    def of(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         rows = []
-        for (key, p1, p2, n, part), marks in zip(held, repeated_starts([h[4] for h in held], length), strict=True):
+        for (key, p, n, part), marks in zip(held, repeated_starts([h[3] for h in held], length), strict=True):
             marks = marks[: len(part) - length + 1] | (n > 1)
             edge = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))).tolist()
-            rows += [(key, p1, p2, low, high) for low, high in zip(edge[::2], edge[1::2], strict=True)]
-        columns = zip(*rows, strict=True) if rows else ((),) * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["key", "p1", "p2", "low", "high"])
+            rows += [(key, p, low, high) for low, high in zip(edge[::2], edge[1::2], strict=True)]
+        columns = zip(*rows, strict=True) if rows else ((),) * 4
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["key", "p", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "p1", "p2", "n", "part")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "n", "part")), strict=True):
                 if size >= ARRAY_BYTES and row[0] != held[-1][0]:
                     yield of(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[3])
         if held:
             yield of(held)
 
@@ -344,49 +361,56 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     repeat are documents of their own, so both lose what they share; a null text is empty; an
     empty table gives an empty result; other columns are ignored.
     """
+    if not gram <= length < 4096:
+        raise ValueError("length lies between gram and 4095")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # A row's name: the same for equal rows alone.
-    name = F.unhex(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).cast("binary")))
-    texts = docs.select("doc_id", "text", name.alias("row"))
-    found = texts.select("row", "text").mapInArrow(
-        _find_anchors(length, gram), "anchor long, d1 long, d2 long, row binary, place int, start int, starts int"
-    )
+    # A row's name: 128 bits that equal rows alone share.
+    names = {"r1": F.xxhash64(F.col("doc_id").cast("string"), "text"), "r2": F.xxhash64("text", F.lit("|"), F.col("doc_id").cast("string"))}
+    texts = docs.select("doc_id", "text").withColumns(names)
+    name = ["r1", "r2"]
+    found = texts.select(*name, "text").mapInArrow(_find_anchors(length, gram), "anchor long, d long, r1 long, r2 long, at long")
     # Cut, so that a very frequent anchor is split over tasks by the join below.
     repeated = cut(
         found.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("d1").alias("least"), F.max("d1").alias("most"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("least"), F.max("d").alias("most"))
         .where("n > 1")
         .select("anchor", (F.col("least") != F.col("most")).alias("differ"))
     )
     placed = cut(found.join(repeated, "anchor"))
-    stretch = ["anchor", "d1", "d2"]
-    whole = placed.groupBy(*stretch).agg(F.count(F.lit(1)).alias("n"), F.max("starts").alias("high")).where("n > 1").select(*stretch, F.lit(0).alias("low"), "high")
-    kinds = placed.where("differ").groupBy(*stretch).agg(F.min(F.struct("row", "place", "start", "starts")).alias("at"))
+    stretch = ["anchor", "d"]
+    starts = F.col("at").bitwiseAND(F.lit(4095).cast("long")).cast("int")
+    whole = placed.groupBy(*stretch).agg(F.count(F.lit(1)).alias("n"), F.max(starts).alias("high")).where("n > 1").select(*stretch, F.lit(0).alias("low"), "high")
+    kinds = placed.where("differ").groupBy(*stretch).agg(F.min(F.struct(*name, "at")).alias("one"))
     hot = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > HOT).select("anchor"))
+    any_hot = hot.limit(1).count() > 0
 
+    # All joins with the texts take the same columns, so that one query shuffles the texts once.
     def parts(some: DataFrame, split: bool) -> DataFrame:
-        wanted = some.groupBy(F.col("at.row").alias("w_row")).agg(F.collect_list(F.struct(*stretch, "at.place", "at.start", "at.starts")).alias("wanted"))
-        return texts.join(wanted, F.col("row") == F.col("w_row")).select("doc_id", "row", "text", "wanted").mapInArrow(_take_parts(length, split), PARTS)
+        wanted = some.groupBy(F.col("one.r1").alias("w1"), F.col("one.r2").alias("w2")).agg(F.collect_list(F.struct(*stretch, "one.at")).alias("wanted"))
+        joined = texts.join(wanted, (F.col("r1") == F.col("w1")) & (F.col("r2") == F.col("w2")))
+        return joined.select("doc_id", *name, "text", "wanted").mapInArrow(_take_parts(length, split), PARTS)
 
     def compared(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "p1", "p2").mapInArrow(_compare(length), "key long, p1 long, p2 long, low int, high int")
+        return rows.repartition("key").sortWithinPartitions("key", "p").mapInArrow(_compare(length), "key long, p long, low int, high int")
 
-    marked = whole
-    single = compared(parts(kinds.join(hot, "anchor", "left_anti"), False).select("key", "p1", "p2", F.lit(1).cast("long").alias("n"), "part"))
-    marked = marked.union(single.select(F.col("key").alias("anchor"), F.col("p1").alias("d1"), F.col("p2").alias("d2"), "low", "high"))
-    if hot.limit(1).count():
+    cool = kinds.join(hot, "anchor", "left_anti") if any_hot else kinds
+    single = compared(parts(cool, False).select("key", "p", F.lit(1).cast("long").alias("n"), "part"))
+    marked = whole.union(single.select(F.col("key").alias("anchor"), F.col("p").alias("d"), "low", "high"))
+    if any_hot:
         split = parts(kinds.join(hot, "anchor", "left_semi"), True)
-        distinct = split.groupBy("key", "p1", "p2").agg(F.count(F.lit(1)).alias("n"), F.first("part").alias("part"))
-        found_parts = cut(compared(distinct.select("key", "p1", "p2", "n", "part")))
+        distinct = split.groupBy("key", "p").agg(F.count(F.lit(1)).alias("n"), F.first("part").alias("part"))
+        found_parts = cut(compared(distinct.select("key", "p", "n", "part")))
         marked = marked.union(
-            split.drop("part").join(found_parts, ["key", "p1", "p2"]).select(*stretch, (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
+            split.drop("part").join(found_parts, ["key", "p"]).select(*stretch, (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
         )
+    start = F.shiftright("at", 24)
     spans = (
-        placed.select(*stretch, "row", "start")
+        placed.select(*stretch, *name, "at")
         .join(marked, stretch)
-        .select(F.col("row").alias("m_row"), F.struct((F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + length - 1).alias("b")).alias("m"))
-        .groupBy("m_row")
+        .select(F.col("r1").alias("m1"), F.col("r2").alias("m2"), F.struct((start + F.col("low")).cast("int").alias("a"), (start + F.col("high") + length - 1).cast("int").alias("b")).alias("m"))
+        .groupBy("m1", "m2")
         .agg(F.collect_set("m").alias("marks"))
     )
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
-    return texts.join(spans, F.col("row") == F.col("m_row"), "left").select("doc_id", "row", "text", "marks").mapInArrow(_remove(with_kept), schema)
+    joined = texts.join(spans, (F.col("r1") == F.col("m1")) & (F.col("r2") == F.col("m2")), "left")
+    return joined.select("doc_id", *name, "text", "marks").mapInArrow(_remove(with_kept), schema)
