@@ -36,7 +36,7 @@ GRAM = 160
 #: Different stretches of an anchor from which they are split by distance, and starts of a part.
 HOT, PART = 2_000, 64
 #: Text of a suffix array that one call builds, about, and starts whose anchors are found at once.
-ARRAY_BYTES, CHUNK = 1 << 19, 1 << 20
+ARRAY_BYTES, CHUNK = 1 << 18, 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _NONE = ~np.uint64(0)
 
