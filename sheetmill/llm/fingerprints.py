@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 #: Cells of a subtable of the smallest table, and the factor of the next larger one.
 CELLS, LARGER = 4, 4
@@ -212,7 +214,7 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     are ignored.  ``doc_id`` is a whole number.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs).select("doc_id", "text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / parts for i in range(1, parts)]
     ids = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"))

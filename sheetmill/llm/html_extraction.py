@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, small_batches
 
 #: Share of a page's running text that its container holds at least.
 SHARE = 0.8
@@ -248,7 +248,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     joined by line ends.  A null page or one without an article is empty; a null url is a host of its
     own; rows that repeat stay; an empty table gives an empty result; other columns are ignored.
     """
-    rows = pages.select("page_id", "url", "html")
+    rows = small_batches(pages).select("page_id", "url", "html")
     paths = cut(host_paths(rows))
     few = paths.count() <= BROADCAST_HOSTS
     paths = paths.withColumnRenamed("host", "path_host")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 FEATURES = 1 << 15
 ORDERS = 3
@@ -83,7 +83,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities (features + 1 x languages; the last row is zero) and log-priors
     of labelled ``doc_id, text, lang`` rows.  Only the model comes to the driver."""
-    labelled = docs.where(F.col("lang").isNotNull())
+    labelled = small_batches(docs).where(F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
@@ -139,7 +139,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return small_batches(docs).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def held_out(doc_id: F.Column) -> F.Column:

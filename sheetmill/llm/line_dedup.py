@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, small_batches
 
 MIN_CHARS = 12
 #: Wanted lines (id and line number: about 16 bytes each) up to which they are broadcast to the
@@ -244,7 +244,7 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_chars: int = MIN_CHA
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    docs = docs.drop("n_lines", "n_removed")
+    docs = small_batches(docs).drop("n_lines", "n_removed")
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = docs.select("doc_id", "text").mapInArrow(
         _lines(min_chars), f"doc_id {kind}, line int, high long, low long, k0 long, k1 long, k2 long, k3 long"

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 from .tokens import word_encoder
 
 SIZE, END_ID = 2048, 1
@@ -165,7 +165,8 @@ def pack_documents(docs: DataFrame, *, size: int = SIZE, end_id: int = END_ID, w
 
     schema = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return (
-        docs.select("doc_id", "text")
+        small_batches(docs)
+        .select("doc_id", "text")
         .repartitionByRange("doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))

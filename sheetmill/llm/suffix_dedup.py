@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, utf8_buffer
+from .common import cut, slices, small_batches, utf8_buffer
 
 LENGTH = 400
 #: Bytes of a hashed substring; a window holds LENGTH - GRAM + 1 of them.
@@ -366,7 +366,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     kind = docs.schema["doc_id"].dataType.simpleString()
     # A row's name: 128 bits that equal rows alone share.
     names = {"r1": F.xxhash64(F.col("doc_id").cast("string"), "text"), "r2": F.xxhash64("text", F.lit("|"), F.col("doc_id").cast("string"))}
-    texts = docs.select("doc_id", "text").withColumns(names)
+    texts = small_batches(docs).select("doc_id", "text").withColumns(names)
     name = ["r1", "r2"]
     found = texts.select(*name, "text").mapInArrow(_find_anchors(length, gram), "anchor long, d long, r1 long, r2 long, at long")
     # Cut, so that a very frequent anchor is split over tasks by the join below.

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, small_batches
 from .tokens import byte_encoder
 
 MAGIC = b"SMDACv1\n"
@@ -177,7 +177,8 @@ def write_tokens(docs: DataFrame, folder: str, *, end_id: int = END_ID, file_tok
             yield finish()
 
     listed = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        small_batches(docs)
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .repartitionByRange("doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(run, "part int, file int, uri string, docs long, tokens long")
