@@ -44,7 +44,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     """``df``, its session set to Arrow batches of 4 MB where it has Spark's default of 64 MB: texts are
     long, and each task holds several batches outside the heap."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name, "") in ("67108864b", "67108864", "64m", "64MB"):
+    if conf.get(name, None) in ("67108864b", "67108864", "64m", "64MB"):
         conf.set(name, str(4 << 20))
     return df
 

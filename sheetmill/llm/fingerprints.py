@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-
 #: Cells of a subtable of the smallest table, and the factor of the next larger one.
 CELLS, LARGER = 4, 4
 _BASE = 0x9E3779B97F4A7C15
