@@ -24,9 +24,9 @@ from .common import slices, small_batches
 from .tokens import word_encoder
 
 SIZE, END_ID = 2048, 1
-SENTENCE_PENALTY, INNER_PENALTY = 4, 64
+SENTENCE_PENALTY, INNER_PENALTY = 2, 16
 #: Longest stretch without a cut, and tokens that are planned together.
-STRETCH, BLOCK = 256, 1 << 20
+STRETCH, BLOCK = 16, 1 << 20
 
 
 def sentence_ends(encoder) -> np.ndarray:
