@@ -18,8 +18,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: each node that has an edge, and the smallest node that it can reach.
 
     Large-star and small-star rounds in turn, the edges checkpointed after each.  A node's
-    smallest neighbour is a partial aggregate joined back to its edges, so that a node with very
-    many edges is split over tasks by the skew join and never gathered.
+    smallest neighbour is a partial aggregate, cut and joined back to its edges, so that a node with
+    very many edges is split over tasks by the skew join and never gathered.
     """
     e = cut(
         edges.where(F.col(a) != F.col(b))
@@ -29,14 +29,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _mark(e)
     while mark[0]:
         both = e.union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")))
         large = (
             e.select(F.col("v").alias("c"), F.col("u").alias("far"))
             .join(low, F.col("c") == F.col("x"))
             .select(F.col("far").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m"))
         small = (
             large.join(least, F.col("u") == F.col("x"))
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

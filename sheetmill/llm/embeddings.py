@@ -231,7 +231,8 @@ def near_vectors(vectors: DataFrame, *, least: float = LEAST_COSINE) -> DataFram
         .join(roots, F.col("node") == F.col("r_node"), "left")
         .select("node", "first_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     )
-    least_id = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Cut before it is joined back, so that a large component is split over tasks.
+    least_id = cut(joined.groupBy("root").agg(F.min("first_id").alias("component_id")))
     found = joined.join(least_id, "root").select(F.col("node").alias("f_node"), "n_links", "component_id")
     component = F.when(F.col("f_node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return (

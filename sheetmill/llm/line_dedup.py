@@ -173,7 +173,8 @@ def near_partners(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     ``firsts``: ``doc_id, line, low, k0..k3`` of each distinct line's first occurrence."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     halves = firsts.where("k0 != 0").select("doc_id", "line", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("side", "half"))
-    shared = (
+    # Cut before it is joined back, so that a frequent half is split over tasks.
+    shared = cut(
         halves.groupBy("half")
         .agg(F.count(F.when(F.col("side") < 2, 1)).alias("own"), F.count(F.when(F.col("side") > 1, 1)).alias("longer"))
         .where("own > 1 or (own = 1 and longer > 0)")

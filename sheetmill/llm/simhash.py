@@ -201,7 +201,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         for k, (i, j) in enumerate(combinations(range(blocks), 2))
     ]
     dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Cut before it is joined back, here and below: then a hot key can be split over tasks.
+    shared = cut(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     chunks = F.ceil(F.col("n") / F.lit(CELL)).cast("long")
     chunk = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks"))
     cells = F.transform(
@@ -230,6 +231,6 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, id_col:
     rooted = cut(
         firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
