@@ -25,7 +25,8 @@ BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 WORD_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-MARKS = frozenset(".,;:!?")
+MARK_TEXT = ".,;:!?"
+MARKS = frozenset(MARK_TEXT)
 
 
 def _byte_characters() -> list[str]:
@@ -56,23 +57,38 @@ class Encoder:
 
     def _known(self, parts: list[str], lead: str) -> bytes:
         """The ids of parts that each follow ``lead``."""
+        found = list(map(self.memo.get, parts))
+        if None in found:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = self._part(parts[at], lead)
+        return b"".join(found)
+
+    def _part(self, part: str, lead: str) -> bytes:
         memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, parts))
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for part in set(parts).difference(memo):
-                word, mark = part[:-1], part[-1:]
-                if part.isalpha():  # one word; and letters before a mark are one too
-                    memo[part] = self._word(lead + part)
-                elif mark in MARKS and word.isalpha():
-                    if word not in memo:
-                        memo[word] = self._word(lead + word)
-                    memo[part] = memo[word] + self._word(mark)
-                else:
-                    memo[part] = self._ids(lead + part)
-            return b"".join(map(memo.__getitem__, parts))
+        found = memo.get(part)
+        if found is None:
+            word, mark = part[:-1], part[-1:]
+            head, line, tail = part.partition("\n")
+            if part.isalpha():  # one word; and letters before a mark are one too
+                found = self._letters(part, lead)
+            elif mark in MARKS and word.isalpha():
+                found = self._part(word, lead) + self._word(mark)
+            elif line and head and tail.strip(MARK_TEXT).isalpha() and tail[0].isalpha() and not head[-1].isspace():
+                # A line end between two words is a word of its own or none.
+                return self._part(head, lead) + self._part(line + tail, "")
+            else:
+                found = self._ids(part if part[0] == "\n" else lead + part) if part else self._ids(lead)
+            memo[part] = found
+        return found
+
+    def _letters(self, part: str, lead: str) -> bytes:
+        if part.isascii():  # ASCII letters stand for themselves
+            return array("H", [t.id for t in self.model.tokenize("\u0120" + part if lead else part)]).tobytes()
+        return self._word(lead + part)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 16-bit integers."""

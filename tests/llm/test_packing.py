@@ -14,7 +14,7 @@ ODD = ["", " ", "  a", "a  b\n\n c", "don't I'LL", "naïve café ÉÈ", "é x",
 
 
 def test_ids_are_those_of_the_library():
-    texts = ODD + [a + " " + b for a in ODD for b in ODD] + [a + " \n" for a in ODD]
+    texts = ODD + ["one two\nThree four.\nFive, six\n\nseven.\n eight \nnine\n", "\nA\nb", "a\nb c.\nd, e\nf!", "x\u00a0\ny"] + [a + "\n" + b for a in ODD for b in ODD] + [a + " " + b for a in ODD for b in ODD] + [a + " \n" for a in ODD]
     for encoder in (byte_encoder(), word_encoder()):
         want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert [x.tolist() for x in encoder.encode(texts)] == want
