@@ -37,6 +37,8 @@ MAGIC = b"SMDACv1\n"
 END_ID = 2
 #: Tokens of a file, about: it ends with the document that reaches them.
 FILE_TOKENS = 4_000_000
+#: Partitions of the list of files, which is short: a row a file.
+LIST_PARTS = 8
 _EVERY = 512
 
 
@@ -182,6 +184,7 @@ def write_tokens(docs: DataFrame, folder: str, *, end_id: int = END_ID, file_tok
         .repartitionByRange("doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(run, "part int, file int, uri string, docs long, tokens long")
+        .repartition(LIST_PARTS)
     )
     running = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = listed.groupBy("part").agg(F.sum("tokens").alias("tokens"))
