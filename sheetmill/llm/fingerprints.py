@@ -53,9 +53,10 @@ def piece_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    # A piece ends with a line end, or with a space behind a word whose last four bytes choose it.
+    # A piece ends with a line end, or with a space behind a word whose last four bytes choose it;
+    # the four lie in the space's own text, so that equal texts are cut alike behind any other.
     space = np.flatnonzero(data == 32)
-    space = space[space >= 4]
+    space = space[space - edges[np.searchsorted(edges, space, "right") - 1] >= 4]
     word = sum(data[space - k].astype(np.uint64) << np.uint64(8 * k - 8) for k in (1, 2, 3, 4))
     chosen = space[_mix(word, 1) >> np.uint64(61) == 0]
     ends = np.union1d(np.concatenate((np.flatnonzero(data == 10), chosen)) + 1, edges[1:][sizes > 0])

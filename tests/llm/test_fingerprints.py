@@ -33,6 +33,16 @@ def test_pieces_are_local():
     assert P.likeness(digest, edges, np.array([0]), np.array([1]))[0] > 0.98
 
 
+def test_equal_texts_are_cut_alike_behind_any_text():
+    for text in (b"It is so", b"A b c and more", b" x", b"abcd e"):
+        alone = P.piece_digests([text])[0].tolist()
+        texts = [text]
+        for k in range(256):
+            texts += [b"before" + bytes([k]), text]
+        digest, edges = P.piece_digests(texts)
+        assert all(digest[edges[i] : edges[i + 1]].tolist() == alone for i in range(0, len(texts), 2))
+
+
 def test_query_against_brute_force(spark):
     rng = np.random.default_rng(7)
     docs = [(int(i) * 3, "\n".join(" ".join("wört%d" % k for k in rng.integers(0, 50, 12)) for _ in range(rng.integers(0, 9)))) for i in rng.permutation(150)]
