@@ -2,10 +2,13 @@
 
 Equal vectors are one class from the start.  A coarse quantiser (k-means of a bounded sample)
 gives every class its list; codes of eight subspaces approximate the residual to the list's centre.  A
-class queries the lists of its nearest centres.  There, a table of its distances to every code gives
-the distance to each stored class by eight lookups.  That distance is off by at most the stored
-code's own error, so the filter with this slack drops no link of the list; what passes is compared by
-exact cosine in double precision.
+class meets every list that may hold a link of it: the triangle inequality, with the distances that
+the list's members have to its centre, and the plane between two centres leave out only lists that hold
+none.  Lists lie on shelves of bounded size, a larger list on several; each pair of shelves is a block,
+to which either side sends those of its classes that cannot leave the other out.  There, a table of a
+class's products with every code gives the distance to each stored class by eight lookups.  That distance
+is off by at most the stored code's own error, so the filter with this slack drops no link; what passes is
+compared by exact cosine in double precision.  So no link is lost, whatever the vectors' density.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from .common import cut
 from .components import components, local_roots
 
 LEAST_COSINE = 0.9
-#: Vectors that the quantisers are fitted on at most; lists at most; lists that a vector queries.
-SAMPLE, MOST_LISTS, PROBES = 1 << 15, 1 << 14, 8
+#: Vectors that the quantisers are fitted on at most; lists at most.
+SAMPLE, MOST_LISTS = 1 << 15, 1 << 14
 SUBSPACES, CODES = 8, 256
-#: Stored vectors of a list that one task holds at a time, and queries compared at once.
+#: Vectors of a shelf at most, which one task holds at a time, and queries compared at once.
 STORED, QUERIES = 4096, 256
+#: Shelves, about, that fewer vectors are dealt to; the room left for rounding where lists are left out.
+SHELVES, ROUNDING = 16, 1e-6
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -80,13 +85,23 @@ class Quantiser:
             error += ((residual[:, a:b] - self.books[m][codes[:, m]]) ** 2).sum(axis=1)
         return codes, np.sqrt(error)
 
-    def distances(self, residual: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric: from each query's residual to each code row, by table lookup."""
+    def distances(self, residual: np.ndarray, codes: np.ndarray, lists: np.ndarray | None = None) -> np.ndarray:
+        """Asymmetric: from each query's residual to each code row, by table lookup; with the code rows'
+        ``lists``, from each query itself to each list's centre with the code added."""
         total = np.zeros((len(residual), len(codes)))
         for m, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
             part = residual[:, a:b]
             table = (part * part).sum(axis=1)[:, None] - 2 * part @ self.books[m].T + (self.books[m] ** 2).sum(axis=1)
             total += np.take(table, codes[:, m], axis=1)
+        if lists is not None:
+            # |x - c - q|^2 = |x - q|^2 - 2 x c + c (c + 2 q)
+            some, at = np.unique(lists, return_inverse=True)
+            own = np.zeros(len(codes))
+            for m, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
+                c = self.centres[lists, a:b]
+                own += (c * (c + 2 * self.books[m][codes[:, m]])).sum(axis=1)
+            total += own
+            total -= np.take(2 * residual @ self.centres[some].T, at, axis=1)
         return np.sqrt(np.maximum(total, 0))
 
 
@@ -97,72 +112,153 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _compare(model, least: float):
-    """Rows by (block, role): the stored vectors of a block, then its queries."""
-    reach = np.sqrt(2 - 2 * least) + 1e-9
-
-    def block_links(q: Quantiser, of: int, stored: list[pa.RecordBatch], queries: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y = np.concatenate([_unit(b.column("embedding")) for b in stored])
-        node = [n for b in stored for n in b.column("node").to_pylist()]
-        weight = np.concatenate([b.column("n").to_numpy() for b in stored])
-        probes = np.concatenate([b.column("probes").flatten().to_numpy().reshape(b.num_rows, -1) for b in stored])
-        centre = q.centres[of]
-        codes, error = q.encode(y - centre)
-        for batch in queries:
-            for a in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(a, QUERIES)
-                x, names, own = _unit(part.column("embedding")), part.column("node").to_pylist(), part.column("own").to_numpy()
-                i, j = np.nonzero(q.distances(x - centre, codes) <= reach + error)
-                cosine = np.einsum("ij,ij->i", x[i], y[j])
-                linked = (cosine >= least) & np.fromiter((names[s] != node[t] for s, t in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-                i, j = i[linked], j[linked]
-                if not len(i):
-                    continue
-                # The other way round the pair is met again if the stored vector queries the list of this one.
-                once = ~(probes[j] == own[i][:, None]).any(axis=1)
-                here = np.bincount(i, weight[j], len(names)).astype(np.int64)
-                back = np.bincount(j[once], part.column("n").to_numpy()[i[once]], len(node)).astype(np.int64)
-                all_ = names + node
-                root = local_roots(len(all_), i, j + len(names))
-                count = np.concatenate((here, back))
-                at = np.flatnonzero((count > 0) | (root != np.arange(len(all_))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([all_[k] for k in at.tolist()], pa.binary()), pa.array(count[at]), pa.array([all_[k] for k in root[at].tolist()], pa.binary())],
-                    names=["node", "links", "other"],
-                )
+class Shelves:
+    """Where the lists lie, and how far their members are from their centres."""
+
+    def __init__(self, q: Quantiser, lists: np.ndarray, size: np.ndarray, least: np.ndarray, most: np.ndarray, room: int):
+        shelves = -(-int(size.sum()) // room)
+        # Near lists share a shelf.
+        group = nearest(q.centres[lists], kmeans(q.centres[lists], min(len(lists), shelves)), 1)[0][:, 0]
+        self.base, self.chunks = np.zeros(len(q.centres), np.int64), np.zeros(len(q.centres), np.int64)
+        entries, shelf, used = [], -1, room
+        for k in np.lexsort((lists, group)).tolist():
+            n = -(-int(size[k]) // room)
+            if n > 1 or used + size[k] > room:
+                shelf, used = shelf + 1, 0
+            self.base[lists[k]], self.chunks[lists[k]] = shelf, n
+            entries += [lists[k]] * n
+            used += size[k]
+            if n > 1:
+                shelf, used = shelf + n - 1, room
+        self.entries = np.array(entries)
+        first = np.concatenate(([True], self.entries[1:] != self.entries[:-1]))
+        within = np.arange(len(entries)) - np.maximum.accumulate(np.where(first, np.arange(len(entries)), 0))
+        self.begins = np.flatnonzero(np.diff(self.base[self.entries] + within, prepend=-1))
+        self.least, self.most = np.full(len(q.centres), np.inf), np.full(len(q.centres), -np.inf)
+        self.least[lists], self.most[lists] = least, most
+
+
+def reachable(q: Quantiser, shelves: Shelves, x: np.ndarray, own: np.ndarray, lists: np.ndarray, reach: float) -> np.ndarray:
+    """For each row of ``x``, of list ``own``, and each of ``lists``: whether the list may hold a
+    vector within ``reach``."""
+    c, home = q.centres[lists], q.centres[own]
+    far = np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T, 0)
+    apart = np.sqrt(np.maximum((home * home).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * home @ c.T, 0))
+    # A list's members are nearer to its centre than to ours: they lie behind the plane between the two.
+    plane = far - ((x - home) ** 2).sum(axis=1)[:, None] <= 2 * (apart + ROUNDING) * (reach + ROUNDING) + ROUNDING
+    far = np.sqrt(far)
+    return plane & (far <= shelves.most[lists] + reach + ROUNDING) & (far >= shelves.least[lists] - reach - ROUNDING)
+
+
+def _compare(model, layout, reach: float, least: float):
+    """Rows by (low, high, role): the classes of a block's lower shelf, then those of its higher; a shelf's
+    block with itself has the first alone."""
+
+    class Side:
+        def __init__(self, q: Quantiser, batches: list[pa.RecordBatch]):
+            self.x = np.concatenate([_unit(b.column("embedding")) for b in batches])
+            self.node = [n for b in batches for n in b.column("node").to_pylist()]
+            self.weight = np.concatenate([b.column("n").to_numpy() for b in batches])
+            self.own = np.concatenate([b.column("own").to_numpy() for b in batches])
+            self.lists, self.at = np.unique(self.own, return_inverse=True)
+            self.codes, self.error = q.encode(self.x - q.centres[self.own])
+
+    def links(y: Side, x: np.ndarray, names: list[bytes], weight: np.ndarray, own: np.ndarray, begin: int | None) -> Iterator[pa.RecordBatch]:
+        """Of queries with ``y``; where they are its own rows from ``begin`` on, with those behind them."""
+        q = model.value
+        some = np.flatnonzero(reachable(q, layout.value, x, own, y.lists, reach).any(axis=0)[y.at])
+        if begin is not None:
+            some = np.union1d(some[some >= begin], np.arange(begin, begin + len(x)))
+        if not len(some):
+            return
+        i, j = np.nonzero(q.distances(x, y.codes[some], y.own[some]) <= reach + y.error[some] + ROUNDING)
+        j = some[j]
+        if begin is not None:
+            i, j = i[j > i + begin], j[j > i + begin]
+        linked = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], y.x[j[a : a + 65536]]) >= least for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+        i, j = i[linked], j[linked]
+        if not len(i):
+            return
+        here = np.bincount(i, y.weight[j], len(names)).astype(np.int64)
+        back = np.bincount(j, weight[i], len(y.node)).astype(np.int64)
+        all_ = names + y.node
+        root = local_roots(len(all_), i, j + len(names))
+        count = np.concatenate((here, back))
+        at = np.flatnonzero((count > 0) | (root != np.arange(len(all_))))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([all_[k] for k in at.tolist()], pa.binary()), pa.array(count[at]), pa.array([all_[k] for k in root[at].tolist()], pa.binary())],
+            names=["node", "links", "other"],
+        )
+
+    def inside(y: Side) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(y.x), QUERIES):
+            b = a + QUERIES
+            yield from links(y, y.x[a:b], y.node[a:b], y.weight[a:b], y.own[a:b], a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = model.value
 
-        def pieces() -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+        def pieces() -> Iterator[tuple[tuple[int, int, int], pa.RecordBatch]]:
             for batch in batches:
-                keys = np.stack([batch.column(c).to_numpy() for c in ("list", "chunk", "role")], axis=1)
+                keys = np.stack([batch.column(c).to_numpy() for c in ("low", "high", "role")], axis=1)
                 edge = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
                 for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    yield tuple(keys[a].tolist()), batch.slice(a, b - a)
+                    if b > a:
+                        yield tuple(keys[a].tolist()), batch.slice(a, b - a)
 
         stored: list[pa.RecordBatch] = []
-        at = None
-        for (of, chunk, role), piece in pieces():
-            if (of, chunk) != at:
-                at, stored = (of, chunk), []
+        side, at = None, None
+        for (low, high, role), piece in pieces():
+            if (low, high) != at:
+                if stored and at[0] == at[1]:
+                    yield from inside(Side(q, stored))
+                at, stored, side = (low, high), [], None
             if role == 0:
                 stored.append(piece)
             elif stored:
-                yield from block_links(q, of, stored, iter([piece]))
+                side = side or Side(q, stored)
+                for a in range(0, piece.num_rows, QUERIES):
+                    part = piece.slice(a, QUERIES)
+                    yield from links(side, _unit(part.column("embedding")), part.column("node").to_pylist(), part.column("n").to_numpy(), part.column("own").to_numpy(), None)
+        if stored and at[0] == at[1]:
+            yield from inside(Side(q, stored))
 
     return run
 
 
 def _assign(model):
+    """Each class's list, and its distance to the centre."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids, _ = nearest(_unit(batch.column("embedding")), model.value.centres, PROBES)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(ids[:, 0].astype(np.int32)), pa.array(list(ids.astype(np.int32)), pa.list_(pa.int32()))],
-                    names=[*batch.schema.names, "own", "probes"],
-                )
+                x, centres = _unit(batch.column("embedding")), model.value.centres
+                own = nearest(x, centres, 1)[0][:, 0]
+                far = np.sqrt(((x - centres[own]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(far)], names=[*batch.schema.names, "own", "far"])
+
+    return run
+
+
+def _deal(model, layout, reach: float):
+    """Each class once for every block that it may have a link in, its own shelf's with itself included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, shelves = model.value, layout.value
+        rows = max(1, min((1 << 20) // len(shelves.entries), (1 << 15) // len(shelves.begins)))
+        for whole in batches:
+            for a in range(0, whole.num_rows, rows):
+                batch = whole.slice(a, rows)
+                own = batch.column("own").to_numpy()
+                hit = reachable(q, shelves, _unit(batch.column("embedding")), own, shelves.entries, reach)
+                hit = np.logical_or.reduceat(hit, shelves.begins, axis=1)
+                digest = np.array([int.from_bytes(n[:7], "little") for n in batch.column("node").to_pylist()])
+                home = shelves.base[own] + digest % shelves.chunks[own]
+                hit[np.arange(len(home)), home] = True
+                i, other = np.nonzero(hit)
+                sent = batch.take(pa.array(i))
+                keys = [np.minimum(home[i], other), np.maximum(home[i], other), home[i] > other]
+                yield pa.RecordBatch.from_arrays([*(pa.array(k.astype(np.int32)) for k in keys), *sent.columns], names=["low", "high", "role", *sent.schema.names])
 
     return run
 
@@ -176,26 +272,21 @@ def class_links(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     total = classes.count()
     # A bounded sample, the same in each run: the lowest digests.
     sample = classes.orderBy("node").limit(SAMPLE).select("embedding").toArrow().column("embedding")
-    model = spark.sparkContext.broadcast(Quantiser(_unit(sample.combine_chunks()), total))
+    quantiser = Quantiser(_unit(sample.combine_chunks()), total)
+    model = spark.sparkContext.broadcast(quantiser)
+    reach = float(np.sqrt(2 - 2 * least)) + 1e-9
     kind = classes.schema["embedding"].dataType.simpleString()
-    row = f"node binary, embedding {kind}, n long"
-    assigned = cut(classes.select("node", "embedding", "n").mapInArrow(_assign(model), f"{row}, own int, probes array<int>"))
-    sizes = assigned.groupBy("own").agg(F.count(F.lit(1)).alias("size"))
-    chunks = F.create_map(*[F.lit(x) for r in sizes.collect() for x in (r["own"], -(-r["size"] // STORED))])
-    every = F.sequence(F.lit(0), F.element_at(chunks, F.col("list")) - 1)
-    stored = assigned.select(
-        F.col("own").alias("list"), F.pmod(F.xxhash64("node"), F.element_at(chunks, F.col("own")).cast("long")).cast("int").alias("chunk"), F.lit(0).alias("role"), "*"
-    )
-    queries = (
-        assigned.select(F.explode("probes").alias("list"), "*")
-        .where(F.element_at(chunks, F.col("list")).isNotNull())
-        .select("list", F.explode(every).alias("chunk"), F.lit(1).alias("role"), "node", "embedding", "n", "own", "probes")
-    )
+    row = f"node binary, embedding {kind}, n long, own int"
+    assigned = cut(classes.select("node", "embedding", "n").mapInArrow(_assign(model), f"{row}, far double"))
+    found = assigned.groupBy("own").agg(F.count(F.lit(1)).alias("size"), F.min("far"), F.max("far")).orderBy("own").collect()
+    lists, size, nearest_, farthest = (np.array(c) for c in zip(*found, strict=True))
+    layout = spark.sparkContext.broadcast(Shelves(quantiser, lists, size, nearest_, farthest, max(1, min(STORED, max(QUERIES, -(-total // SHELVES))))))
     return (
-        stored.union(queries)
-        .repartition("list", "chunk")
-        .sortWithinPartitions("list", "chunk", "role")
-        .mapInArrow(_compare(model, least), "node binary, links long, other binary")
+        assigned.select("node", "embedding", "n", "own")
+        .mapInArrow(_deal(model, layout, reach), f"low int, high int, role int, {row}")
+        .repartition("low", "high")
+        .sortWithinPartitions("low", "high", "role", "own")
+        .mapInArrow(_compare(model, layout, reach, least), "node binary, links long, other binary")
     )
 
 

@@ -1,6 +1,7 @@
 """Embedding near-duplicates against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_simhash import brute_components  # noqa: F401
 
@@ -54,6 +55,27 @@ def test_against_brute_force(spark, monkeypatch, stored):
         assert got == want
 
 
+def test_a_tight_group_of_a_third_keeps_all_links(spark):
+    """Noisy vectors, 20,000 and more, of which one group holds a third, and isolated pairs at the bound."""
+    rng = np.random.default_rng(11)
+    n, dim = 21_000, 64
+    x = rng.normal(size=(n, dim))
+    centre = rng.normal(size=dim)
+    x[: n // 3] = centre / np.linalg.norm(centre) + 0.035 * rng.normal(size=(n // 3, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = x[-1000::2], x[-999::2]
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    x[-999::2] = 0.901 * a + np.sqrt(1 - 0.901**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)})).repartition(8)
+    got = E.near_vectors(df).select("vec_id", "n_links").toArrow().sort_by("vec_id").column("n_links").to_numpy()
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = np.concatenate([(y[k : k + 1000] @ y.T >= 0.9).sum(axis=1) - 1 for k in range(0, n, 1000)])
+    assert want[: n // 3].mean() > 500 and (want[-1000:] > 0).all()
+    assert got.sum() / want.sum() == 1.0 and (got == want).all()
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, E.near_vectors(df).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
