@@ -12,7 +12,9 @@ own first window, and equal strings belong to equal anchors at equal distances.
    anchor, which builds a suffix array of them in two stages: suffixes smaller than their successors
    are sorted directly, the others are induced by scanning the buckets; adjacent common prefixes of
    ``length`` mark repeats.  Where an anchor has very many different stretches, they are first
-   split by their starts' distance to it, so that what they share collapses again.
+   split by their starts' distance to it and by the bytes that all starts of such a part cover, which equal
+   strings share, so that what they share collapses again.  Where too many different parts still agree
+   in those, they are split into narrower ones, down to single starts, whose parts are all equal.
 4. The marked starts go back to their documents, whose bytes are cut.
 """
 
@@ -33,8 +35,9 @@ from .common import cut, slices, small_batches, utf8_buffer
 LENGTH = 400
 #: Bytes of a hashed substring; a window holds LENGTH - GRAM + 1 of them.
 GRAM = 160
-#: Different stretches of an anchor from which they are split by distance, and starts of a part.
-HOT, PART = 2_000, 64
+#: Different stretches of an anchor from which they are split by distance, and different parts of a key from
+#: which those are split further; starts of a part, and by what the next narrower ones are smaller.
+HOT, PART, NARROWER = 2_000, 64, 4
 #: Text of a suffix array that one call builds, about, and starts whose anchors are found at once.
 ARRAY_BYTES, CHUNK = 1 << 18, 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -256,37 +259,44 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[list[int], dict[str, list]
     return (edges - edges[0]).tolist(), {f.name: flat.field(k).to_pylist() for k, f in enumerate(flat.type)}
 
 
-PARTS = "key long, p long, anchor long, d long, shift int, part binary"
+PARTS = "key long, p long, anchor long, d long, at long, shift int, part binary, r1 long, r2 long"
 
 
-def _take_parts(length: int, split: bool):
-    """Wanted stretches with their bytes, whole or ``split`` at fixed distances from the anchor."""
+def _take_parts(length: int, width: int):
+    """Wanted stretches with their bytes, whole (``width`` 0) or split at distances from the anchor that
+    are multiples of ``width``; ``shift`` counts from the begin of the stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK):
             data, text_edges = utf8_buffer(batch.column("text"))
             whole = data.tobytes()
             edges, fields = _lists(batch, "wanted")
-            base = np.repeat(text_edges[:-1], np.diff(edges)).tolist()
+            text = np.repeat(np.arange(batch.num_rows), np.diff(edges)).tolist()
             rows: list[tuple] = []
-            for b, anchor, d, at in zip(base, fields["anchor"], fields["d"], fields["at"], strict=True):
+            for t, anchor, d, at, shift in zip(text, fields["anchor"], fields["d"], fields["at"], fields["shift"], strict=True):
+                b = int(text_edges[t])
                 start = first = at >> 24
                 place, end = start + (at >> 12 & 4095), start + (at & 4095)
                 while first < end:
                     key, p, stop = anchor, d, end
-                    if split:
-                        far = (place - first) // PART
-                        stop = min(end, place - far * PART + 1)
-                        key = xxhash.xxh3_64_intdigest(b"%d %d" % (anchor, far)) - (1 << 63)
+                    if width:
+                        far = (place - first) // width
+                        last = place - far * width
+                        stop = min(end, last + 1)
+                        # What all starts at these distances cover, whichever of them this stretch has.
+                        shared = whole[b + last : b + max(last, last + 1 - width + length)]
+                        key = xxhash.xxh3_64_intdigest(b"%d %d %d " % (anchor, width, far) + shared) - (1 << 63)
                     part = whole[b + first : b + stop + length - 1]
-                    if split:
+                    if width:
                         p = xxhash.xxh3_64_intdigest(part, place - first) - (1 << 63)
-                    rows.append((key, p, anchor, d, first - start, part))
+                    rows.append((key, p, anchor, d, first << 24 | place - first << 12 | stop - first, shift + first - start, part, t))
                     first = stop
             if rows:
-                *numbers, shift, part = zip(*rows, strict=True)
+                *numbers, shift, part, row = zip(*rows, strict=True)
+                named = [batch.column(c).take(pa.array(row)) for c in ("r1", "r2")]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x, pa.int64()) for x in numbers), pa.array(shift, pa.int32()), pa.array(part, pa.binary())], names=["key", "p", "anchor", "d", "shift", "part"]
+                    [*(pa.array(x, pa.int64()) for x in numbers), pa.array(shift, pa.int32()), pa.array(part, pa.binary()), *named],
+                    names=["key", "p", "anchor", "d", "at", "shift", "part", "r1", "r2"],
                 )
 
     return run
@@ -385,24 +395,36 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     any_hot = hot.limit(1).count() > 0
 
     # All joins with the texts take the same columns, so that one query shuffles the texts once.
-    def parts(some: DataFrame, split: bool) -> DataFrame:
-        wanted = some.groupBy(F.col("one.r1").alias("w1"), F.col("one.r2").alias("w2")).agg(F.collect_list(F.struct(*stretch, "one.at")).alias("wanted"))
+    def parts(some: DataFrame, width: int) -> DataFrame:
+        wanted = some.groupBy(F.col("one.r1").alias("w1"), F.col("one.r2").alias("w2")).agg(F.collect_list(F.struct(*stretch, "one.at", "shift")).alias("wanted"))
         joined = texts.join(wanted, (F.col("r1") == F.col("w1")) & (F.col("r2") == F.col("w2")))
-        return joined.select("doc_id", *name, "text", "wanted").mapInArrow(_take_parts(length, split), PARTS)
+        return joined.select("doc_id", *name, "text", "wanted").mapInArrow(_take_parts(length, width), PARTS)
 
     def compared(rows: DataFrame) -> DataFrame:
+        rows = rows.select("key", "p", F.lit(1).cast("long").alias("n"), "part")
         return rows.repartition("key").sortWithinPartitions("key", "p").mapInArrow(_compare(length), "key long, p long, low int, high int")
 
+    kinds = kinds.withColumn("shift", F.lit(0))
     cool = kinds.join(hot, "anchor", "left_anti") if any_hot else kinds
-    single = compared(parts(cool, False).select("key", "p", F.lit(1).cast("long").alias("n"), "part"))
+    single = compared(parts(cool, 0))
     marked = whole.union(single.select(F.col("key").alias("anchor"), F.col("p").alias("d"), "low", "high"))
-    if any_hot:
-        split = parts(kinds.join(hot, "anchor", "left_semi"), True)
-        distinct = split.groupBy("key", "p").agg(F.count(F.lit(1)).alias("n"), F.first("part").alias("part"))
-        found_parts = cut(compared(distinct.select("key", "p", "n", "part")))
+    some, width = kinds.join(hot, "anchor", "left_semi"), PART
+    while any_hot:
+        split = cut(parts(some, width).drop("part"))
+        each = cut(split.groupBy("key", "p").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*name, "at", *stretch)).alias("one")))
+        groups = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+        crowded = groups.where(F.col("kinds") > HOT).select("key")
+        # Parts of one start each that share a key are equal.
+        any_hot = width > 1 and crowded.limit(1).count() > 0
+        few = groups.where(F.col("kinds") <= HOT) if any_hot else groups
+        taken = parts(each.join(few.select("key"), "key", "left_semi").select("one.anchor", "one.d", "one", F.lit(0).alias("shift")), width)
+        copies = each.where("n > 1").select("key", "p", F.lit(0).alias("low"), F.col("one.at").bitwiseAND(F.lit(4095).cast("long")).cast("int").alias("high"))
+        repeats = cut(compared(taken).union(copies))
         marked = marked.union(
-            split.drop("part").join(found_parts, ["key", "p"]).select(*stretch, (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
+            split.join(repeats, ["key", "p"]).select(*stretch, (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
         )
+        some = split.join(crowded, "key", "left_semi").select(*stretch, "shift", F.struct(*name, "at").alias("one"))
+        width = max(1, width // NARROWER)
     start = F.shiftright("at", 24)
     spans = (
         placed.select(*stretch, *name, "at")

@@ -66,5 +66,42 @@ def test_against_brute_force(spark, monkeypatch, hot):
     assert sum(w[2] for w in want) > 3000 and any(w[3] > 1 for w in want)
 
 
+def test_a_shared_passage_is_split_over_keys(spark, monkeypatch):
+    """Many documents share less than ``length`` bytes, with different text around: no key may gather them."""
+    most, real = 20, S._compare
+
+    def bounded(length):
+        inner = real(length)
+
+        def run(batches):
+            def seen():
+                count = Counter()
+                for batch in batches:
+                    count.update(batch.column("key").to_pylist())
+                    if max(count.values()) > most:
+                        raise ValueError("a key gathers too many parts")
+                    yield batch
+
+            yield from inner(seen())
+
+        return run
+
+    monkeypatch.setattr(S, "HOT", most)
+    monkeypatch.setattr(S, "_compare", bounded)
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefgh "))
+    word = lambda n: "".join(rng.choice(letters, n))
+    texts = []
+    for size, docs in ((260, 120), (345, 120), (398, 120)):
+        passage, around = word(size), [word(n) for n in (90, 90)]
+        texts += [word(250) + passage + word(250) for _ in range(docs)]
+        texts += [word(150) + around[0] + passage + around[1] + word(150) for _ in range(3)]
+        texts += [word(250) + passage + around[1][:k] + word(200) for k in (2, 3, 60, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(df).collect())
+    want = [(i, *w) for i, w in enumerate(brute(texts, 400))]
+    assert got == want and sum(w[2] > 0 for w in want) > 9
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
