@@ -2,7 +2,8 @@
 
 Each page is read into blocks of text with the containers around them.  Its containers are scored
 by the running text that they hold outside menus, adverts and the like, and the deepest one with
-nearly all of it votes for its path of tags and classes, numbers in class names made alike.  The
+nearly all of it, or the article or main element around it, votes for its path of tags and classes,
+numbers in class names made alike.  The
 votes of a host are summed in Spark, and every page of the host is then extracted at the winning
 path; a page that lacks that path falls back on its own container.
 """
@@ -185,7 +186,8 @@ def _weight(block: Block) -> float:
 
 
 def best_container(blocks: list[Block], paths: list[str]) -> tuple[int, float]:
-    """The deepest container with ``SHARE`` of the page's weight, and its weight."""
+    """The deepest container with ``SHARE`` of the page's weight, or the nearest article or main element
+    around it, so that headings and leads beside the text's box stay; and its weight."""
     total, score = 0.0, [0.0] * len(paths)
     for block in blocks:
         weight = _weight(block)
@@ -195,6 +197,12 @@ def best_container(blocks: list[Block], paths: list[str]) -> tuple[int, float]:
     # Containers are numbered from the outside in; paragraphs and headings themselves contain nothing.
     full = [k for k in range(len(paths)) if score[k] >= SHARE * total and not re.search(r"/(?:p|h[1-6])(?:\.[^/]*)?$", paths[k])]
     best = full[-1] if full else 0
+    around = next((b.within for b in blocks if best in b.within), ())
+    for k in range(len(around) - 1, 0, -1):
+        step = paths[around[k]][len(paths[around[k - 1]]) + 1 :]
+        if around[k] <= best and step.split(".")[0] in ("article", "main"):
+            best = around[k]
+            break
     return best, score[best]
 
 

@@ -42,6 +42,16 @@ def test_very_long_page():
     assert H.text_at("<a '" * 20_000, None) is not None
 
 
+def test_parts_of_an_article_beside_its_largest_box():
+    long = f"<p>{P1}</p>" * 9
+    nested = f"<article class='w-1/2'><h1>Head</h1><p>Lead.</p><div class='body'>{long}</div><p>Last.</p></article>"
+    listed = "<main><h1>Head</h1><p>Lead.</p><ul>" + f"<li>{P1}" * 9 + "</ul><p>Last.</p></main>"
+    for story in (nested, listed):
+        blocks, paths = H.read_blocks(page(f"{NOISE}<div>{story}</div>{END}"))
+        assert paths[H.best_container(blocks, paths)[0]].rpartition("/div/")[2] in ("article.w-#/#", "main")
+        assert H.text_at(page(f"{NOISE}<div>{story}</div>{END}"), None) == "\n".join(["Head", "Lead."] + [P1] * 9 + ["Last."])
+
+
 def test_host_consensus(spark):
     story = f"<div class='post-7 story'><p>{P1}</p><p>{P1}</p></div>"
     rows = [(i, f"http://a.example/{i}", page(f"<div class='x'><p>Short.</p></div>{story.replace('7', str(i))}")) for i in range(9)]
