@@ -93,6 +93,30 @@ def _add(counts, sums, checks, digest, table, sign, cells) -> None:
         np.add.at(checks, at, check)
 
 
+def peel(counts: np.ndarray, sums: np.ndarray, checks: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The digests in the tables, which are emptied, their tables and sides; none of those where peeling
+    gets stuck, and which these are."""
+    got = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    progress = True
+    while progress:
+        progress = False
+        for j in range(3):
+            single = np.flatnonzero(np.abs(counts.reshape(-1, 3, cells)[:, j, :].ravel()) == 1)
+            at = (single // cells * 3 + j) * cells + single % cells
+            side = counts[at]
+            key = sums[at] * side.astype(np.uint64)
+            pure = _mix(key, 99) * side.astype(np.uint64) == checks[at]
+            if pure.any():
+                progress = True
+                key, side, table = key[pure], side[pure], single[pure] // cells
+                _add(counts, sums, checks, key, table, -side, cells)
+                got.append((key, table, side))
+    stuck = (counts.reshape(-1, 3 * cells) != 0).any(axis=1) | (sums.reshape(-1, 3 * cells) != 0).any(axis=1)
+    key, table, side = (np.concatenate(x) for x in zip(*got, strict=True))
+    good = ~stuck[table]
+    return key[good], table[good], side[good], stuck
+
+
 def differences(a: np.ndarray, a_of: np.ndarray, b: np.ndarray, b_of: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pairs of digest sets, ``a`` of pair ``a_of`` and ``b`` of ``b_of``: the digests that one
     side alone holds, their pairs, and 1 or -1 for the side."""
@@ -104,39 +128,32 @@ def differences(a: np.ndarray, a_of: np.ndarray, b: np.ndarray, b_of: np.ndarray
         number = np.full(pairs, -1)
         number[open_] = np.arange(len(open_))
         in_open = number[pair] >= 0
-        counts, sums, checks = tables(digest[in_open], number[pair[in_open]], sign[in_open], len(open_), cells)
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        progress = True
-        while progress:
-            progress = False
-            for j in range(3):
-                single = np.flatnonzero(np.abs(counts.reshape(-1, 3, cells)[:, j, :].ravel()) == 1)
-                at = (single // cells * 3 + j) * cells + single % cells
-                side = counts[at]
-                key = sums[at] * side.astype(np.uint64)
-                pure = _mix(key, 99) * side.astype(np.uint64) == checks[at]
-                if pure.any():
-                    progress = True
-                    key, side, table = key[pure], side[pure], single[pure] // cells
-                    _add(counts, sums, checks, key, table, -side, cells)
-                    got.append((key, table, side))
-        stuck = (counts.reshape(len(open_), -1) != 0).any(axis=1) | (sums.reshape(len(open_), -1) != 0).any(axis=1)
-        if got:
-            key, table, side = (np.concatenate(x) for x in zip(*got, strict=True))
-            good = ~stuck[table]
-            found.append((key[good], open_[table[good]], side[good]))
+        key, table, side, stuck = peel(*tables(digest[in_open], number[pair[in_open]], sign[in_open], len(open_), cells), cells)
+        found.append((key, open_[table], side))
         open_, cells = open_[stuck], cells * LARGER
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def fingerprint_strings(digest: np.ndarray, edges: np.ndarray) -> list[str]:
-    """The smallest table of each set: its size, then its cells, in hex."""
+def stored_differences(a: str, b: str) -> tuple[list[int], list[int]] | None:
+    """The digests that only the first and only the second of two fingerprints with equally large tables
+    hold; none where they differ in too many to tell, and strings of tables ``LARGER`` times as large are
+    to be asked for."""
+    x, y = (np.frombuffer(bytes.fromhex(s.partition(":")[2]), _CELL) for s in (a, b))
+    if len(x) != len(y):
+        raise ValueError("fingerprints have tables of one size")
+    counts = x["count"].astype(np.int64) - y["count"]
+    key, _, side, stuck = peel(counts, x["digest"] - y["digest"], x["check"] - y["check"], len(x) // 3)
+    return None if stuck[0] else (sorted(key[side == 1].tolist()), sorted(key[side == -1].tolist()))
+
+
+def fingerprint_strings(digest: np.ndarray, edges: np.ndarray, subtable: int = CELLS) -> list[str]:
+    """A table of each set, the smallest unless told otherwise: the set's size, then its cells, in hex."""
     n = len(edges) - 1
     of = np.repeat(np.arange(n), np.diff(edges))
-    cells = np.zeros((n, 3 * CELLS), _CELL)
-    counts, sums, checks = tables(digest, of, np.ones(len(digest), np.int64), n, CELLS)
+    cells = np.zeros((n, 3 * subtable), _CELL)
+    counts, sums, checks = tables(digest, of, np.ones(len(digest), np.int64), n, subtable)
     for name, value in (("count", counts), ("digest", sums), ("check", checks)):
         cells[name] = value.reshape(n, -1)
     return [f"{k:x}:{row.tobytes().hex()}" for k, row in zip(np.diff(edges).tolist(), cells, strict=True)]

@@ -43,6 +43,17 @@ def test_equal_texts_are_cut_alike_behind_any_text():
         assert all(digest[edges[i] : edges[i + 1]].tolist() == alone for i in range(0, len(texts), 2))
 
 
+def test_stored_fingerprints_are_peeled():
+    lines = [b"line %d\n" % k for k in range(300)]
+    for changed, small in ((2, True), (120, False)):
+        digest, edges = P.piece_digests([b"".join(lines), b"".join(lines[changed:]) + b"new\n"])
+        a, b = (set(digest[edges[k] : edges[k + 1]].tolist()) for k in (0, 1))
+        cells = P.CELLS
+        while (got := P.stored_differences(*P.fingerprint_strings(digest, edges, cells))) is None:
+            cells *= P.LARGER
+        assert got == (sorted(a - b), sorted(b - a)) and len(a - b) == changed and (cells == P.CELLS) == small
+
+
 def test_query_against_brute_force(spark):
     rng = np.random.default_rng(7)
     docs = [(int(i) * 3, "\n".join(" ".join("wört%d" % k for k in rng.integers(0, 50, 12)) for _ in range(rng.integers(0, 9)))) for i in rng.permutation(150)]
