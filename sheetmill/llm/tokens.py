@@ -37,11 +37,14 @@ def _byte_characters() -> list[str]:
 
 
 class Encoder:
-    """Strings of special tokens in a text are ordinary text."""
+    """A special token's string in a text is that token, as for the library: texts are cut there first."""
 
     def __init__(self, file: str, pattern: str):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.tokenizer.encode_special_tokens = True
+        # The files' added tokens all match raw text, whatever stands beside them.
+        self.special = {t.content: array("H", [i]).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
+        self.begins = {t[:2] for t in self.special}
         self.model = self.tokenizer.model
         self.model._resize_cache(0)
         self.words = regex.compile(pattern).findall
@@ -92,7 +95,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 16-bit integers."""
-        return [np.frombuffer(self._encode(t), np.uint16) for t in texts]
+        return [np.frombuffer(self._whole(t), np.uint16) for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        if not any(map(text.__contains__, self.begins)):
+            return self._encode(text)
+        return b"".join(self.special.get(part) or self._encode(part) for part in self.split(text) if part)
 
 
 class ByteEncoder(Encoder):
