@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import shared_dir, table
+from .common import scratch_dir, table
 from .embeddings import near_vectors
 from .fingerprints import compare_versions
 from .html_extraction import extract_main_text
@@ -34,8 +33,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), folder))
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), scratch_dir(spark, "token-files")))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
