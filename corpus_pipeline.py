@@ -6,13 +6,11 @@ columns of ``docs``.  Between stages the rows are written as Parquet and read ag
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetmill.llm import language_id, line_dedup, mixing, packing, simhash
-from sheetmill.llm.common import cut, shared_dir, table
+from sheetmill.llm.common import cut, scratch_dir, table
 
 #: Least posterior probability with which a document's language counts as known.
 MIN_LANGUAGE_SCORE = 0.5
@@ -85,7 +83,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the table ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
