@@ -41,6 +41,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def forget(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ``scratch_dir`` before the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, its lineage cut.
 

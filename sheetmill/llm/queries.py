@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import scratch_dir, table
 from .embeddings import near_vectors
@@ -25,7 +26,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+    # The bytes that are left as text; a character cut apart becomes U+FFFD.
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", text)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,16 @@ own first window, and equal strings belong to equal anchors at equal distances.
 
 1. Each anchor has a stretch: the text that its starts cover.  One pass emits the stretches' digests;
    anchors are counted, and starts whose anchor occurs once are done: nothing equals them.
-2. A digest that occurs twice repeats as a whole, so a group of copies collapses to a count.
-3. Where an anchor has different stretches, one of each goes, with its bytes, to the task of that
-   anchor, which builds a suffix array of them in two stages: suffixes smaller than their successors
-   are sorted directly, the others are induced by scanning the buckets; adjacent common prefixes of
-   ``length`` mark repeats.  Where an anchor has very many different stretches, they are first
+2. Stretches of one digest are copies, however many: two of them stand for all.  Neighbouring ones with the
+   same two places join to runs, and both places' bytes go to one suffix array.
+3. Where an anchor has different stretches, one of each goes, with its bytes, to the array of that
+   anchor.  Where an anchor has very many different stretches, they are first
    split by their starts' distance to it and by the bytes that all starts of such a part cover, which equal
    strings share, so that what they share collapses again.  Where too many different parts still agree
    in those, they are split into narrower ones, down to single starts, whose parts are all equal.
-4. The marked starts go back to their documents, whose bytes are cut.
+4. Suffix arrays are built in two stages: suffixes smaller than their successors are sorted directly, the
+   others are induced by scanning the buckets; adjacent common prefixes of ``length`` mark repeats.
+5. The marked starts go back to their documents, whose bytes are cut.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small_batches, utf8_buffer
+from .common import cut, forget, scratch_dir, slices, small_batches, utf8_buffer
 
 LENGTH = 400
 #: Bytes of a hashed substring; a window holds LENGTH - GRAM + 1 of them.
@@ -40,6 +41,8 @@ GRAM = 160
 HOT, PART, NARROWER = 2_000, 64, 4
 #: Text of a suffix array that one call builds, about, and starts whose anchors are found at once.
 ARRAY_BYTES, CHUNK = 1 << 18, 1 << 18
+#: Starts of a run of copies at most, about, and bytes of parts that one task compares, about.
+RUN, TASK_BYTES = 1 << 16, 16 << 20
 _BASE = 0x9E3779B97F4A7C15
 _NONE = ~np.uint64(0)
 
@@ -128,6 +131,25 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """How many symbols each suffix of ``order`` shares with the next one, ``most`` at most; all have as many.
+
+    Eight symbols are compared as one number, for those pairs alone that agree so far."""
+    lengths = np.full(max(0, len(order) - 1), most)
+    words = np.ndarray((len(text) + 1,), ">u8", np.concatenate((text, np.zeros(8, np.uint8))).tobytes(), strides=(1,))
+    pairs = np.arange(len(lengths))
+    for depth in range(0, most, 8):
+        differs = words[order[pairs] + depth].astype(">u8") ^ words[order[pairs + 1] + depth]
+        apart = differs != 0
+        if apart.any():
+            first = (differs[apart].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+            lengths[pairs[apart]] = np.minimum(depth + first, most)
+            pairs = pairs[~apart]
+        if not len(pairs):
+            break
+    return lengths
+
+
 def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     """For each part, which of its starts have ``length`` bytes that also start elsewhere."""
     sizes = np.array([len(p) for p in parts])
@@ -136,16 +158,9 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     order = suffix_array(text, length)
     room = np.repeat(edge[1:], sizes) - np.arange(len(text))
     order = order[room[order] >= length]  # a string lies inside its part
-    raw = text.tobytes()
     found = np.zeros(len(text), bool)
-    if len(order) > 1:
-        # Common prefixes of neighbours: compared at once by 64-bit digests of their strings, and
-        # byte by byte where those agree.
-        digest = _gram_hashes(text, length)[order]
-        near = np.flatnonzero(digest[1:] == digest[:-1])
-        for a, b in zip(order[near].tolist(), order[near + 1].tolist(), strict=True):
-            if raw[a : a + length] == raw[b : b + length]:
-                found[a] = found[b] = True
+    near = common_prefixes(text, order, length) >= length
+    found[order[:-1][near]] = found[order[1:][near]] = True
     return [found[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
@@ -259,12 +274,28 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[list[int], dict[str, list]
     return (edges - edges[0]).tolist(), {f.name: flat.field(k).to_pylist() for k, f in enumerate(flat.type)}
 
 
-PARTS = "key long, p long, anchor long, d long, at long, shift int, part binary, r1 long, r2 long"
+PARTS = "run boolean, key long, p long, part binary"
+SPLIT = "key long, p long, anchor long, d long, at long, shift int, r1 long, r2 long"
+
+
+def _take_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the wanted parts, each ``size`` long from ``first``."""
+    for batch in slices(batches, "text", CHUNK):
+        data, text_edges = utf8_buffer(batch.column("text"))
+        whole = data.tobytes()
+        edges, fields = _lists(batch, "wanted")
+        base = np.repeat(text_edges[:-1], np.diff(edges))
+        first = (base + np.array(fields["first"], np.int64)).tolist()
+        parts = [whole[a : a + n] for a, n in zip(first, fields["size"], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(fields["run"], pa.bool_()), pa.array(fields["key"], pa.int64()), pa.array(fields["p"], pa.int64()), pa.array(parts, pa.binary())],
+            names=["run", "key", "p", "part"],
+        )
 
 
-def _take_parts(length: int, width: int):
-    """Wanted stretches with their bytes, whole (``width`` 0) or split at distances from the anchor that
-    are multiples of ``width``; ``shift`` counts from the begin of the stretch."""
+def _split_parts(length: int, width: int):
+    """Wanted stretches split at distances from the anchor that are multiples of ``width``; ``shift``
+    counts from the begin of the stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK):
@@ -278,50 +309,44 @@ def _take_parts(length: int, width: int):
                 start = first = at >> 24
                 place, end = start + (at >> 12 & 4095), start + (at & 4095)
                 while first < end:
-                    key, p, stop = anchor, d, end
-                    if width:
-                        far = (place - first) // width
-                        last = place - far * width
-                        stop = min(end, last + 1)
-                        # What all starts at these distances cover, whichever of them this stretch has.
-                        shared = whole[b + last : b + max(last, last + 1 - width + length)]
-                        key = xxhash.xxh3_64_intdigest(b"%d %d %d " % (anchor, width, far) + shared) - (1 << 63)
-                    part = whole[b + first : b + stop + length - 1]
-                    if width:
-                        p = xxhash.xxh3_64_intdigest(part, place - first) - (1 << 63)
-                    rows.append((key, p, anchor, d, first << 24 | place - first << 12 | stop - first, shift + first - start, part, t))
+                    far = (place - first) // width
+                    last = place - far * width
+                    stop = min(end, last + 1)
+                    # What all starts at these distances cover, whichever of them this stretch has.
+                    shared = whole[b + last : b + max(last, last + 1 - width + length)]
+                    key = xxhash.xxh3_64_intdigest(b"%d %d %d " % (anchor, width, far) + shared) - (1 << 63)
+                    p = xxhash.xxh3_64_intdigest(whole[b + first : b + stop + length - 1], place - first) - (1 << 63)
+                    rows.append((key, p, anchor, d, first << 24 | place - first << 12 | stop - first, shift + first - start, t))
                     first = stop
             if rows:
-                *numbers, shift, part, row = zip(*rows, strict=True)
+                *numbers, shift, row = zip(*rows, strict=True)
                 named = [batch.column(c).take(pa.array(row)) for c in ("r1", "r2")]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x, pa.int64()) for x in numbers), pa.array(shift, pa.int32()), pa.array(part, pa.binary()), *named],
-                    names=["key", "p", "anchor", "d", "at", "shift", "part", "r1", "r2"],
+                    [*(pa.array(x, pa.int64()) for x in numbers), pa.array(shift, pa.int32()), *named],
+                    names=["key", "p", "anchor", "d", "at", "shift", "r1", "r2"],
                 )
 
     return run
 
 
 def _compare(length: int):
-    """Distinct parts ``key, p, n, part`` sorted by key: their starts ``low <= start < high`` that
-    repeat, in another of their key or because the part occurs ``n`` times."""
+    """Parts ``run, key, p, part`` sorted by run and key: their starts ``low <= start < high`` that repeat."""
 
-    def of(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    def of(held: list[tuple[bool, int, int, bytes]]) -> pa.RecordBatch:
         rows = []
-        for (key, p, n, part), marks in zip(held, repeated_starts([h[3] for h in held], length), strict=True):
-            marks = marks[: len(part) - length + 1] | (n > 1)
+        for (run, key, p, _), marks in zip(held, repeated_starts([h[3] for h in held], length), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))).tolist()
-            rows += [(key, p, low, high) for low, high in zip(edge[::2], edge[1::2], strict=True)]
-        columns = zip(*rows, strict=True) if rows else ((),) * 4
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["key", "p", "low", "high"])
+            rows += [(run, key, p, low, high) for low, high in zip(edge[::2], edge[1::2], strict=True)]
+        columns = zip(*rows, strict=True) if rows else ((),) * 5
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["run", "key", "p", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[bool, int, int, bytes]] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "n", "part")), strict=True):
-                if size >= ARRAY_BYTES and row[0] != held[-1][0]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("run", "key", "p", "part")), strict=True):
+                if size >= ARRAY_BYTES and row[:2] != held[-1][:2]:
                     yield of(held)
                     held, size = [], 0
                 held.append(row)
@@ -378,7 +403,11 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     names = {"r1": F.xxhash64(F.col("doc_id").cast("string"), "text"), "r2": F.xxhash64("text", F.lit("|"), F.col("doc_id").cast("string"))}
     texts = small_batches(docs).select("doc_id", "text").withColumns(names)
     name = ["r1", "r2"]
-    found = texts.select(*name, "text").mapInArrow(_find_anchors(length, gram), "anchor long, d long, r1 long, r2 long, at long")
+    spark, stretch = docs.sparkSession, ["anchor", "d"]
+    # Anchors are found once and kept as a table until the repeated ones are known.
+    folder = scratch_dir(spark, "anchors")
+    texts.select(*name, "text").mapInArrow(_find_anchors(length, gram), "anchor long, d long, r1 long, r2 long, at long").write.mode("overwrite").parquet(folder)
+    found = spark.read.parquet(folder)
     # Cut, so that a very frequent anchor is split over tasks by the join below.
     repeated = cut(
         found.groupBy("anchor")
@@ -387,39 +416,73 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
         .select("anchor", (F.col("least") != F.col("most")).alias("differ"))
     )
     placed = cut(found.join(repeated, "anchor"))
-    stretch = ["anchor", "d"]
-    starts = F.col("at").bitwiseAND(F.lit(4095).cast("long")).cast("int")
-    whole = placed.groupBy(*stretch).agg(F.count(F.lit(1)).alias("n"), F.max(starts).alias("high")).where("n > 1").select(*stretch, F.lit(0).alias("low"), "high")
-    kinds = placed.where("differ").groupBy(*stretch).agg(F.min(F.struct(*name, "at")).alias("one"))
-    hot = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > HOT).select("anchor"))
+    forget(spark, folder)
+    occurrence = F.struct(*name, "at")
+    kinds = cut(
+        placed.groupBy(*stretch).agg(
+            F.count(F.lit(1)).alias("n"), F.max("differ").alias("differ"), F.min(occurrence).alias("one"), F.max(occurrence).alias("two")
+        )
+    )
+    starts = F.col("one.at").bitwiseAND(F.lit(4095).cast("long")).cast("int")
+    first = lambda side: F.shiftright(F.col(side)["at"], 24).cast("int")
+
+    # Copies: neighbouring stretches at the same two places are a run.
+    places = [F.col(f"{side}.{r}").alias(f"{side}_{r}") for side in ("one", "two") for r in name]
+    both = [f"{side}_{r}" for side in ("one", "two") for r in name] + ["lag"]
+    order = Window.partitionBy(*both).orderBy("first", "starts")
+    copies = kinds.where("n > 1").select(*stretch, *places, (first("two") - first("one")).alias("lag"), first("one").alias("first"), starts.alias("starts"))
+    before = F.lag(F.col("first") + F.col("starts")).over(order)
+    joins = (F.col("first") <= before) & (F.floor(F.col("first") / RUN) == F.floor(F.lag("first").over(order) / RUN))
+    members = (
+        copies.withColumn("fresh", F.when(joins, None).otherwise(F.col("first")))
+        .withColumn("begin", F.max("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .select(*stretch, *both, "begin", (F.col("first") - F.col("begin")).alias("shift"), "starts")
+        .withColumn("key", F.xxhash64(*both, "begin"))
+    )
+    members = cut(members)
+    runs = members.groupBy("key", *both, "begin").agg((F.max(F.col("shift") + F.col("starts")) + length - 1).alias("size"))
+    sides = F.array(
+        F.struct(F.col("one_r1").alias("w1"), F.col("one_r2").alias("w2"), F.lit(0).cast("long").alias("p"), F.col("begin").alias("first")),
+        F.struct(F.col("two_r1").alias("w1"), F.col("two_r2").alias("w2"), F.lit(1).cast("long").alias("p"), (F.col("begin") + F.col("lag")).alias("first")),
+    )
+    runs = runs.select("key", "size", F.explode(sides).alias("side")).select("side.w1", "side.w2", F.lit(True).alias("run"), "key", "side.p", "side.first", "size")
+
+    different = kinds.where("differ").select(*stretch, "one", F.lit(0).alias("shift"))
+    hot = cut(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > HOT).select("anchor"))
     any_hot = hot.limit(1).count() > 0
+    cool = different.join(hot, "anchor", "left_anti") if any_hot else different
+
+    def single(some: DataFrame, key: str, p: str, side: str = "one") -> DataFrame:
+        size = F.col(f"{side}.at").bitwiseAND(F.lit(4095).cast("long")).cast("int") + length - 1
+        return some.select(F.col(f"{side}.r1").alias("w1"), F.col(f"{side}.r2").alias("w2"), F.lit(False).alias("run"), F.col(key).alias("key"), F.col(p).alias("p"), first(side).alias("first"), size.alias("size"))
 
     # All joins with the texts take the same columns, so that one query shuffles the texts once.
-    def parts(some: DataFrame, width: int) -> DataFrame:
-        wanted = some.groupBy(F.col("one.r1").alias("w1"), F.col("one.r2").alias("w2")).agg(F.collect_list(F.struct(*stretch, "one.at", "shift")).alias("wanted"))
-        joined = texts.join(wanted, (F.col("r1") == F.col("w1")) & (F.col("r2") == F.col("w2")))
-        return joined.select("doc_id", *name, "text", "wanted").mapInArrow(_take_parts(length, width), PARTS)
-
-    def compared(rows: DataFrame) -> DataFrame:
-        rows = rows.select("key", "p", F.lit(1).cast("long").alias("n"), "part")
-        return rows.repartition("key").sortWithinPartitions("key", "p").mapInArrow(_compare(length), "key long, p long, low int, high int")
-
-    kinds = kinds.withColumn("shift", F.lit(0))
-    cool = kinds.join(hot, "anchor", "left_anti") if any_hot else kinds
-    single = compared(parts(cool, 0))
-    marked = whole.union(single.select(F.col("key").alias("anchor"), F.col("p").alias("d"), "low", "high"))
-    some, width = kinds.join(hot, "anchor", "left_semi"), PART
+    def with_texts(some: DataFrame, *fields: str) -> DataFrame:
+        wanted = some.groupBy("w1", "w2").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
+        return texts.join(wanted, (F.col("r1") == F.col("w1")) & (F.col("r2") == F.col("w2"))).select("doc_id", *name, "text", "wanted")
+
+    def compared(some: DataFrame) -> DataFrame:
+        tasks = (some.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(tasks, 100_000))
+        rows = with_texts(some, "run", "key", "p", "first", "size").mapInArrow(_take_parts, PARTS)
+        return rows.repartition(tasks, "run", "key").sortWithinPartitions("run", "key", "p").mapInArrow(_compare(length), "run boolean, key long, p long, low int, high int")
+
+    marks = cut(compared(runs.union(single(cool, "anchor", "d"))))
+    of_runs = members.select(*stretch, "key", "shift", "starts").join(marks.where("run and p = 0").select("key", "low", "high"), "key")
+    of_runs = of_runs.select(*stretch, F.greatest(F.col("low") - F.col("shift"), F.lit(0)).alias("low"), F.least(F.col("high") - F.col("shift"), "starts").alias("high")).where("low < high")
+    marked = of_runs.union(marks.where("not run").select(F.col("key").alias("anchor"), F.col("p").alias("d"), "low", "high"))
+    some, width = different.join(hot, "anchor", "left_semi"), PART
     while any_hot:
-        split = cut(parts(some, width).drop("part"))
-        each = cut(split.groupBy("key", "p").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*name, "at", *stretch)).alias("one")))
-        groups = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+        asked = some.select(F.col("one.r1").alias("w1"), F.col("one.r2").alias("w2"), *stretch, "one.at", "shift")
+        split = cut(with_texts(asked, *stretch, "at", "shift").mapInArrow(_split_parts(length, width), SPLIT))
+        each = cut(split.groupBy("key", "p").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("one"), F.max(occurrence).alias("two")))
+        groups = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).where("n > 1"))
         crowded = groups.where(F.col("kinds") > HOT).select("key")
         # Parts of one start each that share a key are equal.
         any_hot = width > 1 and crowded.limit(1).count() > 0
         few = groups.where(F.col("kinds") <= HOT) if any_hot else groups
-        taken = parts(each.join(few.select("key"), "key", "left_semi").select("one.anchor", "one.d", "one", F.lit(0).alias("shift")), width)
-        copies = each.where("n > 1").select("key", "p", F.lit(0).alias("low"), F.col("one.at").bitwiseAND(F.lit(4095).cast("long")).cast("int").alias("high"))
-        repeats = cut(compared(taken).union(copies))
+        taken = each.join(few.select("key"), "key", "left_semi")
+        repeats = cut(compared(single(taken, "key", "p").union(single(taken.where("n > 1"), "key", "p", "two"))).select("key", "p", "low", "high").distinct())
         marked = marked.union(
             split.join(repeats, ["key", "p"]).select(*stretch, (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
         )

@@ -19,6 +19,19 @@ def test_suffix_array(symbols):
     assert S.suffix_array(text, 1000).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
 
 
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 1), min_size=1, max_size=90), st.integers(1, 30))
+def test_common_prefixes(symbols, most):
+    text = np.array(symbols, np.uint8)
+    raw = text.tobytes()
+    order = np.array([i for i in S.suffix_array(text, 1000) if i + most <= len(raw)], np.int64)
+
+    def shared(a, b):
+        return next((k for k in range(most) if raw[a + k] != raw[b + k]), most)
+
+    assert S.common_prefixes(text, order, most).tolist() == [shared(a, b) for a, b in zip(order, order[1:])]
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(0, 9), min_size=8, max_size=80), st.integers(1, 7))
 def test_sliding_least(values, w):
@@ -46,6 +59,7 @@ def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "PART", 5)
     monkeypatch.setattr(S, "ARRAY_BYTES", 3000)
+    monkeypatch.setattr(S, "RUN", 70)
     rng = np.random.default_rng(3)
     letters = np.array(list("abcdé "))
     passage = ["".join(rng.choice(letters, n)) for n in (30, 55, 90, 41)]
@@ -103,5 +117,24 @@ def test_a_shared_passage_is_split_over_keys(spark, monkeypatch):
     assert got == want and sum(w[2] > 0 for w in want) > 9
 
 
+def test_copies_pass_through_suffix_arrays(spark, monkeypatch):
+    """Equal digests alone mark nothing: with arrays that find no repeat, nothing goes."""
+    text = " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(1, text), (2, text), (3, "b " + text[:900])], "doc_id long, text string")
+    assert {r.n_removed for r in S.remove_repeats(df).collect()} == {len(text), 900}
+    monkeypatch.setattr(S, "_compare", lambda length: lambda batches: iter(()))
+    assert {r.n_removed for r in S.remove_repeats(df).collect()} == {0}
+
+
+def test_the_query_returns_what_is_left(spark, tmp_path):
+    from sheetmill.llm.queries import op2_suffix_dedup
+
+    text = "é" * 7 + " ".join(f"wörd{i}" for i in range(100))
+    spark.createDataFrame([(1, "clean start " + text), (2, text + " clean end"), (3, "only"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op2_suffix_dedup(spark, f"file://{tmp_path}").collect()}
+    assert [rows[i].text for i in (1, 2, 3, 4)] == ["clean start ", " clean end", "only", ""]
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in rows.values())
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
