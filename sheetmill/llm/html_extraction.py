@@ -27,10 +27,17 @@ SHARE = 0.8
 #: are shuffled by host.
 BROADCAST_HOSTS = 1 << 17
 
-_WHOLE = "script|style|noscript|template|textarea|svg|math|iframe|object|select|button|title"
+#: Raw text up to their end tag, or to the page's end; what goes with its end tag and holds no other of its
+#: kind; and what, besides, holds no article, so that an end tag left out takes no text along.
+_RAW = "script|style"
+_WHOLE = "title|textarea|noscript|template|iframe|object|canvas|video|audio|annotation|annotation-xml"
+_WIDGET = "button|select|svg"
+_REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<whole>{_WHOLE})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=whole)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b{_REST}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<whole>{_WHOLE})\b{_REST}>(?:(?!<(?P=whole)\b).)*?</(?P=whole)\s*>"
+    rf"|<(?P<widget>{_WIDGET})\b{_REST}>(?:(?!<(?:(?P=widget)|p|h[1-6]|article|section|main|ul|ol|table|body)\b).)*?</(?P=widget)\s*>"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>{_REST})>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -40,7 +47,7 @@ _BLOCKS = frozenset(
     "blockquote pre figure figcaption address nav header footer aside form fieldset legend hr details summary center".split()
 )
 _VOID = frozenset("br hr img input meta link wbr area base col embed source track param".split())
-_DROPPED_TAGS = frozenset("head nav header footer aside form dialog".split())
+_DROPPED_TAGS = frozenset("head nav header footer aside dialog".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _DROPPED_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menus?|"
@@ -49,24 +56,36 @@ _DROPPED_WORDS = re.compile(
     re.I,
 )
 _NEVER_DROPPED = frozenset("html body main article".split())
-_COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?=$|[\s_-])", re.I)
+_COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|repl(?:y|ies)|disqus|discussion)(?=$|[\s_-])", re.I)
+_NOISE_WORDS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|nav\w*|menus?|breadcrumbs?|"
+    r"footer|shar(?:e|ing)|social|newsletter|subscri\w*|sign-?up|login)(?=$|[\s_-])",
+    re.I,
+)
+_HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
+#: What is to become of an element's text: it stays; it goes unless it is the page's running text, or
+#: unless nothing else is; it goes.
+_STAYS, _DOUBTED, _COMMENTS, _GOES = range(4)
 #: A start tag of the first closes an open one of the second that is nearer than its list or table.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPES = frozenset("ul ol dl table html body".split())
 
 
 class Block(NamedTuple):
-    """Text of one block, how much of it is linked, and the numbers of the containers around it."""
+    """Text of one block, how much of it is linked, the numbers of the containers around it, and of
+    those among them whose text is in doubt."""
 
     text: str
     linked: int
     within: tuple[int, ...]
+    doubts: tuple[int, ...] = ()
 
 
 class _Open(NamedTuple):
     tag: str
     number: int
     dropped: bool
+    doubts: tuple[int, ...] = ()
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -74,23 +93,59 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def _drops(tag: str, attributes: dict[str, str]) -> bool:
+def _fate(tag: str, attributes: dict[str, str]) -> int:
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     if tag in _NEVER_DROPPED:
-        return bool(tag == "article" and _COMMENT_WORDS.search(named))
-    return (
+        return _COMMENTS if tag == "article" and _COMMENT_WORDS.search(named) else _STAYS
+    if (
         tag in _DROPPED_TAGS
         or "hidden" in attributes
         or attributes.get("role", "").lower() in _DROPPED_ROLES
         or attributes.get("aria-hidden", "").lower() == "true"
         or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        or bool(named.strip() and _DROPPED_WORDS.search(named))
-    )
+    ):
+        return _GOES
+    if named.strip() and _DROPPED_WORDS.search(named):
+        return _COMMENTS if _COMMENT_WORDS.search(named) else _DOUBTED
+    return _DOUBTED if tag == "form" else _STAYS
+
+
+def _runs(block: Block) -> bool:
+    """Whether the block is running text: long, or a sentence, and not mostly linked."""
+    return 2 * block.linked < len(block.text) and (len(block.text) > 80 or block.text[-1] in ".!?…")
+
+
+def _settle(blocks: list[Block], comments: set[int], noise: set[int], paths: list[str]) -> list[Block]:
+    """The blocks that stay.  A container whose name or kind puts its text in doubt goes, unless it holds
+    ``SHARE`` of the running text in two blocks at least, as a form around a whole page does (and, where it is
+    named like an advert or notice, unless it holds all).  Where only headings and links would be left,
+    all such containers stay but readers' comments; and those only if there is nothing else."""
+    if not any(b.doubts for b in blocks):
+        return blocks
+    weight: dict[tuple[int, ...], float] = {}
+    runs: dict[tuple[int, ...], int] = {}
+    for b in blocks:
+        weight[b.doubts] = weight.get(b.doubts, 0.0) + _weight(b)
+        runs[b.doubts] = runs.get(b.doubts, 0) + _runs(b)
+    plain = weight.pop((), 0.0)
+    stay: set[int] = set()
+    doubted = [k for k in weight if comments.isdisjoint(k) and runs[k] > 1 and (noise.isdisjoint(k) or not plain)]
+    most = max(doubted, key=weight.__getitem__, default=())
+    if most and weight[most] >= SHARE * (weight[most] + plain):
+        stay |= {*most}
+    kept = [b for b in blocks if stay.issuperset(b.doubts)]
+    for others in (comments, frozenset()):
+        if not all(2 * b.linked >= len(b.text) or _HEADING.search(paths[b.within[-1]]) for b in kept):
+            break
+        kept = [b for b in blocks if others.isdisjoint(b.doubts)]
+    return kept
 
 
 def read_blocks(page: str) -> tuple[list[Block], list[str]]:
     """The blocks that stand in nothing dropped, in page order, and the paths of all containers by number."""
     blocks: list[Block] = []
+    comments: set[int] = set()
+    noise: set[int] = set()
     paths = [""]
     stack = [_Open("", 0, False)]
     run: list[str] = []
@@ -101,7 +156,7 @@ def read_blocks(page: str) -> tuple[list[Block], list[str]]:
         if run:
             text = " ".join("".join(run).split())
             if text and not stack[-1].dropped:
-                blocks.append(Block(text, linked, tuple(dict.fromkeys(o.number for o in stack))))
+                blocks.append(Block(text, linked, tuple(dict.fromkeys(o.number for o in stack)), stack[-1].doubts))
             run.clear()
         linked = 0
 
@@ -142,11 +197,11 @@ def read_blocks(page: str) -> tuple[list[Block], list[str]]:
         attributes = {}
         if "=" in rest or "hidden" in rest:
             attributes = {(a[0] or a[4]).lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(rest)}
-        drops = _drops(tag, attributes)
+        fate = _fate(tag, attributes)
         if tag not in _BLOCKS:
-            if drops and tag not in _VOID:  # an inline element that hides its text
+            if fate and tag not in _VOID:  # an inline element that hides its text
                 flush()
-                stack.append(_Open(tag, stack[-1].number, True))
+                stack.append(_Open(tag, stack[-1].number, True, stack[-1].doubts))
             continue
         flush()
         in_link = 0 if tag != "p" else in_link
@@ -169,14 +224,21 @@ def read_blocks(page: str) -> tuple[list[Block], list[str]]:
                 close(k)
         if tag in _VOID:
             continue
-        stack.append(_Open(tag, len(paths), stack[-1].dropped or drops))
+        doubts = stack[-1].doubts
+        if fate in (_DOUBTED, _COMMENTS):
+            doubts = (*doubts, len(paths))
+            if fate == _COMMENTS:
+                comments.add(len(paths))
+            elif _NOISE_WORDS.search(f"{attributes.get('class', '')} {attributes.get('id', '')}"):
+                noise.add(len(paths))
+        stack.append(_Open(tag, len(paths), stack[-1].dropped or fate == _GOES, doubts))
         paths.append(f"{paths[stack[-2].number]}/{_step(tag, attributes)}")
     # An unfinished tag at the very end is no text.
     tail = page[at:]
     cut_off = re.search(r"<[a-zA-Z/!][^>]*\Z", tail)
     text(tail[: cut_off.start()] if cut_off else tail)
     flush()
-    return blocks, paths
+    return _settle(blocks, comments, noise, paths), paths
 
 
 def _weight(block: Block) -> float:

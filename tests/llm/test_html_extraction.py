@@ -66,3 +66,77 @@ def test_host_consensus(spark):
         assert got[i] == [(rows[i][1], f"{P1}\n{P1}", 2 * len(P1) + 1)]
     assert got[10] == [(None, P1, len(P1))] and got[11] == [("http://b.example", "", 0)] and len(got[12]) == 2
     assert H.extract_main_text(df.limit(0)).collect() == []
+
+
+def test_articles_in_containers_with_doubtful_names():
+    two = f"<p>{P1}</p><p>{P1}</p>"
+    for box in ("div class='discussion'", "div id='search results'", "form id='page'", "section class='widget'", "div class='comments'", "article class='comment-1'"):
+        tag = box.split()[0]
+        assert H.text_at(f"<body><nav><a href='/'>Home</a></nav><{box}>{two}</{tag}></body>", None) == f"{P1}\n{P1}", box
+        assert H.text_at(f"<body><h1>Head</h1><{box}>{two}</{tag}></body>", None).endswith(f"{P1}\n{P1}"), box
+    # A short article beside a longer notice.
+    assert H.text_at(f"<article><p>Short text</p></article><div class='cookie-notice'>{two}</div>", None) == "Short text"
+    assert H.text_at(f"<article><p>Short text.</p></article><div class='cookie-notice'>{two}</div>", None) == "Short text."
+    assert H.text_at("<article><p>Short text</p></article><div class='cookie-notice'>We use cookies here, on this site.</div>", None) == "Short text"
+    # A form around the whole page, with a widget and comments inside.
+    inner = f"<h1>Head</h1>{two}{two}{two}<div class='widget'><p>Seen also here.</p></div><div class='comments'>{two}</div>"
+    assert H.text_at(page(f"<form id='all'><div>{inner}</div></form>"), None) == "\n".join(["Head"] + [P1] * 6)
+    # Long comments under a short article stay out; so does a doubtful box that is not nearly all.
+    assert H.text_at(page(f"<article><p>{P1}</p></article><div class='comments'>{two * 9}</div>"), None) == P1
+    assert H.text_at(page(f"<article>{two}</article><div class='related'>{two}</div>"), None) == f"{P1}\n{P1}"
+
+
+def test_end_tags_left_out_take_no_text_along():
+    two = f"<p>{P1}</p><p>{P1}</p>"
+    for odd in ("<button>", "<title>", "<select><option>", "<object>", "<iframe>", "<noscript>", "<svg>", "<textarea>", "<video>"):
+        text = H.text_at(f"<body><article>{two}{odd}{two}<button>Send</button></article>", None)
+        assert text == "\n".join([P1] * 4), odd
+    closed = "<button>Send <b>now</b></button><select><option>one</option></select><svg><title>Icon</title><text>x</text></svg><object>old</object><noscript><p>No script.</p></noscript>"
+    assert H.text_at(f"<body><article><p>{P1}</p>{closed}<p>{P1}</p></article>", None) == f"{P1}\n{P1}"
+
+
+def test_formulas_stay():
+    formula = "<math><mi>a</mi><mo>=</mo><mi>b</mi><annotation encoding='x'>a = b</annotation></math>"
+    assert H.text_at(f"<article><p>{P1}</p><p>where {formula} holds.</p></article>", None) == f"{P1}\nwhere a=b holds."
+
+
+def test_real_pages_against_another_parser(spark):
+    """The test tables' articles, read by the standard library's parser, which shares no code with ours."""
+    import os
+    from html.parser import HTMLParser
+
+    import pytest
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.runs = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag == "br":
+                self.runs[-1].append(" ")
+            elif tag not in ("b", "i", "a", "em", "span"):
+                self.runs.append([])
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag not in ("b", "i", "a", "em", "span"):
+                self.runs.append([])
+
+        def handle_data(self, data):
+            if self.inside:
+                self.runs[-1].append(data)
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{folder}/pages.parquet"):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(f"{folder}/pages.parquet")
+    want = {}
+    for r in rows.collect():
+        parser = Article()
+        parser.feed(r.html or "")
+        parser.close()
+        want[r.page_id] = "\n".join(t for t in (" ".join("".join(run).split()) for run in parser.runs) if t)
+    got = {r.page_id: r.text for r in H.extract_main_text(rows).collect()}
+    assert got == want and all(want.values())
