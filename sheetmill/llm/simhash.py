@@ -4,12 +4,13 @@ Fingerprints within the radius agree on at least two of radius + 2 bit blocks, s
 fingerprint is dealt out once for each pair of blocks.  Where a key holds more fingerprints than
 one cell should, it is split into chunks and each pair of chunks is a cell of its own.  Inside a
 cell, bit planes are stored vertically, carry-save counters add up the differing bits of many
-fingerprints at once, and a block is abandoned when all its counters have overflowed.
+fingerprints at once, and a block of 256 lanes is abandoned when all its counters have overflowed;
+lanes that nobody asks for (padding, and fingerprints that already have a group) count as overflowed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -25,6 +26,8 @@ SEED = 42
 BITS = 64
 #: Fingerprints of one key that are compared in one cell.
 CELL = 2048
+#: 64-bit words of a block of lanes, and planes between two looks at whether to abandon it.
+WORDS, LOOK = 4, 4
 _SPREAD = np.uint64(0x0101010101010101)
 
 
@@ -79,33 +82,47 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
-    """The last axis as 64-bit words."""
-    n = bits.shape[-1]
-    padded = np.zeros((*bits.shape[:-1], -(-n // 64) * 64), np.uint8)
+    """The last axis as blocks of 64-bit words, the rest of the last block zero."""
+    n, lanes = bits.shape[-1], 64 * WORDS
+    padded = np.zeros((*bits.shape[:-1], max(1, -(-n // lanes)) * lanes), np.uint8)
     padded[..., :n] = bits
-    return np.packbits(padded, axis=-1, bitorder="little").view(np.uint64)
+    return np.packbits(padded, axis=-1, bitorder="little").view(np.uint64).reshape(*bits.shape[:-1], -1, WORDS)
+
+
+def _unpack(blocks: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(blocks).view(np.uint8).ravel(), bitorder="little")[:n]
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
 
 
-def _far(shape: tuple, differences: Iterator[np.ndarray], radius: int) -> np.ndarray:
-    """Bits of the pairs that differ in more than ``radius`` planes.
+def far_lanes(over: np.ndarray, planes: int, differs: Callable[[int, np.ndarray], np.ndarray], radius: int) -> np.ndarray:
+    """Adds to ``over``, blocks of lanes, those that differ in more than ``radius`` of the planes.
 
-    The counters start so that radius + 1 differences carry out of their highest bit.
+    ``differs(plane, blocks)`` gives the differing lanes of some of the blocks, by number.  The
+    counters start so that radius + 1 differences carry out of their highest bit.  A block whose
+    lanes are all over is abandoned: no later plane is read for it.
     """
     bits = max(1, radius.bit_length())
     start = (1 << bits) - 1 - radius
     ones = ~np.uint64(0)
-    counter = [np.full(shape, ones if start >> k & 1 else np.uint64(0)) for k in range(bits)]
-    over = np.zeros(shape, np.uint64)
-    for nth, carry in enumerate(differences):
+    alive = np.flatnonzero((over != ones).any(axis=1))
+    now = over[alive]
+    counter = [np.full(now.shape, ones if start >> k & 1 else np.uint64(0)) for k in range(bits)]
+    for plane in range(planes):
+        if not len(alive):
+            break
+        carry = differs(plane, alive)
         for k in range(bits):
             counter[k], carry = counter[k] ^ carry, counter[k] & carry
-        over |= carry
-        if nth % 8 == 7 and (over == ones).all():
-            break
+        now |= carry
+        if plane % LOOK == LOOK - 1:
+            live = (now != ones).any(axis=1)
+            if not live.all():
+                over[alive] = now
+                alive, now, counter = alive[live], now[live], [c[live] for c in counter]
+    over[alive] = now
     return over
 
 
@@ -121,15 +138,17 @@ def cell_roots(fps: np.ndarray, radius: int, block: int = 256) -> np.ndarray:
         if root[seed] >= 0:
             continue
         root[seed] = seed
-        left[seed // 64] &= ~(np.uint64(1) << np.uint64(seed % 64))
+        left.reshape(-1)[seed // 64] &= ~(np.uint64(1) << np.uint64(seed % 64))
         queue = [seed]
         while queue:
-            ask, queue = queue[:block], queue[block:]
-            over = _far((len(ask), words.shape[1] if len(planes) else left.shape[0]), (words[b][None, :] ^ masks[b, ask][:, None] for b in range(len(planes))), radius)
-            near = np.bitwise_or.reduce(~over, axis=0) & left
+            ask, queue = np.array(queue[:block]), queue[block:]
+            # The blocks of all asking rows, one row's after the other's.
+            over = np.tile(~left, (len(ask), 1))
+            far_lanes(over, len(planes), lambda b, at: words[b, at % len(left)] ^ masks[b, ask[at // len(left)]][:, None], radius)
+            near = np.bitwise_or.reduce(~over.reshape(len(ask), *left.shape), axis=0)
             if near.any():
                 left &= ~near
-                new = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[:n])
+                new = np.flatnonzero(_unpack(near, n))
                 root[new] = seed
                 queue += new.tolist()
     return root
@@ -143,8 +162,9 @@ def small_roots(fps: np.ndarray, cell: np.ndarray, radius: int) -> np.ndarray:
         at = np.flatnonzero(cell[:-shift] == cell[shift:])
         if not len(at):
             break
-        over = _far((-(-len(at) // 64),), (_pack(planes[b][at] ^ planes[b][at + shift]) for b in range(BITS)), radius)
-        near = at[np.unpackbits(over.view(np.uint8), bitorder="little")[: len(at)] == 0]
+        differs = _pack(planes[:, at] ^ planes[:, at + shift])
+        over = far_lanes(~_pack(np.ones(len(at), np.uint8)), BITS, lambda b, some: differs[b, some], radius)
+        near = at[_unpack(over, len(at)) == 0]
         left.append(near)
         right.append(near + shift)
         shift += 1

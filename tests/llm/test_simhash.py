@@ -68,6 +68,38 @@ def test_cells_against_popcount():
         assert simhash.small_roots(fps, np.zeros(len(fps), np.int64), radius).tolist() == want
 
 
+def test_blocks_are_abandoned(monkeypatch):
+    """Blocks far from all that asks are left before their last plane, others are read to the end."""
+    rng = np.random.default_rng(4)
+    read = []
+    real = simhash.far_lanes
+
+    def counting(over, planes, differs, radius):
+        seen = np.zeros(len(over), int)
+        blank = (over == ~np.uint64(0)).all(axis=1)
+
+        def counted(plane, blocks):
+            seen[blocks] += 1
+            return differs(plane, blocks)
+
+        real(over, planes, counted, radius)
+        done = (over == ~np.uint64(0)).all(axis=1)
+        assert (seen[blank] == 0).all() and (seen[~done] == planes).all()
+        read.append((seen[~blank].sum(), planes * (~blank).sum()))
+        return over
+
+    monkeypatch.setattr(simhash, "far_lanes", counting)
+    fps = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 900).astype(np.uint64))
+    assert simhash.cell_roots(fps, 2).tolist() == list(range(len(fps)))
+    done, most = (sum(x) for x in zip(*read))
+    assert done < 0.55 * most
+    read.clear()
+    cells = np.repeat(np.arange(len(fps) // 9 + 1), 9)[: len(fps)]
+    assert simhash.small_roots(fps, cells, 2).tolist() == list(range(len(fps)))
+    done, most = (sum(x) for x in zip(*read))
+    assert done < 0.55 * most
+
+
 def test_chunked_cells_join_the_same(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 16)
     rng = np.random.default_rng(2)
