@@ -25,6 +25,7 @@ MIN_CHARS = 12
 #: Wanted lines (id and line number: about 16 bytes each) up to which they are broadcast to the
 #: texts; beyond it texts and lines are shuffled by document.
 BROADCAST_LINES = 1 << 20
+_ROW = "__row"
 _BASE = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_BASE, -1, 1 << 64))
 
@@ -197,7 +198,7 @@ def near_partners(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         the texts to the lines."""
         few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
         wanted = F.broadcast(wanted) if few else wanted
-        return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("doc_id", "text", "wanted").mapInArrow(make, schema)
+        return texts.join(wanted, F.col("doc_id") == F.col("w_id")).select("doc_id", "text", "wanted").mapInArrow(make, schema)
 
     variants = pick(wanted, _variants, f"key long, kind byte, doc_id {kind}, line int").withColumn("at", F.struct("doc_id", "line"))
     groups = (
@@ -226,9 +227,9 @@ def near_partners(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     found = pick(named, _texts, f"doc_id {kind}, line int, found string").distinct()
     found = cut(found.select(F.col("doc_id").alias("f_id"), F.col("line").alias("f_line"), "found"))
     both = (
-        pairs.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("line") == F.col("f_line")))
+        pairs.join(found, (F.col("doc_id") == F.col("f_id")) & (F.col("line") == F.col("f_line")))
         .select("doc_id", "line", "o_id", "o_line", F.col("found").alias("left"))
-        .join(found, F.col("o_id").eqNullSafe(F.col("f_id")) & (F.col("o_line") == F.col("f_line")))
+        .join(found, (F.col("o_id") == F.col("f_id")) & (F.col("o_line") == F.col("f_line")))
     )
     return both.select("doc_id", "line", "left", "found").mapInArrow(_verify, f"doc_id {kind}, line int").distinct()
 
@@ -239,15 +240,19 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_chars: int = MIN_CHA
     A line is removed if an earlier one, by (doc_id, line number), is equal or (``max_edits`` 1,
     at least ``min_chars`` code points) one edit away, whether or not that one stays itself.  Lines
     are compared without surrounding white space; blank lines always stay and match nothing.  A
-    null text stays null with no lines; rows that share a doc_id count as one document, so
-    exact repeats of a row keep the same lines; a null id is earlier than any other; an
-    empty table gives an empty result; columns named ``n_lines`` or ``n_removed`` are replaced.
+    null text stays null with no lines; rows that share a doc_id but not the text follow each other by
+    the text's hash, and exact repeats of a row count as one document and keep the same lines; a null id
+    is earlier than any other; an empty table gives an empty result; columns named ``n_lines`` or
+    ``n_removed`` are replaced.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     docs = small_batches(docs).drop("n_lines", "n_removed")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = docs.select("doc_id", "text").mapInArrow(
+    # A row's name inside: its id, then its text's hash, in that order.
+    named = docs.withColumn(_ROW, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+    rows = named.select(F.col(_ROW).alias("doc_id"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    lines = rows.mapInArrow(
         _lines(min_chars), f"doc_id {kind}, line int, high long, low long, k0 long, k1 long, k2 long, k3 long"
     )
     firsts = cut(
@@ -257,12 +262,12 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_chars: int = MIN_CHA
     )
     kept = firsts.select("doc_id", "line")
     if max_edits:
-        gone = near_partners(docs, firsts).select(F.col("doc_id").alias("g_id"), F.col("line").alias("g_line"))
-        kept = kept.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti")
+        gone = near_partners(rows, firsts).select(F.col("doc_id").alias("g_id"), F.col("line").alias("g_line"))
+        kept = kept.join(gone, (F.col("doc_id") == F.col("g_id")) & (F.col("line") == F.col("g_line")), "left_anti")
     lists = kept.groupBy(F.col("doc_id").alias("k_id")).agg(F.collect_list("line").alias("kept"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return (
-        docs.join(lists, F.col("doc_id").eqNullSafe(F.col("k_id")), "left")
-        .drop("k_id")
+        named.join(lists, F.col(_ROW) == F.col("k_id"), "left")
+        .drop("k_id", _ROW)
         .mapInArrow(_apply, f"{fields}, n_lines long, n_removed long")
     )

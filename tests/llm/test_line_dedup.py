@@ -65,6 +65,14 @@ def test_repeated_rows_and_empty_table(spark):
     assert D.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "first shared line of text"), (2, "unique line of another text"), (2, "first shared line of text"), (None, "nobody's own line"), (None, "nobody's own line, and more\nnobody's own line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = D.dedup_lines(df).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got if r.doc_id) == [(1, "first shared line of text", 0), (2, "", 1), (2, "unique line of another text", 0)]
+    assert sum(r.n_removed for r in got if r.doc_id is None) == 1
+
+
 @given(st.text("abc", max_size=7), st.text("abc", max_size=7))
 def test_edit_check(a, b):
     assert D.within_one_edit(a, b) == (distance(a, b) <= 1)
