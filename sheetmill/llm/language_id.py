@@ -24,6 +24,8 @@ ORDERS = 3
 UNKNOWN = "und"
 #: Labelled documents of each language that the model is fitted on, about: those of lowest hash.
 TRAIN_DOCS = 5_000
+#: Languages that are learned at most, those with most labelled rows.
+MOST_LANGS = 1_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 19
 
@@ -82,9 +84,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities (features + 1 x languages; the last row is zero) and log-priors
-    of labelled ``doc_id, text, lang`` rows.  Only the model comes to the driver."""
+    of labelled ``doc_id, text, lang`` rows.  Only the model comes to the driver: of more than
+    ``MOST_LANGS`` different labels, those with most rows are learned."""
     labelled = small_batches(docs).where(F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((FEATURES + 1, 0)), np.zeros(0)

@@ -51,6 +51,15 @@ def test_scores_do_not_depend_on_the_batch(spark, monkeypatch):
         assert one[i] == (langs[int(total.argmax())], round(float(e.max() / e.sum()), 9))
 
 
+def test_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGS", 3)
+    data = rows(60) + [(1000 + i, f"odd {i}", f"dirty{i}", "x") for i in range(50)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, score string")
+    langs = L.fit(df)[0]
+    assert len(langs) == 3 and {x for _, _, x, _ in rows(60)} <= {*langs}
+    assert {r.lang_pred for r in L.identify(df).collect()} <= {*langs, "und"} | {f"dirty{i}" for i in range(50)}
+
+
 def test_empty_and_unlabelled(spark):
     schema = "doc_id long, text string, lang string"
     assert L.identify(spark.createDataFrame([], schema)).collect() == []
