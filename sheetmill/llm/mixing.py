@@ -70,15 +70,19 @@ def mix_sources(
     A null text has size 0 and takes nothing; a null source is a source of its own; rows that
     repeat count as often as they occur, and among equal keys the id decides; an empty table
     gives an empty result.  Columns of ``docs`` that are not named are dropped, so their names
-    can't clash.  The key is md5 of the id, so reruns agree whatever the partitioning.
+    can't clash.  The key is md5 of the id and the text's md5, so reruns agree whatever the partitioning, and
+    documents that share an id, or have none, still spread over the buckets.
     """
+    text_of = lambda c: F.coalesce(c, F.lit(""))
     units = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("mix_key"),
+        F.md5(F.concat(text_of(F.col(id_col).cast("string")), F.lit(":"), F.md5(text_of(F.col(text_col)).cast("binary"))).cast("binary")).alias("mix_key"),
         *[F.col(c).alias(f"keep_{c}") for c in keep],
     ).withColumn("bucket", F.substring("mix_key", 1, BUCKET_DIGITS))
+    if not keep:  # slim rows: words are counted once
+        units = cut(units)
     sums = cut(units.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -30,11 +30,12 @@ def brute(rows, weights=(1, 2, 3), cap=3):
             free.discard(s)
     target |= share
     taken = {}
+    key = lambda r: hashlib.md5(f"{r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()
     for s in sources:
         budget = math.floor(target[s] + 1e-9)
         epochs = budget // total[s] if total[s] else 0
         rest = budget - epochs * total[s]
-        for n, r in sorted(((n, r) for n, r in zip(size, rows) if r[2] == s), key=lambda x: (hashlib.md5(str(x[1][0]).encode()).hexdigest(), x[1][0])):
+        for n, r in sorted(((n, r) for n, r in zip(size, rows) if r[2] == s), key=lambda x: (key(x[1]), x[1][0])):
             cut = max(0, min(n, rest))
             taken[r[0]] = (n, total[s], target[s], epochs * n + cut)
             rest -= n
@@ -71,6 +72,19 @@ def test_empty_repeated_and_wordless(spark):
     assert sum(r.taken for r in twice) == 6
 
 
+def test_rows_without_an_id_spread_over_the_buckets(spark):
+    rows = [(None, f"w{i} " * (i % 5 + 1), "a") for i in range(400)] + [(7, "x " * i, "b") for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = M.mix_sources(df)
+    assert sum(r.taken for r in found.collect()) == sum(len(t.split()) for _, t, _ in rows)
+    # The window inside a bucket sees few rows of one id.
+    import hashlib
+    from collections import Counter
+
+    buckets = Counter(hashlib.md5(f":{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[: M.BUCKET_DIGITS] for i, t, _ in rows if i is None)
+    assert max(buckets.values()) < 9
+
+
 def test_no_python_on_the_main_path(spark):
     plan = M.mix_sources(spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, source string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
