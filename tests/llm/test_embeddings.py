@@ -49,10 +49,7 @@ def test_against_brute_force(spark, monkeypatch, stored):
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, node string").repartition(3)
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(df).collect())
     want = sorted(brute(rows))
-    found, there = sum(g[1] for g in got), sum(w[1] for w in want)
-    assert all(g[1] <= w[1] for g, w in zip(got, want)) and found >= 0.97 * there
-    if found == there:
-        assert got == want
+    assert got == want and sum(w[1] for w in want) > 100
 
 
 def test_a_tight_group_of_a_third_keeps_all_links(spark):
