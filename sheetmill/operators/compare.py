@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import item_of, normalized, rate, section_of
@@ -38,14 +38,21 @@ def _by_section(rows: DataFrame, sections: Sequence[str], **sums) -> DataFrame:
 
 
 def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Items of the images that both extractions have, key by key."""
-    left = a.select("image_id", "key", F.col("value").alias("value_a"), F.col("status").alias("status_a"))
-    right = b.select("image_id", "key", F.col("value").alias("value_b"), F.col("status").alias("status_b"))
-    common = a.select("image_id").distinct().join(b.select("image_id").distinct(), "image_id", "left_semi")
+    """Items of the images that both extractions have, key by key.
+
+    Each extraction is read once: dealt by image, items meet in an aggregate by image and key, and a
+    window over the image (at most a sheet's keys) tells whether both sides are there."""
+    none = F.lit(None).cast("string")
+    left = a.select("image_id", "key", F.col("value").alias("value_a"), F.col("status").alias("status_a"), none.alias("value_b"), none.alias("status_b"), F.lit(1).alias("side"))
+    right = b.select("image_id", "key", none, none, F.col("value"), F.col("status"), F.lit(2))
     return (
-        left.join(right, ["image_id", "key"], "full_outer")
-        .join(common, "image_id", "left_semi")
-        .withColumns({"value_a": normalized(F.col("value_a")), "value_b": normalized(F.col("value_b"))})
+        left.union(right)
+        .repartition("image_id")
+        .groupBy("image_id", "key")
+        .agg(*[F.max(c).alias(c) for c in ("value_a", "status_a", "value_b", "status_b")], F.bit_or("side").alias("side"))
+        .withColumn("sides", F.bit_or("side").over(Window.partitionBy("image_id")))
+        .where("sides = 3")
+        .select("image_id", "key", normalized(F.col("value_a")).alias("value_a"), "status_a", normalized(F.col("value_b")).alias("value_b"), "status_b")
     )
 
 
@@ -135,4 +142,53 @@ def truth_from_items(flat: DataFrame, sheet_status: DataFrame) -> DataFrame:
 
 
 def metric_line(name: str = "section") -> F.Column:
-    return F.format_string("- %s: %d/%d correct, accuracy %.6f, false accepts %d", name, "correct", "total", "accuracy", "false_accept")
+    """A method's accuracy as a line of the report; the overall line has a capital."""
+    return F.format_string(
+        "- %s: %d/%d (%.4f), false_accept %d (%.4f)", _shown(name), "correct", "total", F.col("accuracy").cast("double"), "false_accept", F.col("false_accept_rate").cast("double")
+    )
+
+
+def pair_line(name: str = "section") -> F.Column:
+    return F.format_string("- %s: same %d/%d (%.4f), different %d", _shown(name), "same", "total", F.col("same_rate").cast("double"), "different")
+
+
+def _shown(name: str) -> F.Column:
+    return F.when(F.col(name) == "overall", "Overall").otherwise(F.col(name))
+
+
+def difference_line(label_a: str, label_b: str) -> F.Column:
+    """A difference as a line of the report, with the expected value where it is known."""
+    return F.concat(
+        F.format_string(f"- `%s` %s %s: {label_a}='%s', {label_b}='%s'", F.col("image_id").cast("string"), "section", "item_id", "method_a_value", "method_b_value"),
+        F.when(F.col("expected").isNotNull(), F.format_string(", gt='%s'", "expected")).otherwise(""),
+    )
+
+
+def report(pairwise: DataFrame, accuracies: dict[str, DataFrame], found: DataFrame, labels: tuple[str, str], most: int) -> DataFrame:
+    """``block, place, line``: the parts of a comparison's report, each line once, in order by block and place.
+
+    ``pairwise`` from ``agreement``, ``accuracies`` by method from ``accuracy``, ``found`` from ``differences``, of
+    which the first ``most`` are listed.  All inputs but ``found`` have a row a section."""
+    rank = F.when(F.col("section") == "overall", 0).otherwise(F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))).cast("long")
+    lines = pairwise.select(F.lit(1).alias("block"), rank.alias("place"), pair_line().alias("line"))
+    for k, rows in enumerate(accuracies.values()):
+        lines = lines.union(rows.select(F.lit(2 + k), rank, metric_line()))
+    first = found.orderBy("image_id", "section", "item_id").limit(most)
+    place = F.row_number().over(Window.orderBy("image_id", "section", "item_id")).cast("long")  # at most ``most`` rows
+    return lines.union(first.select(F.lit(2 + len(accuracies)), place, difference_line(*labels)))
+
+
+def truth_pivot(flat: DataFrame) -> DataFrame:
+    """``image_id`` and a map of item to value for each section: an extraction in the form of ground truth."""
+    entry = F.struct(item_of(F.col("key")).alias("item"), F.nullif("value", F.lit("")).alias("value"))
+    of = lambda s: F.map_from_entries(F.array_sort(F.collect_list(F.when(section_of(F.col("key")) == s, entry)))).alias(s)
+    return flat.groupBy("image_id").agg(*[of(s) for s in SECTIONS])
+
+
+def truth_unpivot(sheets: DataFrame, wanted: F.Column) -> DataFrame:
+    """``image_id, key, expected`` of nested ground truth: every key of the list ``wanted`` once a sheet, a
+    missing or null value as the empty text."""
+    none = F.create_map().cast("map<string,string>")
+    keyed = lambda s: F.transform_keys(F.coalesce(F.col(s), none), lambda k, _: F.concat(F.lit(s + ":"), k))
+    rows = sheets.select("image_id", F.map_concat(*[keyed(s) for s in SECTIONS]).alias("known"), F.explode(wanted).alias("key"))
+    return rows.select("image_id", "key", normalized(F.element_at("known", F.col("key"))).alias("expected"))

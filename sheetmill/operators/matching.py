@@ -77,30 +77,32 @@ def drop_near(circles: DataFrame, least: float = 8.0, key: str = "image_id") ->
     return circles.groupBy(key).agg(ordered.alias("all")).select(key, F.explode(kept).alias("c")).select(key, "c.id", "c.x", "c.y", (-F.col("c.minus")).alias("radius"))
 
 
+#: Whether a corner is on the right, and low.
+CORNERS = {"top_left": (0, 0), "top_right": (1, 0), "bottom_right": (1, 1), "bottom_left": (0, 1)}
+
+
 def corner_choices(candidates: DataFrame, width: float, height: float, key: str = "image_id") -> DataFrame:
-    """For each corner the candidate in its part of the page that is nearest by |dx| + |dy|."""
-    corners = {"top_left": (0, 0), "top_right": (1, 0), "bottom_right": (1, 1), "bottom_left": (0, 1)}
+    """For each corner the candidate in its part of the page that is nearest by |dx| + |dy|; ties by y, then x."""
     x, y = F.col("x"), F.col("y")
     rows = [
         F.when(
-            ((x >= 0.8 * width) if right else (x <= 0.2 * width)) & ((y >= 0.75 * height) if low else (y <= 0.2 * height)),
+            ((x > 0.8 * width) if right else (x < 0.2 * width)) & ((y > 0.75 * height) if low else (y < 0.2 * height)),
             F.struct(F.lit(name).alias("corner"), (F.abs(x - right * width) + F.abs(y - low * height)).alias("cost")),
         )
-        for name, (right, low) in corners.items()
+        for name, (right, low) in CORNERS.items()
     ]
     return (
         candidates.select(key, "id", "x", "y", F.explode(F.array_compact(F.array(*rows))).alias("c"))
         .groupBy(key, F.col("c.corner").alias("corner"))
-        .agg(F.min(F.struct("c.cost", "id", "x", "y")).alias("best"))
+        .agg(F.min(F.struct("c.cost", "y", "x", "id")).alias("best"))
         .select(key, "corner", "best.id", "best.x", "best.y", "best.cost")
     )
 
 
 def mark_like(boxes: DataFrame, width: float, height: float) -> DataFrame:
-    """Dark boxes ``x, y, w, h, area`` that can be registration marks."""
+    """Dark boxes ``x, y, w, h, area`` (x and y their upper left corner) that can be registration marks."""
     x, y, w, h = (F.col(c) for c in "xywh")
-    cx, cy = x + w / 2, y + h / 2
-    edge = (cx < 0.12 * width) | (cx > 0.88 * width) | (cy < 0.12 * height) | (cy > 0.82 * height)
+    edge = (x < 0.12 * width) | (x > 0.88 * width) | (y < 0.12 * height) | (y > 0.82 * height)
     return boxes.where(
         w.between(10, 54) & h.between(10, 54) & (w / h).between(0.55, 1.65) & (F.col("area") / (w * h) >= 0.45) & edge
-    ).withColumns({"cx": cx, "cy": cy})
+    ).withColumns({"cx": x + w / 2, "cy": y + h / 2})

@@ -161,16 +161,15 @@ def run_summary(sheets: DataFrame) -> DataFrame:
     )
 
 
-def flat_items(rows: DataFrame, images: DataFrame, wanted: Column) -> DataFrame:
+def flat_items(rows: DataFrame, wanted: Column) -> DataFrame:
     """The comparable form of an extraction: each image with all keys ``section:item``, its value never null.
 
-    ``rows``: ``image_id, section, item_id, value, status, need_review``."""
-    keyed = rows.select("image_id", item_key(F.col("section"), F.col("item_id")).alias("key"), "value", "status", "need_review")
-    return (
-        domain(images, wanted, "key")
-        .join(keyed, ["image_id", "key"], "left")
-        .select("image_id", "key", normalized(F.col("value")).alias("value"), "status", F.coalesce("need_review", F.lit(False)).alias("need_review"))
-    )
+    ``rows``: ``image_id, section, item_id, value, status, need_review``, a key at most once an image; an image
+    gathers its own few items, which are then looked up key by key, so rows are read and dealt once."""
+    entry = F.struct(item_key(F.col("section"), F.col("item_id")).alias("key"), F.struct("value", "status", "need_review").alias("item"))
+    found = rows.groupBy("image_id").agg(F.map_from_entries(F.collect_list(entry)).alias("items"))
+    keyed = found.select("image_id", "items", F.explode(wanted).alias("key")).withColumn("item", F.element_at("items", F.col("key")))
+    return keyed.select("image_id", "key", normalized(F.col("item.value")).alias("value"), F.col("item.status").alias("status"), F.coalesce("item.need_review", F.lit(False)).alias("need_review"))
 
 
 #: The 80 keys of a sheet.

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TEMPLATE = """
-    canonical struct<width:int,height:int>, bubble array<int>,
-    part1 struct<choices:array<string>,columns:array<struct<question_start:int,question_count:int,choice_x:array<double>,row_y_start:double,row_y_step:double>>>,
-    sbd struct<digits:array<string>,column_x:array<double>,row_y_start:double,row_y_step:double>,
-    exam_code struct<digits:array<string>,column_x:array<double>,row_y_start:double,row_y_step:double>,
+    canonical struct<width:int,height:int>, bubble array<int>, padding int, tolerance double,
+    marks array<struct<name:string,x:int,y:int>>, regions array<struct<name:string,bbox:array<int>>>,
+    part1 struct<choices:array<string>,columns:array<struct<question_start:int,question_count:int,choice_x:array<double>,row_y_start:double,row_y_step:double,bbox:array<int>>>>,
+    sbd struct<digits:array<string>,column_x:array<double>,row_y_start:double,row_y_step:double,bbox:array<int>>,
+    exam_code struct<digits:array<string>,column_x:array<double>,row_y_start:double,row_y_step:double,bbox:array<int>>,
     part2 struct<choices:array<string>,choice_labels:map<string,string>,statements:array<string>,row_y_start:double,row_y_step:double,
-        questions:array<struct<question_number:int,choice_x:array<double>>>>,
+        questions:array<struct<question_number:int,choice_x:array<double>,bbox:array<int>>>>,
     part3 struct<digit_choices:array<string>,row_minus_y:double,row_comma_y:double,digit_row_y_start:double,digit_row_y_step:double,
-        questions:array<struct<question_number:int,column_x:array<double>,minus_x:double,comma_x:array<double>>>>
+        questions:array<struct<question_number:int,column_x:array<double>,minus_x:double,comma_x:array<double>,bbox:array<int>>>>
 """
 COLUMNS = (
     "spec_ord section field part spec_id item_id question_id question_number statement choice label role slot alignment_block grid_block center bbox"

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 def manifest_stats(rows: DataFrame) -> DataFrame:
     """Row counts by label, split, section and split with label, and of distinct images in all."""
-    rows.createOrReplaceTempView("_manifest_rows")
     return rows.sparkSession.sql(
         """
         SELECT CASE WHEN grouping(gt_label) = 0 AND grouping(split) = 0 THEN 'split:label'
                     WHEN grouping(gt_label) = 0 THEN 'label' WHEN grouping(split) = 0 THEN 'split'
                     WHEN grouping(section) = 0 THEN 'section' ELSE 'all' END AS kind,
                coalesce(concat_ws(':', split, gt_label, section), '') AS name, count(*) AS n, count(DISTINCT image_id) AS n_images
-        FROM _manifest_rows GROUP BY GROUPING SETS ((gt_label), (split), (section), (split, gt_label), ())
-        """
+        FROM {rows} GROUP BY GROUPING SETS ((gt_label), (split), (section), (split, gt_label), ())
+        """,
+        rows=rows,
     )
 
 
@@ -76,19 +76,35 @@ def best_epoch(history: DataFrame, score: str = "mean_dice") -> DataFrame:
     return history.agg(best).select(F.col("b.epoch").alias("epoch"), (-F.col("b.minus")).alias(score)).where("epoch IS NOT NULL")
 
 
-def seeded_split(rows: DataFrame, counts: dict[str, int], seed: int = 20260619, key: str = "image_id") -> DataFrame:
+def seeded_split(rows: DataFrame, counts: dict[str, int], seed: int = 20260619, key: str = "image_id", limit_base: int = 0) -> DataFrame:
     """Exactly so many images for each split, in the order of a seeded hash; the rest goes.
 
-    The hash ranks the images the same way whatever their partitioning; only ids are ranked."""
+    The hash ranks the images the same way whatever their partitioning; only ids are ranked.  More images
+    asked for than there are is an error.  ``limit_base``, if not 0, keeps so many, split by split."""
     wanted = sum(counts.values())
-    ids = rows.select(key).distinct().withColumn("_h", F.xxhash64(F.lit(seed), F.col(key).cast("string")))
+    digest = F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    ids = rows.select(key).distinct().withColumn("_h", digest)
     chosen = ids.orderBy("_h", key).limit(wanted)  # top-k: no full sort
+    if chosen.count() < wanted:
+        raise ValueError(f"{wanted} images are asked for; there are fewer")
     ranked = chosen.withColumn("_r", F.row_number().over(Window.orderBy("_h", key)))
     split, at = F.lit(None).cast("string"), 0
+    left = limit_base or wanted
     for name, n in counts.items():
-        split = F.when((F.col("_r") > at) & (F.col("_r") <= at + n), name).otherwise(split)
-        at += n
-    return rows.join(ranked.select(key, split.alias("split")), key)
+        taken = min(n, left)
+        split = F.when((F.col("_r") > at) & (F.col("_r") <= at + taken), name).otherwise(split)
+        at, left = at + n, left - taken
+    return rows.join(ranked.select(key, split.alias("split")).where("split is not null"), key)
+
+
+def mean_channels(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The plain mean of a metric over channels."""
+    return rows.groupBy(*keys).agg(F.round(F.coalesce(F.avg(value), F.lit(0.0)), 6).alias(value))
+
+
+def mean_counts(found: DataFrame) -> DataFrame:
+    """Mean numbers of ``markers`` and ``bubbles`` (arrays of peaks) an image; null without images."""
+    return found.agg(F.round(F.avg(F.size("markers")), 6).alias("markers"), F.round(F.avg(F.size("bubbles")), 6).alias("bubbles"))
 
 
 def error_stats(rows: DataFrame, keys: Sequence[str], error: str = "error") -> DataFrame:

@@ -250,25 +250,31 @@ su AS (
 # -- comparison -------------------------------------------------------------------------------
 
 
-def _method(spark, sf, filled: float, margin: float, without: int) -> DataFrame:
-    """An extraction in the form of 80 keys a sheet; some sheets are missing."""
-    items = _slots(_items(spark, sf, filled, margin)).where(F.pmod("image_id", F.lit(without)) != 0)
+#: Items that must be accepted for a sheet to count as extracted.
+ENOUGH = 3
+
+
+def _method(spark, sf, filled: float, margin: float) -> DataFrame:
+    """An extraction in the form of 80 keys a sheet; sheets with too few accepted items failed."""
+    items = _slots(_items(spark, sf, filled, margin))
+    accepted = F.count(F.when(F.col("status") == "accepted", 1)).over(Window.partitionBy("image_id"))
+    items = items.withColumn("accepted", accepted).where(F.col("accepted") >= ENOUGH)
     key = F.get(H.all_keys(), F.pmod((F.col("slot") - 1) * 7, F.lit(80)))
     keyed = items.withColumn("key", key).select("image_id", S.section_of(F.col("key")).alias("section"), S.item_of(F.col("key")).alias("item_id"), F.col("selected").alias("value"), "status", "need_review")
-    return H.flat_items(keyed, items.select("image_id"), H.all_keys())
+    return H.flat_items(keyed, H.all_keys())
 
 
 def _method_a(spark, sf):
-    return _method(spark, sf, 0.05, 0.025, 17)
+    return _method(spark, sf, 0.05, 0.025)
 
 
 def _method_b(spark, sf):
-    return _method(spark, sf, 0.08, 0.03, 19)
+    return _method(spark, sf, 0.08, 0.03)
 
 
 def _truth(spark, sf):
     best = F.min(F.struct((-F.col("darkness_score")).alias("m"), "spec_ord", "choice"))
-    items = _slots(B.bubbles(spark, sf).where("image_id % 3 <> 0").groupBy("image_id", "item_id").agg(best.alias("b")))
+    items = _slots(B.bubbles(spark, sf).groupBy("image_id", "item_id").agg(best.alias("b")))
     key = F.get(H.all_keys(), F.pmod((F.col("slot") - 1) * 7, F.lit(80)))
     return items.select("image_id", key.alias("key"), F.col("b.choice").alias("expected"))
 
@@ -282,13 +288,14 @@ ks AS (
     UNION ALL SELECT 200 + q, format('part3:III_{:03d}', q) FROM range(1, 7) t(q)))"""
 
 
-def method_sql(name: str, filled: float, margin: float, without: int) -> str:
+def method_sql(name: str, filled: float, margin: float) -> str:
     return (
         relabel_sql("fill_score", filled, margin, out=f"{name}r")
         + ","
         + decode_sql(False, filled, margin, src=f"{name}r", out=f"{name}f")
         + f""",
-{name}s AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY item_id) AS slot FROM {name}f WHERE image_id % {without} <> 0),
+{name}s AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY item_id) AS slot FROM {name}f
+  QUALIFY count(*) FILTER (status = 'accepted') OVER (PARTITION BY image_id) >= {ENOUGH}),
 {name} AS (
   SELECT d.image_id, ks.k AS key, coalesce(s.selected, '') AS value, s.status, coalesce(s.need_review, false) AS need_review
   FROM (SELECT DISTINCT image_id FROM {name}s) d CROSS JOIN ks LEFT JOIN {name}s s ON s.image_id = d.image_id AND ((s.slot - 1) * 7) % 80 = ks.i)"""
@@ -296,10 +303,10 @@ def method_sql(name: str, filled: float, margin: float, without: int) -> str:
 
 
 TRUTH_SQL = """
-ti AS (SELECT image_id, item_id, arg_min(choice, (-darkness_score, spec_ord)) AS expected FROM b WHERE image_id % 3 <> 0 GROUP BY image_id, item_id),
+ti AS (SELECT image_id, item_id, arg_min(choice, (-darkness_score, spec_ord)) AS expected FROM b GROUP BY image_id, item_id),
 ts AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY item_id) AS slot FROM ti),
 gt AS (SELECT image_id, ks.k AS key, expected FROM ts JOIN ks ON ((slot - 1) * 7) % 80 = ks.i)"""
-A_SQL, B_SQL = method_sql("ma", 0.05, 0.025, 17), method_sql("mb", 0.08, 0.03, 19)
+A_SQL, B_SQL = method_sql("ma", 0.05, 0.025), method_sql("mb", 0.08, 0.03)
 
 
 def flatten_items(spark, sf):
@@ -352,7 +359,21 @@ def ground_truth_export(spark, sf):
 
 
 def report_lines(spark, sf):
-    return C.accuracy(_method_a(spark, sf), _truth(spark, sf)).select(C.metric_line().alias("line"))
+    a, b, truth = _method_a(spark, sf), _method_b(spark, sf), _truth(spark, sf)
+    accuracies = {"a": C.accuracy(a, truth), "b": C.accuracy(b, truth)}
+    return C.report(C.agreement(a, b), accuracies, C.differences(a, b, truth), ("rule", "model"), 40)
+
+
+def ground_truth_pivot(spark, sf):
+    """Nested ground truth out of an extraction, its maps shown as text."""
+    shown = lambda c: F.array_join(F.transform(F.filter(F.map_entries(c), lambda e: e.value.isNotNull()), lambda e: F.concat(e.key, F.lit("="), e.value)), ",").alias(c)
+    n = sum((F.size(c) for c in C.SECTIONS[1:]), F.size(C.SECTIONS[0]))
+    return C.truth_pivot(_method_a(spark, sf)).select("image_id", *[shown(c) for c in C.SECTIONS], n.alias("n_items"))
+
+
+def ground_truth_unpivot(spark, sf):
+    """There and back: the extraction's values as ground truth rows."""
+    return C.truth_unpivot(C.truth_pivot(_method_b(spark, sf)), H.all_keys())
 
 
 def last_row_wins(spark, sf):
@@ -379,13 +400,39 @@ def _rolled(source: str, measures: str, finals: str) -> str:
 SELECT section, {finals} FROM by_s"""
 
 
-JUDGED = f"""SELECT {SECTION_OF} AS section, gt.image_id, gt.key, gt.expected, coalesce(ma.value, '') AS actual, coalesce(ma.need_review, false) AS need_review
-  FROM gt JOIN (SELECT DISTINCT image_id FROM ma) USING (image_id) LEFT JOIN ma USING (image_id, key)"""
-ACCURACY = _rolled(
-    JUDGED,
+def _judged(m: str) -> str:
+    return f"""SELECT {SECTION_OF} AS section, gt.image_id, gt.key, gt.expected, coalesce({m}.value, '') AS actual, coalesce({m}.need_review, false) AS need_review
+  FROM gt JOIN (SELECT DISTINCT image_id FROM {m}) USING (image_id) LEFT JOIN {m} USING (image_id, key)"""
+
+
+ACCURACY, ACCURACY_B = (_rolled(
+    _judged(m),
     "count(j.key) AS total, count(*) FILTER (j.expected = j.actual) AS correct, count(*) FILTER (j.expected <> j.actual AND NOT j.need_review) AS false_accept",
     "total, correct, total - correct AS incorrect, CASE WHEN total > 0 THEN round(correct / total, 6) ELSE 0 END AS accuracy, false_accept, "
     "CASE WHEN total > 0 THEN round(false_accept / total, 6) ELSE 0 END AS false_accept_rate",
+) for m in ("ma", "mb"))
+
+def _rank_sql(line: str, block: int, source: str) -> str:
+    return f"SELECT {block} AS block, CASE section WHEN 'overall' THEN 0 WHEN 'identity' THEN 1 WHEN 'part1' THEN 2 WHEN 'part2' THEN 3 ELSE 4 END AS place, {line} AS line FROM ({source})"
+
+
+_NAME = "CASE section WHEN 'overall' THEN 'Overall' ELSE section END"
+_METRIC = f"format('- {{}}: {{}}/{{}} ({{:.4f}}), false_accept {{}} ({{:.4f}})', {_NAME}, correct, total, CAST(accuracy AS DOUBLE), false_accept, CAST(false_accept_rate AS DOUBLE))"
+AGREEMENT = _rolled(
+    f"SELECT {SECTION_OF} AS section, * FROM pr",
+    "count(j.key) AS total, count(*) FILTER (j.va = j.vb) AS same",
+    "total, same, total - same AS different, CASE WHEN total > 0 THEN round(same / total, 6) ELSE 0 END AS same_rate",
+)
+_QUOTED = "chr(39) || {} || chr(39)"
+REPORT = " UNION ALL ".join(
+    [
+        _rank_sql(f"format('- {{}}: same {{}}/{{}} ({{:.4f}}), different {{}}', {_NAME}, same, total, CAST(same_rate AS DOUBLE), different)", 1, f"WITH {BOTH}{PAIRS}{AGREEMENT}"),
+        _rank_sql(_METRIC, 2, f"WITH {BOTH}{ACCURACY}"),
+        _rank_sql(_METRIC, 3, f"WITH {BOTH}{ACCURACY_B}"),
+        f"SELECT 4 AS block, row_number() OVER (ORDER BY image_id, section, item_id) AS place, '- `' || image_id || '` ' || section || ' ' || item_id || ': rule=' || {_QUOTED.format('method_a_value')} "
+        f"|| ', model=' || {_QUOTED.format('method_b_value')} || coalesce(', gt=' || {_QUOTED.format('expected')}, '') AS line "
+        f"FROM (SELECT * FROM (WITH {BOTH}{PAIRS} {DIFF_SELECT}) ORDER BY image_id, section, item_id LIMIT 40)",
+    ]
 )
 
 QUERIES = {
@@ -394,7 +441,7 @@ QUERIES = {
         ranked_relabel, identity_relabel, prelabel_threshold, record_score_coalesce, decode_choice_question, decode_generic_group, decode_handmade_group,
         alignment_gate_override, sheet_answer_rollup, item_status_histogram, identity_value_string, true_false_dense, short_answer_compact, confidence_summary,
         run_summary, flatten_items, pairwise_agreement, difference_listing, sample_differences, only_in_a, only_in_b, accuracy_false_accept, error_listing,
-        flat_status_histogram, sheets_by_differences, ground_truth_export, report_lines, last_row_wins,
+        flat_status_histogram, sheets_by_differences, ground_truth_export, ground_truth_pivot, ground_truth_unpivot, report_lines, last_row_wins,
     )
 }
 
@@ -457,7 +504,10 @@ SELECT image_id, format('III_{{:03d}}', q) AS question_id, value, raw_value, sta
     "flat_status_histogram": f"WITH {BOTH} SELECT status, count(*) AS n FROM ma WHERE coalesce(status, '') <> '' GROUP BY status",
     "sheets_by_differences": f"WITH {BOTH}{PAIRS} SELECT image_id, count(*) AS n_differences FROM pr WHERE va <> vb GROUP BY image_id ORDER BY n_differences DESC, image_id LIMIT 25",
     "ground_truth_export": f"WITH {ITEMS},{SHEETS_SQL},{KEYS_SQL},{A_SQL} SELECT ma.image_id, key, value AS expected FROM ma JOIN su ON su.image_id = ma.image_id AND sheet_status = 'ok' WHERE value <> ''",
-    "report_lines": f"SELECT format('- {{}}: {{}}/{{}} correct, accuracy {{:.6f}}, false accepts {{}}', section, correct, total, accuracy, false_accept) AS line FROM (WITH {BOTH}{ACCURACY})",
+    "report_lines": REPORT,
+    "ground_truth_pivot": f"""WITH {BUBBLES},{KEYS_SQL},{A_SQL}, kv AS (SELECT image_id, {SECTION_OF} AS section, split_part(key, ':', 2) AS item, nullif(value, '') AS value FROM ma)
+SELECT image_id, {", ".join(f"coalesce(string_agg(item || '=' || value, ',' ORDER BY item) FILTER (section = '{s}' AND value IS NOT NULL), '') AS {s}" for s in C.SECTIONS)}, CAST(count(*) AS INTEGER) AS n_items FROM kv GROUP BY image_id""",
+    "ground_truth_unpivot": f"WITH {BUBBLES},{KEYS_SQL},{B_SQL} SELECT image_id, key, value AS expected FROM mb",
     "last_row_wins": "SELECT l_partkey AS image_id, arg_max(l_quantity, (l_orderkey, l_linenumber, l_suppkey)) AS l_quantity, "
     "arg_max(l_returnflag, (l_orderkey, l_linenumber, l_suppkey)) AS l_returnflag FROM lineitem GROUP BY l_partkey",
 }

@@ -274,7 +274,7 @@ def best_epoch(spark, sf):
 
 
 def seeded_split(spark, sf):
-    return L.seeded_split(B.manifest(spark, sf), {"train": 120, "val": 25, "test": 22}).groupBy("split").agg(F.countDistinct("image_id").alias("n"))
+    return L.seeded_split(B.manifest(spark, sf), {"train": 120, "val": 25, "test": 22}, limit_base=150).select("image_id", "split")
 
 
 def json_round_trip(spark, sf):
@@ -387,12 +387,12 @@ la AS (SELECT image_id, max(n) AS n FROM st GROUP BY image_id)
 SELECT image_id, k.id AS id, k.x AS x, k.y AS y, k.radius AS radius FROM (SELECT image_id, unnest(kept) AS k FROM st JOIN la USING (image_id, n))""",
     "corner_choice": f"""WITH {PEAKS_SQL}, co AS (SELECT * FROM (VALUES ('top_left', 0, 0), ('top_right', 1, 0), ('bottom_right', 1, 1), ('bottom_left', 0, 1)) v(corner, r, l)),
 ca AS (SELECT image_id, corner, rank AS id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, abs(x - 8.0::DOUBLE * r) + abs(y - 8.0::DOUBLE * l) AS cost FROM pk, co
-  WHERE CASE WHEN r = 1 THEN x >= 6.4::DOUBLE ELSE x <= 1.6::DOUBLE END AND CASE WHEN l = 1 THEN y >= 6.0::DOUBLE ELSE y <= 1.6::DOUBLE END)
-SELECT image_id, corner, id, x, y, cost FROM ca QUALIFY row_number() OVER (PARTITION BY image_id, corner ORDER BY cost, id) = 1""",
+  WHERE CASE WHEN r = 1 THEN x > 6.4::DOUBLE ELSE x < 1.6::DOUBLE END AND CASE WHEN l = 1 THEN y > 6.0::DOUBLE ELSE y < 1.6::DOUBLE END)
+SELECT image_id, corner, id, x, y, cost FROM ca QUALIFY row_number() OVER (PARTITION BY image_id, corner ORDER BY cost, y, x, id) = 1""",
     "mark_candidates": """WITH bx AS (SELECT l_orderkey AS image_id, CAST(l_partkey % 1650 AS DOUBLE) AS x, CAST(l_suppkey % 2363 AS DOUBLE) AS y, l_quantity + 5 AS w, l_linenumber * 8.0::DOUBLE AS h, l_quantity AS q FROM lineitem),
 ba AS (SELECT *, w * h * (1.0::DOUBLE - q / 80) AS area, x + w / 2 AS cx, y + h / 2 AS cy FROM bx)
 SELECT image_id, count(*) AS n, sum(cx) AS sum_cx FROM ba WHERE w BETWEEN 10 AND 54 AND h BETWEEN 10 AND 54 AND w / h BETWEEN 0.55::DOUBLE AND 1.65::DOUBLE AND area / (w * h) >= 0.45::DOUBLE
-  AND (cx < 0.12::DOUBLE * 1650 OR cx > 0.88::DOUBLE * 1650 OR cy < 0.12::DOUBLE * 2363 OR cy > 0.82::DOUBLE * 2363) GROUP BY image_id""",
+  AND (x < 0.12::DOUBLE * 1650 OR x > 0.88::DOUBLE * 1650 OR y < 0.12::DOUBLE * 2363 OR y > 0.82::DOUBLE * 2363) GROUP BY image_id""",
     "translation_transform": f"""WITH RECURSIVE {PEAKS_SQL},{LATTICE_SQL},{REACH_SQL},{GREEDY_SQL},
 pr AS (SELECT gp.image_id, lt.x AS sx, lt.y AS sy, CAST(pk.x AS DOUBLE) AS dx, CAST(pk.y AS DOUBLE) AS dy FROM gp JOIN lt ON lt.image_id = gp.image_id AND lt.id = a JOIN pk ON pk.image_id = gp.image_id AND pk.rank = b),
 sh AS (SELECT image_id, median(dx - sx) AS mx, median(dy - sy) AS my FROM pr GROUP BY image_id),
@@ -411,7 +411,8 @@ FROM mf WHERE gt_label IS NOT NULL GROUP BY GROUPING SETS ((gt_label), (split),
   FROM (VALUES ('blank'), ('filled')) v(gt_label) LEFT JOIN mf ON mf.gt_label = v.gt_label GROUP BY v.gt_label)
 SELECT *, CASE WHEN pred_blank + pred_filled > 0 THEN round(CASE gt_label WHEN 'blank' THEN pred_blank ELSE pred_filled END / (pred_blank + pred_filled), 6) END AS recall FROM cm""",
     "best_epoch": "WITH h AS (SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS epoch, round(avg(value), 6) AS mean_dice FROM events GROUP BY 1) SELECT CAST(epoch AS INTEGER) AS epoch, mean_dice FROM h ORDER BY mean_dice DESC, epoch LIMIT 1",
-    "seeded_split": "SELECT split, n FROM (VALUES ('train', 120::BIGINT), ('val', 25::BIGINT), ('test', 22::BIGINT)) v(split, n)",
+    "seeded_split": """WITH r AS (SELECT doc_id AS image_id, row_number() OVER (ORDER BY sha1('20260619:' || doc_id), doc_id) AS n FROM documents)
+SELECT image_id, CASE WHEN n <= 120 THEN 'train' WHEN n <= 145 THEN 'val' ELSE 'test' END AS split FROM r WHERE n <= 150""",
     "json_round_trip": "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "image_id_normalise": r"""WITH s AS (SELECT page_id, url, CASE WHEN starts_with(url, 'https:/') THEN substr(url, 8) ELSE regexp_extract(url, '([^/]*)$', 1) END AS shown FROM pages),
 b AS (SELECT *, regexp_replace(shown, '([^/])\.[^./]*$', '\1') AS bare FROM s)
