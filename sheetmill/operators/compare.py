@@ -29,12 +29,13 @@ def only_in(a: DataFrame, b: DataFrame, key: str = "image_id") -> DataFrame:
 
 
 def _by_section(rows: DataFrame, sections: Sequence[str], **sums) -> DataFrame:
-    """Sums overall and for each section, whether it has rows or not."""
-    found = rows.withColumn("section", section_of(F.col("key"))).groupBy("section").agg(*[v.alias(k) for k, v in sums.items()])
-    every = rows.sparkSession.createDataFrame([(s,) for s in sections], "section string")
-    filled = every.join(found, "section", "left").select("section", *[F.coalesce(F.col(k), F.lit(0)).alias(k) for k in sums])
-    overall = filled.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in sums])
-    return filled.union(overall.select(F.lit("overall").alias("section"), *sums))
+    """Sums overall and for each section, whether it has rows or not, in one pass over the rows."""
+    known = rows.withColumn("section", section_of(F.col("key"))).where(F.col("section").isin(*sections))
+    found = known.groupingSets([["section"], []], "section").agg(*[v.alias(k) for k, v in sums.items()])
+    found = found.withColumn("section", F.coalesce("section", F.lit("overall")))
+    every = rows.sparkSession.createDataFrame([(s,) for s in (*sections, "overall")], "section string")
+    # A row a section: small by construction.
+    return every.join(F.broadcast(found), "section", "left").select("section", *[F.coalesce(F.col(k), F.lit(0)).alias(k) for k in sums])
 
 
 def pairs(a: DataFrame, b: DataFrame) -> DataFrame:

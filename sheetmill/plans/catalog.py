@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sheet_queries, vision_queries
+from . import file_queries, sheet_queries, vision_queries
 
-QUERIES = {**sheet_queries.QUERIES, **vision_queries.QUERIES}
-ORACLES = {**sheet_queries.ORACLES, **vision_queries.ORACLES}
+QUERIES = {**sheet_queries.QUERIES, **vision_queries.QUERIES, **file_queries.QUERIES}
+ORACLES = {**sheet_queries.ORACLES, **vision_queries.ORACLES, **file_queries.ORACLES}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,13 +82,49 @@ def decode_images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def gray_images(images: DataFrame) -> DataFrame:
+    """``image_id, width, height, gray`` of decoded images: bytes by rows, by the usual weights of the three
+    colours.  One kernel call an Arrow batch of images; what can't be decoded goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for width, height, channels, data in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "n_channels", "data")), strict=True):
+                pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+                gray = pixels[..., 0] if channels == 1 else np.rint(pixels[..., :3] @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
+                found.append(gray.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("image_id", "width", "height")), pa.array(found, pa.binary())], names=["image_id", "width", "height", "gray"])
+
+    kind = images.schema["image_id"].dataType.simpleString()
+    return images.where("data is not null").select("image_id", "width", "height", "n_channels", "data").mapInArrow(run, f"image_id {kind}, width int, height int, gray binary")
+
+
 def gray_pixels(images: DataFrame) -> DataFrame:
-    """``image_id, y, x, gray`` of decoded images, by the usual weights of the three colours."""
-    byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), k, F.lit(1))), 16, 10).cast("int")
-    rows = images.where("data is not null").select("image_id", "n_channels", "data", "width", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("at"))
-    first = (F.col("at") * F.col("n_channels") + 1).cast("int")
-    gray = F.when(F.col("n_channels") == 1, byte(first)).otherwise(F.rint(0.114 * byte(first) + 0.587 * byte(first + 1) + 0.299 * byte(first + 2)).cast("int"))
-    return rows.select("image_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), F.pmod("at", F.col("width")).cast("int").alias("x"), gray.alias("gray"))
+    """``image_id, y, x, gray`` of decoded images: for small pictures; pages are cropped as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (width, height, gray) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("width", "height", "gray")), strict=True)):
+                y, x = np.divmod(np.arange(width * height, dtype=np.int32), np.int32(width))
+                ids = batch.column("image_id").take(pa.array(np.full(len(y), k)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(y), pa.array(x), pa.array(np.frombuffer(gray, np.uint8).astype(np.int32))], names=["image_id", "y", "x", "gray"])
+
+    kind = images.schema["image_id"].dataType.simpleString()
+    return gray_images(images).mapInArrow(run, f"image_id {kind}, y int, x int, gray int")
+
+
+def collect_images(spark: SparkSession, *, paths: Sequence[str] = (), folder: str = "", metadata: DataFrame | None = None, ids: DataFrame | None = None, limit: int = 0) -> DataFrame:
+    """``image_id, path`` of a run's inputs: explicit paths before a folder's images before the sheets of the
+    metadata that are ok and, given ids, among them; the first ``limit`` in that order if it is not 0."""
+    if paths:
+        rows = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "place long, path string")
+        rows, order = rows.withColumn("image_id", base_id(F.col("path"))), "place"
+    elif folder:
+        rows, order = read_images(spark, folder, recursive=True).select("image_id", "path"), "path"
+    else:
+        rows, order = ok_sheets(metadata, ids).select(F.col("image_id").cast("string").alias("image_id"), F.col("relative_path").alias("path")), "path"
+    rows = rows.orderBy(order, "image_id").select("image_id", "path")
+    return rows.limit(limit) if limit else rows
 
 
 def labelled_folder(spark: SparkSession, folder: str, labels: Sequence[str] = ("blank", "filled"), *, validation: float = 0.10, test: float = 0.10) -> DataFrame:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
+import struct
+import uuid
+import zlib
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIFFERENCE_COLUMNS = (
     "image_id file_name section item_id method_a_value method_a_status method_b_value method_b_status expected method_a_correct method_b_correct"
 ).split()
+MANIFEST_COLUMNS = "crop_path gt_label prelabel darkness_score split image_id file_name section field group_id choice group_status".split()
 ERROR_COLUMNS = "image_id file_name section item_id expected actual status need_review".split()
 
 
@@ -58,6 +65,59 @@ def guarded_mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
 
+def prepare_folder(spark: SparkSession, path: str, overwrite: bool) -> None:
+    """An empty folder: a filled one is emptied if ``overwrite`` says so, else it is an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(where):
+        if overwrite:
+            store.delete(where, True)
+        elif len(store.listStatus(where)):
+            raise FileExistsError(f"output directory is not empty: {path}")
+    store.mkdirs(where)
+
+
+def write_document(row: DataFrame, path: str, sort_keys: bool = False) -> None:
+    """One row as a JSON document of its own, with indented lines and nulls (a summary or payload: small)."""
+    columns = sorted(row.columns) if sort_keys else row.columns
+    shown = F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "pretty": "true"}).alias("value")
+    row.limit(1).select(shown).coalesce(1).write.mode("overwrite").text(path)
+
+
+def png(gray: np.ndarray) -> bytes:
+    """A grey picture (rows of uint8) as PNG."""
+    height, width = gray.shape
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = np.zeros((height, width + 1), np.uint8)
+    rows[:, 1:] = gray
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def write_pictures(pictures: DataFrame, folder: str) -> DataFrame:
+    """``name, width, height, gray`` (bytes by rows) as PNG files below the folder, a URI that all executors
+    reach; names may hold folders.  Returns ``name, uri``; each file is whole or not there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = base = None
+        for batch in batches:
+            names, uris = [], []
+            for name, width, height, gray in zip(*(batch.column(c).to_pylist() for c in ("name", "width", "height", "gray")), strict=True):
+                if store is None:
+                    store, base = pafs.FileSystem.from_uri(folder)
+                path = f"{base}/{name}.png"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                draft = f"{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(png(np.frombuffer(gray, np.uint8).reshape(height, width)))
+                store.move(draft, path)
+                names.append(name)
+                uris.append(f"{folder}/{name}.png")
+            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "uri": pa.array(uris, pa.string())})
+
+    return pictures.select("name", "width", "height", "gray").mapInArrow(run, "name string, uri string")
+
+
 def web_payload(sheets: DataFrame, metadata: DataFrame, summary: dict[str, str]) -> DataFrame:
     """Sheets that are ok with their metadata; entries of the run summary win over computed ones."""
     meta = metadata.select("image_id", *[F.col(c).alias(f"_m_{c}") for c in ("file_name", "split", "relative_path")])
