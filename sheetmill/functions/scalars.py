@@ -228,3 +228,16 @@ def f_measure(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Colum
 
 def rate(x: Column, total: Column) -> Column:
     return F.when(total > 0, F.round(x / total, 6)).otherwise(0.0)
+
+
+def resolved_path(path: Column, base: str) -> Column:
+    """An absolute path as it is, another one below ``base``."""
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path))
+
+
+def float_list(text: str, expected: int) -> tuple[float, ...]:
+    """An option of comma-separated numbers; blanks between commas do not count."""
+    found = tuple(float(x) for x in text.split(",") if x.strip())
+    if len(found) != expected:
+        raise ValueError(f"{expected} numbers are expected: {text!r}")
+    return found

@@ -116,3 +116,49 @@ def item_states(bubbles: DataFrame, *, keys: Sequence[str] = ITEM) -> DataFrame:
     crop = _known(bubbles, "crop_path", "string").alias("crop_path")
     state = F.struct(label.alias("label"), "prelabel", "darkness_score", crop, *more)
     return bubbles.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("choice", state)))).alias("states"))
+
+
+ALIGNMENT_COLUMNS = {
+    "status": "alignment_status", "confidence": "alignment_confidence", "method": "alignment_method", "marker_count": "alignment_marker_count",
+    "pre_rms": "marker_pre_residual_px", "rms": "marker_residual_px", "largest": "marker_max_residual_px",
+}
+GRID_COLUMNS = {
+    "status": "grid_refinement_status", "confidence": "grid_refinement_confidence", "method": "grid_refinement_method", "n": "grid_refinement_matched_count",
+    "n_inliers": "grid_refinement_inlier_count", "rms": "grid_residual_px", "largest": "grid_max_residual_px", "decode_allowed": "grid_refinement_decode_allowed",
+}
+
+
+def with_block_metadata(records: DataFrame, alignment: DataFrame, grid: DataFrame) -> DataFrame:
+    """Records (``image_id, alignment_block, grid_block``) with what is known of their blocks; a block that
+    is not known leaves nulls.  Blocks: ``image_id, block`` and the columns named above."""
+    left = alignment.select("image_id", F.col("block").alias("alignment_block"), *[F.col(c).alias(n) for c, n in ALIGNMENT_COLUMNS.items()])
+    right = grid.select("image_id", F.col("block").alias("grid_block"), *[F.col(c).alias(n) for c, n in GRID_COLUMNS.items()])
+    return records.join(left, ["image_id", "alignment_block"], "left").join(right, ["image_id", "grid_block"], "left").withColumnRenamed("grid_block", "grid_refinement_block")
+
+
+def with_predictions(records: DataFrame, predictions: DataFrame, keys: Sequence[str] = ("image_id", "spec_id")) -> DataFrame:
+    """Records with a classifier's rounded predictions (as from ``models.prediction``); a record without one fails."""
+    six = lambda c: F.round(c, 6)
+    found = predictions.select(
+        *keys,
+        F.col("pred_label").alias("model_label"),
+        six("pred_confidence").alias("model_confidence"),
+        six("filled_probability").alias("filled_probability"),
+        six("blank_probability").alias("blank_probability"),
+        F.col("argmax_label").alias("model_argmax_label"),
+        six("argmax_confidence").alias("model_argmax_confidence"),
+        F.col("filled_threshold").alias("model_filled_threshold"),
+    )
+    joined = records.drop("prelabel_source").join(found, list(keys), "left")
+    known = F.when(F.col("model_label").isNull(), F.raise_error(F.lit("a record has no prediction")).cast("string")).otherwise(F.lit("bubble_classifier_group"))
+    return joined.withColumn("prelabel_source", known)
+
+
+def compact_answers(items: DataFrame, states: DataFrame, letters: Sequence[str] = ("A", "B", "C", "D"), *, keys: Sequence[str] = ITEM) -> DataFrame:
+    """Part I for the web: each answer with the state of every letter, null where there is none, and its
+    number, from the id (``I_007``) where it isn't known."""
+    state = lambda x: F.struct(*[F.element_at("states", F.lit(x))[c].alias(c) for c in ("prelabel", "darkness_score", "crop_path")]).alias(x)
+    number = F.col("question_number") if "question_number" in items.columns else F.lit(None).cast("int")
+    parsed = F.try_element_at(F.split(F.col(keys[-1]).cast("string"), "_"), F.lit(2)).try_cast("int")
+    rows = items.drop("question_number").withColumn("question_number", F.coalesce(number, parsed))
+    return rows.join(states, list(keys), "left").withColumn("states", F.struct(*[state(x) for x in letters]))

@@ -106,3 +106,23 @@ def mark_like(boxes: DataFrame, width: float, height: float) -> DataFrame:
     return boxes.where(
         w.between(10, 54) & h.between(10, 54) & (w / h).between(0.55, 1.65) & (F.col("area") / (w * h) >= 0.45) & edge
     ).withColumns({"cx": x + w / 2, "cy": y + h / 2})
+
+
+def visible_points(labels: DataFrame, kind: str, width: float, height: float, key: str = "image_id") -> DataFrame:
+    """``key, place, x, y``: the visible points ``kind`` of a label record, scaled to another size."""
+    seen = F.filter(kind, lambda p: F.coalesce(p.visible, F.lit(False)))
+    rows = labels.select(key, "width", "height", F.posexplode(seen).alias("place", "p"))
+    return rows.select(key, "place", (F.col("p.x") * width / F.col("width")).alias("x"), (F.col("p.y") * height / F.col("height")).alias("y"))
+
+
+def scaled_peaks(peaks: DataFrame, scale_x: Column, scale_y: Column) -> DataFrame:
+    """Peaks in the source's pixels beside the model's, rounded as they are reported."""
+    return peaks.withColumns(
+        {"model_x": F.round("x", 3), "model_y": F.round("y", 3), "x": F.round(F.col("x") * scale_x, 3), "y": F.round(F.col("y") * scale_y, 3), "score": F.round("score", 6)}
+    )
+
+
+def marker_payload(marks: DataFrame, key: str = "image_id") -> DataFrame:
+    """``key, markers_found, markers``: names in order, and coordinates with two decimals."""
+    entry = F.struct("name", F.array(F.round("x", 2), F.round("y", 2)).alias("at"))
+    return marks.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("markers")).select(key, F.map_keys("markers").alias("markers_found"), "markers")

@@ -72,3 +72,9 @@ def classify_bubbles(bubbles: DataFrame, features: Sequence[str], make, *, fille
     }
     labelled = scored.withColumns(columns).drop("_scores")
     return relabel_by_rank(labelled, score="filled_probability", filled_threshold=filled_threshold, margin_threshold=margin_threshold)
+
+
+def predict_rows(rows: DataFrame, features: Sequence[str], make, classes: Sequence[str] = ("blank", "filled"), *, filled_threshold: float = 0.5, batch: int = BATCH) -> DataFrame:
+    """Each row of a manifest with the prediction for it, whose columns replace those of the same name."""
+    scored = rows.withColumn("_scores", score_batches(features, make, batch))
+    return scored.withColumns(prediction(F.col("_scores"), classes, filled_threshold)).drop("_scores")

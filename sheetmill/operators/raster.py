@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DARK = 100
@@ -69,27 +70,57 @@ def bubble_features(pixels: DataFrame, width: int, height: int, key: str = "imag
     )
 
 
-def largest_component(ink: DataFrame, key: str = "image_id") -> DataFrame:
-    """``area`` of the largest 8-connected set of ``y, x`` pixels of each image, which is small."""
-    import pandas as pd
+def component_sizes(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each pixel the size of the 8-connected set that it belongs to; pixels of all images at once."""
+    span = int(x.max()) + 3 if len(x) else 3
+    rows = int(y.max()) + 3 if len(y) else 3
+    at = (image.astype(np.int64) * rows + y + 1) * span + x + 1
+    order = np.argsort(at)
+    at = at[order]
+    root = np.arange(len(at))
+    left, right = [], []
+    for step in (1, span - 1, span, span + 1):
+        k = np.searchsorted(at, at + step)
+        k[k == len(at)] = 0
+        hit = at[k] == at + step
+        left.append(np.flatnonzero(hit))
+        right.append(k[hit])
+    a, b = np.concatenate(left), np.concatenate(right)
+    while True:  # neighbours take the smaller root, roots point to roots
+        low = np.minimum(root[a], root[b])
+        was = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if np.array_equal(root, was):
+            break
+    size = np.bincount(root, minlength=len(root))[root] if len(root) else root
+    out = np.empty(len(at), np.int64)
+    out[order] = size
+    return out
 
-    kind = ink.schema[key].dataType.simpleString()
 
-    def area(group: tuple, pixels: pd.DataFrame) -> pd.DataFrame:
-        left, most = set(zip(pixels.y, pixels.x, strict=True)), 0
-        while left:
-            front, size = [left.pop()], 0
-            while front:
-                y, x = front.pop()
-                size += 1
-                for q in [(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]:
-                    if q in left:
-                        left.remove(q)
-                        front.append(q)
-            most = max(most, size)
-        return pd.DataFrame({key: [group[0]], "area": [most]})
+def largest_component(ink: DataFrame, key: str = "image_id") -> DataFrame:
+    """``area`` of the largest 8-connected set of ``y, x`` pixels of each image, which is small; the images of
+    an Arrow batch are labelled together."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("ink")
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            image = np.repeat(np.arange(len(sizes)), sizes)
+            found = component_sizes(image, flat.field("y").to_numpy(), flat.field("x").to_numpy())
+            most = np.zeros(len(sizes), np.int64)
+            np.maximum.at(most, image, found)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(most)], names=[key, "area"])
 
-    return ink.groupBy(key).applyInPandas(area, f"{key} {kind}, area long")
+    kind = ink.schema[key].dataType.simpleString()
+    gathered = ink.groupBy(key).agg(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))).alias("ink"))
+    return gathered.select(key, "ink").mapInArrow(run, f"{key} {kind}, area long")
 
 
 def peaks(heat: DataFrame, threshold: float, radius: int, most: int, key: str = "image_id") -> DataFrame:
@@ -129,3 +160,56 @@ def gaussian_heat(points: DataFrame, width: int, height: int, sigma: float, key:
     value = F.floor(255 * F.exp(-(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2)) / (2 * sigma * sigma))).cast("int")
     inside = F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)
     return spread.where(inside).groupBy(key, F.col("py").alias("y"), F.col("px").alias("x")).agg(F.max(value).alias("gray"))
+
+
+def in_frame(x: Column, y: Column, width: float, height: float) -> Column:
+    """Whether a point lies on the page: its far edges do not."""
+    return (x >= 0) & (x < width) & (y >= 0) & (y < height)
+
+
+def polygon_mask(polygons: DataFrame, width: int, height: int, key: str = "image_id") -> DataFrame:
+    """``key, y, x`` of the pixels inside each closed polygon ``points`` (``x, y`` structs) or on its border.
+
+    A pixel is inside if a ray to its right crosses an odd number of edges."""
+    grid = polygons.select(key, "points", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    at = lambda i: F.element_at("points", (F.pmod(i, F.size("points")) + 1).cast("int"))
+    sides = F.transform("points", lambda p, i: F.struct(p.x.alias("ax"), p.y.alias("ay"), at(i + 1).x.alias("bx"), at(i + 1).y.alias("by")))
+    x, y = F.col("x"), F.col("y")
+    crossed = F.size(F.filter(sides, lambda e: ((e.ay > y) != (e.by > y)) & (x < (e.bx - e.ax) * (y - e.ay) / (e.by - e.ay) + e.ax)))
+    cross = lambda e: (e.bx - e.ax) * (y - e.ay) - (e.by - e.ay) * (x - e.ax)
+    border = F.exists(sides, lambda e: (cross(e) == 0) & x.between(F.least(e.ax, e.bx), F.greatest(e.ax, e.bx)) & y.between(F.least(e.ay, e.by), F.greatest(e.ay, e.by)))
+    return grid.where((F.pmod(crossed, F.lit(2)) == 1) | border).select(key, "y", "x")
+
+
+def layout_masks(points: DataFrame, polygons: DataFrame, width: int, height: int, sigmas: dict[str, float], key: str = "image_id") -> DataFrame:
+    """``key, mask, y, x, gray``: the page's polygon filled, and the visible points of each kind as spots.
+
+    ``points``: ``key, kind, x, y, visible``."""
+    rows = polygon_mask(polygons, width, height, key).select(key, F.lit("page").alias("mask"), "y", "x", F.lit(255).alias("gray"))
+    for kind, sigma in sigmas.items():
+        seen = points.where((F.col("kind") == kind) & F.col("visible"))
+        rows = rows.union(gaussian_heat(seen, width, height, sigma, key).where("gray > 0").select(key, F.lit(kind), "y", "x", "gray"))
+    return rows
+
+
+def moved_points(points: DataFrame, maps: DataFrame, width: int, height: int, key: str = "image_id") -> DataFrame:
+    """Points ``x, y`` moved by the displacement ``dx, dy`` of the pixel nearest to them."""
+    near = lambda c, most: F.greatest(F.lit(0), F.least(F.lit(most - 1), F.rint(c).cast("int")))
+    asked = points.withColumns({"_y": near(F.col("y"), height), "_x": near(F.col("x"), width)})
+    found = maps.select(key, F.col("y").alias("_y"), F.col("x").alias("_x"), "dx", "dy")
+    return asked.join(found, [key, "_y", "_x"]).withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")}).drop("_y", "_x", "dx", "dy")
+
+
+def area_resized(pixels: DataFrame, by: int, key: str = "image_id", value: str = "gray") -> DataFrame:
+    """Pictures shrunk by a whole number: each pixel the mean of its square."""
+    cell = lambda c: F.floor(F.col(c) / by).cast("int").alias(c)
+    return pixels.groupBy(key, cell("y"), cell("x")).agg(F.avg(value).alias(value))
+
+
+def normalised(gray: Column) -> Column:
+    """0 to 255 as -1 to 1."""
+    return (gray / 255.0 - 0.5) / 0.5
+
+
+def denormalised(value: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(255.0), (value * 0.5 + 0.5) * 255.0))

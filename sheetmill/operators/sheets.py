@@ -180,3 +180,16 @@ def all_keys() -> Column:
         ids("part2:II_%03d_%s", list(range(1, 9)), list("abcd")),
         ids("part3:III_%03d", list(range(1, 7))),
     )
+
+
+def decode_sections(items: DataFrame, images: DataFrame) -> DataFrame:
+    """``image_id, section, item_id, value, status, confidence``: decoded items of the identity fields, part II
+    and part III, each by its section's rules.  ``items`` has a ``section``."""
+    of = lambda s: items.where(F.col("section") == s)
+    columns = lambda section, item, value: ["image_id", F.lit(section).alias("section"), F.col(item).alias("item_id"), F.col(value).alias("value"), "status", "confidence"]
+    return (
+        identity_values(of("identity"), images, "sbd", 8).select(*columns("identity", "field", "value"))
+        .union(identity_values(of("identity"), images, "exam_code", 4).select(*columns("identity", "field", "value")))
+        .union(true_false_answers(of("part2"), images).select(*columns("part2", "item_id", "selected")))
+        .union(short_answers(of("part3"), images).select(*columns("part3", "question_id", "value")))
+    )

@@ -207,3 +207,114 @@ def polyline(points: Column, per_edge: int = 32) -> Column:
         )
 
     return F.flatten(F.transform(points, edge))
+
+
+def _box_points(box: Column) -> Column:
+    """A box's corners, clockwise from its upper left one."""
+    at = lambda i, j: F.struct(F.element_at(box, i).cast("double").alias("x"), F.element_at(box, j).cast("double").alias("y"))
+    return F.array(at(1, 2), at(3, 2), at(3, 4), at(1, 4))
+
+
+def label_points(template: DataFrame) -> DataFrame:
+    """``place, id, group, x, y``: bubbles as a layout model's labels, with centres that are not rounded."""
+    digits = lambda g: (
+        template.select(F.col(g).alias("g"))
+        .select("g", F.posexplode("g.column_x").alias("c", "x"))
+        .select("*", F.posexplode("g.digits").alias("d", "digit"))
+        .select(
+            F.array("c", "d").alias("o"),
+            F.concat(F.format_string(g + "_c%02d_d", F.col("c") + 1), "digit").alias("id"),
+            F.lit(g).alias("group"),
+            "x",
+            (F.col("g.row_y_start") + F.col("d") * F.col("g.row_y_step")).alias("y"),
+        )
+    )
+    one = (
+        template.select(F.col("part1.choices").alias("choices"), F.posexplode("part1.columns").alias("c", "col"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("col.question_count") - 1)).alias("i"))
+        .select("*", F.posexplode(same_length(F.col("choices"), F.col("col.choice_x"))).alias("k", "choice"))
+        .select(
+            F.array("c", "i", "k").alias("o"),
+            F.format_string("part1_q%03d_%s", F.col("col.question_start") + F.col("i"), "choice.name").alias("id"),
+            F.lit("part1").alias("group"),
+            F.col("choice.x").alias("x"),
+            (F.col("col.row_y_start") + F.col("i") * F.col("col.row_y_step")).alias("y"),
+        )
+    )
+    two = (
+        template.select(F.col("part2").alias("g"), F.posexplode("part2.questions").alias("q", "question"))
+        .select("*", F.posexplode("g.statements").alias("s", "statement"))
+        .select("*", F.posexplode(same_length(F.col("g.choices"), F.col("question.choice_x"))).alias("k", "choice"))
+        .select(
+            F.array("q", "s", "k").alias("o"),
+            F.format_string("part2_q%02d_%s_%s", "question.question_number", "statement", "choice.name").alias("id"),
+            F.lit("part2").alias("group"),
+            F.col("choice.x").alias("x"),
+            (F.col("g.row_y_start") + F.col("s") * F.col("g.row_y_step")).alias("y"),
+        )
+    )
+    point = lambda name, x, y: F.struct(name.alias("name"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    number = lambda i: (i + 1).cast("string")
+    parts = F.concat(
+        F.array(point(F.lit("minus"), F.col("question.minus_x"), F.col("g.row_minus_y"))),
+        F.transform("question.comma_x", lambda x, i: point(F.concat(F.lit("comma"), number(i)), x, F.col("g.row_comma_y"))),
+        F.flatten(
+            F.transform(
+                "question.column_x",
+                lambda x, i: F.transform("g.digit_choices", lambda d, k: point(F.concat(F.lit("s"), number(i), F.lit("_d"), d), x, F.col("g.digit_row_y_start") + k * F.col("g.digit_row_y_step"))),
+            )
+        ),
+    )
+    three = template.select(F.col("part3").alias("g"), F.posexplode("part3.questions").alias("q", "question")).select("q", "question", F.posexplode(parts).alias("k", "p"))
+    three = three.select(F.array("q", "k").alias("o"), F.format_string("part3_q%02d_%s", "question.question_number", "p.name").alias("id"), F.lit("part3").alias("group"), "p.x", "p.y")
+    rows = None
+    for k, part in enumerate((digits("sbd"), digits("exam_code"), one, two, three)):
+        part = part.withColumn("branch", F.lit(k))
+        rows = part if rows is None else rows.union(part)
+    from pyspark.sql import Window
+
+    return rows.select(F.row_number().over(Window.orderBy("branch", "o")).alias("place"), "id", "group", "x", "y")  # bounded by the template
+
+
+def region_polygons(template: DataFrame) -> DataFrame:
+    """``name, points`` of a template's regions."""
+    return template.select(F.explode("regions").alias("r")).select(F.col("r.name").alias("name"), _box_points(F.col("r.bbox")).alias("points"))
+
+
+def grid_polylines(template: DataFrame) -> DataFrame:
+    """``place, points``: the closed lines of a page: its border, then regions, columns, fields and questions."""
+    w, h = F.col("canonical.width") - 1.0, F.col("canonical.height") - 1.0
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    border = F.array(at(F.lit(0.0), F.lit(0.0)), at(w, F.lit(0.0)), at(w, h), at(F.lit(0.0), h))
+    boxes = F.concat(
+        F.transform("regions", lambda r: r.bbox), F.transform("part1.columns", lambda c: c.bbox), F.array("sbd.bbox", "exam_code.bbox"),
+        F.transform("part2.questions", lambda q: q.bbox), F.transform("part3.questions", lambda q: q.bbox),
+    )
+    return template.select(F.posexplode(F.concat(F.array(border), F.transform(boxes, _box_points))).alias("place", "points"))
+
+
+def item_index(specs: DataFrame) -> DataFrame:
+    """``key, spec_id``: specs by ``section:item``, those of part III by their question, too."""
+    whole = F.when((F.col("section") == "part3") & F.col("question_id").isNotNull(), F.concat_ws(":", "section", "question_id"))
+    return specs.select(F.explode(F.array_compact(F.array(F.concat_ws(":", "section", "item_id"), whole))).alias("key"), "spec_id", "spec_ord")
+
+
+def choice_index(specs: DataFrame) -> DataFrame:
+    """``key, spec_id, center, bbox``: one spec by ``section:item:choice``; of several the last in order."""
+    whole = F.when((F.col("section") == "part3") & F.col("question_id").isNotNull(), F.concat_ws(":", "section", "question_id", "choice"))
+    keyed = specs.select(F.explode(F.array_compact(F.array(F.concat_ws(":", "section", "item_id", "choice"), whole))).alias("key"), "spec_ord", "spec_id", "center", "bbox")
+    return keyed.groupBy("key").agg(F.max_by(F.struct("spec_id", "center", "bbox"), "spec_ord").alias("s")).select("key", "s.*")
+
+
+def selected_specs(rows: DataFrame, index: DataFrame, value: str = "value") -> DataFrame:
+    """The specs that a row's value marks (``section, item_id``, value); a template's index is small."""
+    from ..functions.scalars import value_choices
+
+    key = F.concat_ws(":", "section", "item_id", "choice")
+    asked = rows.withColumn("choice", F.explode(value_choices(F.col("section"), F.col(value)))).withColumn("key", key)
+    return asked.join(F.broadcast(index), "key").drop("key")
+
+
+def field_region(template: DataFrame) -> DataFrame:
+    """``item_id, bbox`` of the identity fields, which have a region instead of bubbles of their own."""
+    return template.select(F.explode("regions").alias("r")).where(F.col("r.name").isin("sbd", "exam_code")).select(F.col("r.name").alias("item_id"), F.col("r.bbox").alias("bbox"))

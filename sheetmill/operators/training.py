@@ -99,7 +99,7 @@ def seeded_split(rows: DataFrame, counts: dict[str, int], seed: int = 20260619,
 
 def mean_channels(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The plain mean of a metric over channels."""
-    return rows.groupBy(*keys).agg(F.round(F.coalesce(F.avg(value), F.lit(0.0)), 6).alias(value))
+    return rows.groupBy(*keys).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias(value))
 
 
 def mean_counts(found: DataFrame) -> DataFrame:
