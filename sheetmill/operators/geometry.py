@@ -1,12 +1,12 @@
 """Transforms fitted to matched points, one group of points at a time.
 
-Groups are the blocks of a sheet (at most a few hundred points), so a group fits one Pandas call; the
-translation branch is a plain aggregate and needs no Python at all.
+Groups are the blocks of a sheet (at most a few hundred points), many of which are fitted in one batch of
+rows; the translation branch is a plain aggregate and needs no Python at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -133,15 +133,24 @@ def grid_transform(src: np.ndarray, dst: np.ndarray, expected: int, ratio: float
     return _row("translation", status, n, n, errors, min(0.65, n / max(1, expected)), rms <= FAIL_PX, m)
 
 
-def fit_blocks(pairs: DataFrame, keys: Sequence[str], fit: Callable[[np.ndarray, np.ndarray, pd.DataFrame], dict]) -> DataFrame:
-    """``fit`` for each group of ``sx, sy, dx, dy`` rows."""
+def fit_blocks(pairs: DataFrame, keys: Sequence[str], fit: Callable[[np.ndarray, np.ndarray, int], dict]) -> DataFrame:
+    """``fit`` for each group of ``sx, sy, dx, dy`` rows and its ``expected`` number (0 without one).
+
+    A block's few points are gathered as an array, and a batch of Arrow rows holds many blocks."""
     names = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
+    expected = F.max("expected").cast("int") if "expected" in pairs.columns else F.lit(0)
+    gathered = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("sx", "sy", "dx", "dy")]))).alias("points"), expected.alias("expected"))
 
-    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = fit(rows[["sx", "sy"]].to_numpy(float), rows[["dx", "dy"]].to_numpy(float), rows)
-        return pd.DataFrame([dict(zip(keys, group, strict=True)) | found])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for points, most in zip(batch["points"], batch["expected"], strict=True):
+                p = np.array([[q[c] for c in ("sx", "sy", "dx", "dy")] for q in points]).reshape(-1, 4)
+                rows.append(fit(p[:, :2], p[:, 2:], int(most)))
+            if rows:
+                yield pd.concat([batch[list(keys)].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
 
-    return pairs.groupBy(*keys).applyInPandas(run, f"{names}, {FIT}")
+    return gathered.mapInPandas(run, f"{names}, {FIT}")
 
 
 def fit_local(pairs: DataFrame, keys: Sequence[str] = ("image_id", "block")) -> DataFrame:
@@ -150,7 +159,7 @@ def fit_local(pairs: DataFrame, keys: Sequence[str] = ("image_id", "block")) ->
 
 def fit_grid(pairs: DataFrame, keys: Sequence[str] = ("image_id", "block")) -> DataFrame:
     """Rows carry the number of bubbles that their block should have as ``expected``."""
-    return fit_blocks(pairs, keys, lambda a, b, rows: grid_transform(a, b, int(rows["expected"].iloc[0])))
+    return fit_blocks(pairs, keys, lambda a, b, expected: grid_transform(a, b, expected))
 
 
 def shift_blocks(pairs: DataFrame, keys: Sequence[str] = ("image_id", "block")) -> DataFrame:

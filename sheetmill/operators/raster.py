@@ -43,7 +43,7 @@ def bubble_features(pixels: DataFrame, width: int, height: int, key: str = "imag
         F.avg(dark).alias("darkness"),
         F.avg(F.when(inner, dark)).alias("inner"),
         F.avg(F.when(ring == "background", dark)).alias("noise"),
-        F.percentile(F.when(ring == "background", F.col("gray")), 0.2).alias("p20"),
+        F.round(F.percentile(F.when(ring == "background", F.col("gray")), 0.2), 9).alias("p20"),
         F.count(F.when(ring == "core", 1)).alias("core"),
     )
     first = first.withColumn("limit", F.greatest(F.lit(80.0), F.least(F.lit(190.0), F.col("p20") - 20)))
@@ -70,8 +70,8 @@ def bubble_features(pixels: DataFrame, width: int, height: int, key: str = "imag
     )
 
 
-def component_sizes(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """For each pixel the size of the 8-connected set that it belongs to; pixels of all images at once."""
+def component_labels(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each pixel a number of the 8-connected set that it belongs to; pixels of all images at once."""
     span = int(x.max()) + 3 if len(x) else 3
     rows = int(y.max()) + 3 if len(y) else 3
     at = (image.astype(np.int64) * rows + y + 1) * span + x + 1
@@ -86,20 +86,28 @@ def component_sizes(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarr
         left.append(np.flatnonzero(hit))
         right.append(k[hit])
     a, b = np.concatenate(left), np.concatenate(right)
-    while True:  # neighbours take the smaller root, roots point to roots
-        low = np.minimum(root[a], root[b])
-        was = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if np.array_equal(root, was):
+    while True:  # the roots of neighbours join at the smaller one, roots point to roots
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
             break
-    size = np.bincount(root, minlength=len(root))[root] if len(root) else root
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
     out = np.empty(len(at), np.int64)
-    out[order] = size
+    out[order] = root
     return out
 
 
+def component_sizes(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each pixel the size of the set that it belongs to."""
+    label = component_labels(image, y, x)
+    return np.bincount(label)[label] if len(label) else label
+
+
 def largest_component(ink: DataFrame, key: str = "image_id") -> DataFrame:
     """``area`` of the largest 8-connected set of ``y, x`` pixels of each image, which is small; the images of
     an Arrow batch are labelled together."""

@@ -335,7 +335,7 @@ mf AS (SELECT *, CASE WHEN share < 0.1::DOUBLE THEN 'test' WHEN share < 0.2::DOU
 FEATURES_SQL = """
 rg AS (SELECT *, sqrt((x - 3.5::DOUBLE) * (x - 3.5::DOUBLE) + (y - 3.5::DOUBLE) * (y - 3.5::DOUBLE)) AS d FROM px),
 f1 AS (SELECT image_id, avg(CAST(gray < 100 AS DOUBLE)) AS darkness, avg(CAST(gray < 100 AS DOUBLE)) FILTER (d <= 0.72::DOUBLE * 4) AS inn, avg(CAST(gray < 100 AS DOUBLE)) FILTER (d >= 0.88::DOUBLE * 4) AS noise,
-  greatest(80.0::DOUBLE, least(190.0::DOUBLE, quantile_cont(gray, 0.2) FILTER (d >= 0.88::DOUBLE * 4) - 20)) AS lim FROM rg GROUP BY image_id),
+  greatest(80.0::DOUBLE, least(190.0::DOUBLE, round(quantile_cont(gray, 0.2) FILTER (d >= 0.88::DOUBLE * 4), 9) - 20)) AS lim FROM rg GROUP BY image_id),
 f2 AS (SELECT rg.image_id, avg(CAST(gray < lim AS DOUBLE)) AS ink FROM rg JOIN f1 USING (image_id) WHERE d <= 0.58::DOUBLE * 4 GROUP BY rg.image_id)"""
 ORACLES = {
     "bubble_specs": f"""WITH {SPECS_SQL} SELECT CAST(row_number() OVER (ORDER BY branch, o) AS INTEGER) AS spec_ord, section, field, part, spec_id, item_id, question_id, question_number, statement, choice, label, role, slot,
