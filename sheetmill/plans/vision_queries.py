@@ -98,7 +98,7 @@ def bubble_features_no_component(spark, sf):
 
 
 def bubble_features(spark, sf):
-    return R.bubble_features(B.pixels(spark, sf), 8, 8)
+    return R.bubble_features(B.pixels(spark, sf), 8, 8).withColumn("fill_score", F.floor(F.col("fill_score") * 1000).cast("long"))
 
 
 def connected_component_area(spark, sf):
@@ -345,6 +345,13 @@ ORACLES = {
     "darkness_score": f"WITH {PIXELS_SQL} SELECT image_id, round(avg(CAST(gray < 100 AS DOUBLE)), 6) AS darkness_score FROM px GROUP BY image_id",
     "bubble_features_no_component": f"""WITH {PIXELS_SQL},{FEATURES_SQL} SELECT image_id, round(darkness, 6) AS darkness_score, round(noise, 6) AS background_noise, round(greatest(0, inn - noise), 6) AS darkness_contrast,
   round(ink, 6) AS ink_ratio_inside, 0.0::DOUBLE AS component_score, CAST(floor(round(greatest(0, least(1, 0.5::DOUBLE * ink + 0.35::DOUBLE * greatest(0, inn - noise) - 0.2::DOUBLE * noise)), 6) * 1000) AS BIGINT) AS fill_score FROM f1 JOIN f2 USING (image_id)""",
+    "bubble_features": f"""WITH RECURSIVE {PIXELS_SQL},{FEATURES_SQL}, ik AS (SELECT rg.image_id, y, x, y * 8 + x AS id FROM rg JOIN f1 USING (image_id) WHERE d <= 0.58::DOUBLE * 4 AND gray < lim),
+re AS (SELECT image_id, id AS seed, y, x FROM ik UNION SELECT r.image_id, r.seed, i.y, i.x FROM re r JOIN ik i ON i.image_id = r.image_id AND abs(i.y - r.y) <= 1 AND abs(i.x - r.x) <= 1),
+ar AS (SELECT image_id, max(n) AS area FROM (SELECT image_id, seed, count(*) AS n FROM re GROUP BY image_id, seed) GROUP BY image_id),
+co AS (SELECT image_id, count(*) FILTER (d <= 0.58::DOUBLE * 4) AS core FROM rg GROUP BY image_id),
+fc AS (SELECT *, coalesce(area / core, 0.0::DOUBLE) AS comp FROM f1 JOIN f2 USING (image_id) JOIN co USING (image_id) LEFT JOIN ar USING (image_id))
+SELECT image_id, round(darkness, 6) AS darkness_score, round(noise, 6) AS background_noise, round(greatest(0, inn - noise), 6) AS darkness_contrast, round(ink, 6) AS ink_ratio_inside, round(comp, 6) AS component_score,
+  CAST(floor(round(greatest(0, least(1, 0.5::DOUBLE * ink + 0.35::DOUBLE * greatest(0, inn - noise) + 0.2::DOUBLE * comp - 0.2::DOUBLE * noise)), 6) * 1000) AS BIGINT) AS fill_score FROM fc""",
     "connected_component_area": f"""WITH RECURSIVE {PIXELS_SQL}, ik AS (SELECT image_id, y, x, y * 8 + x AS id FROM px WHERE gray < 100),
 re AS (SELECT image_id, id AS seed, y, x FROM ik UNION SELECT r.image_id, r.seed, i.y, i.x FROM re r JOIN ik i ON i.image_id = r.image_id AND abs(i.y - r.y) <= 1 AND abs(i.x - r.x) <= 1)
 SELECT image_id, max(n) AS area FROM (SELECT image_id, seed, count(*) AS n FROM re GROUP BY image_id, seed) GROUP BY image_id""",
