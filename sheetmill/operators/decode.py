@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
@@ -28,10 +28,9 @@ def _known(df: DataFrame, name: str, kind: str) -> Column:
 
 
 def _decode(bubbles: DataFrame, keys: Sequence[str], question: bool, letters: Sequence[str]) -> DataFrame:
-    """The selected record comes from a window, the margins to the others from an aggregate on the
-    same keys, so bubbles are shuffled once."""
+    """One aggregate an item, on the keys by which bubbles already lie; an item's few records are kept
+    beside it, for the margins to those that were not selected."""
     alignment, grid, allowed = (_known(bubbles, c, k) for c, k in (("alignment_status", "string"), ("grid_refinement_status", "string"), ("grid_refinement_decode_allowed", "boolean")))
-    item = Window.partitionBy(*keys)
     rank = letter_rank(F.col("choice"), letters) if question else choice_rank(F.col("choice"))
     record = F.struct(
         (-F.col("_score")).alias("minus"),
@@ -46,24 +45,26 @@ def _decode(bubbles: DataFrame, keys: Sequence[str], question: bool, letters: Se
     filled = F.col("prelabel") == "filled"
     count = lambda label: F.count(F.when(F.col("prelabel") == label, 1))
     rows = bubbles.withColumn("_score", record_score(bubbles.columns)).withColumn("_rank", rank)
-    chosen = F.min(F.when(filled, record)).over(item)
-    stop = F.max(hard_failure(alignment, grid, allowed)).over(item)
-    if question:
-        stop = stop | (count("filled").over(item) != 1)
-    rows = rows.withColumn("_chosen", F.when(~stop, chosen))
-    other = F.col("_chosen").isNull() | (F.col("choice") != F.col("_chosen.choice"))
     found = rows.groupBy(*keys).agg(
-        F.first("_chosen").alias("c"),
-        F.countDistinct("choice").alias("choices") if question else F.lit(len(letters)).alias("choices"),
+        F.min(F.when(filled, record)).alias("c"),
+        F.max(hard_failure(alignment, grid, allowed)).alias("stop"),
+        F.collect_list(F.struct("choice", "_score", F.col("darkness_score").cast("double").alias("darkness"))).alias("all"),
         count("filled").alias("n_filled"),
         count("ambiguous").alias("n_ambiguous"),
         count("invalid").alias("n_invalid"),
         F.max(needs_review(alignment, grid)).alias("review"),
         F.max("_score").alias("top"),
-        F.max(F.when(other, F.col("_score"))).alias("rival"),
-        F.max(F.when(other, F.col("darkness_score").cast("double"))).alias("dark_rival"),
         F.min(F.struct("_rank", "choice", _known(bubbles, "group_filled_threshold", "double").alias("filled"))).alias("first"),
     )
+    goes = ~F.col("stop") & (F.col("n_filled") == 1) if question else ~F.col("stop")
+    found = found.withColumn("c", F.when(goes, F.col("c"))).withColumn("others", F.filter("all", lambda e: F.col("c").isNull() | (e.choice != F.col("c.choice"))))
+    found = found.withColumns(
+        {
+            "choices": F.size(F.array_distinct(F.transform("all", lambda e: e.choice))) if question else F.lit(len(letters)),
+            "rival": F.array_max(F.transform("others", lambda e: e._score)),
+            "dark_rival": F.array_max(F.transform("others", lambda e: e.darkness)),
+        }
+    )
     margin = F.round(F.col("c._score") - F.col("rival"), 6)
     sure = F.when(
         F.col("c").isNotNull(), F.round(F.least(score_confidence(F.col("c._score"), margin, F.col("c.filled"), F.col("c.margin")), F.col("c.sure")), 6)
