@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from ..operators import decode as D
 from ..operators import extraction as E
 from ..operators import geometry as G
+from ..operators import layout as Y
 from ..operators import ranking as R
 from ..operators import registration as M
 from ..operators import specs as T
+from ..operators import training as L
 from . import bindings as B
 from . import pages as P
 from . import sheet_queries as Q
 from . import vision_queries as V
+from .detail_queries import ORACLES as DETAIL
 from .file_queries import _pictures
 from .template import DOCUMENT, template
 
@@ -164,8 +167,47 @@ def exact_grid_fits(spark, sf):
     return found.select("image_id", "method", "status", "n", "n_inliers", _clean(F.col("rms"), 3).alias("rms"), F.round("confidence", 6).alias("confidence"), "decode_allowed", *_matrix(found))
 
 
-QUERIES = {f.__name__: f for f in (extract_sheets, extract_items, extract_pictures, registration_marks, warp_matrix, detector_marks, block_alignment, exact_block_fits, exact_grid_fits)}
+# -- layout models ----------------------------------------------------------------------------
 
+
+def layout_predictions(spark, sf):
+    """What a layout model's three heat maps say about each picture."""
+    pixels = B.pixels(spark, sf)
+    maps = (("page", F.col("p")), ("marker", F.col("p")), ("bubble", -F.col("p")))
+    heat = pixels.select("image_id", "y", "x", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), v.alias("p")) for c, v in maps])).alias("m")).select("image_id", "m.channel", "y", "x", "m.p")
+    found = Y.layout_predictions(heat, 2.5, 1.5, page=0.05, marker=0.1, bubble=0.12, radius=1, most=6)
+    first = lambda c: F.get(c, 0)
+    return found.select("image_id", "n_markers", "n_bubbles", *[F.get("page", i).alias(f"page_{i}") for i in range(4)], first("markers")["x"].alias("marker_x"), first("markers")["model_y"].alias("marker_y"), first("bubbles")["score"].alias("bubble_score"))
+
+
+def evaluate_layout(spark, sf):
+    """Loss, Dice and peaks of a layout model over the pictures."""
+    pixels, logits = B.pixels(spark, sf), V._logits(spark, sf)
+    peaks = V._peaks(spark, sf).withColumnRenamed("p", "score").withColumn("id", F.col("id").cast("int"))
+    sizes = logits.select("batch_id").distinct().withColumn("size", F.col("batch_id") + 1)
+    return Y.evaluate_layout(logits, sizes, peaks, B.lattice(pixels).where("id % 3 = 0"), {"page": 3.0, "marker": 50.0, "bubble": 10.0, "grid": 6.0}, 1.5)
+
+
+def layout_dataset(spark, sf):
+    """The manifest of a layout model's training samples: clean ones and two moved ones of each sheet of a split."""
+    document = template(spark)
+    splits = L.seeded_split(B.manifest(spark, sf), {"train": 20, "val": 6, "test": 4})
+    marks = document.select(F.explode("marks").alias("m")).select(F.lit("marker").alias("kind"), F.col("m.name").alias("id"), F.col("m.x").cast("double").alias("x"), F.col("m.y").cast("double").alias("y"))
+    points = marks.union(T.label_points(document).select(F.lit("bubble"), "id", "x", "y"))
+    geometry = Y.training_geometry(splits, 1650, 2363, 832, 1192, augmented=2, seed=7, shift=90.0, bend=0.0)
+    labels = Y.training_labels(geometry, points, 832, 1192, occluded=0.3, seed=11)
+    return Y.training_manifest(labels, splits)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        extract_sheets, extract_items, extract_pictures, registration_marks, warp_matrix, detector_marks, block_alignment, exact_block_fits, exact_grid_fits, layout_predictions, evaluate_layout,
+        layout_dataset,
+    )
+}
+
+D_LABELS = DETAIL["label_points"]
 _MARKS = " UNION ALL ".join(f"SELECT {i} AS i, '{m['name']}' AS name, {m['x']}.0::DOUBLE AS x, {m['y']}.0::DOUBLE AS y" for i, m in enumerate(TEMPLATE["marks"]))
 _CORNER = "name IN ('top_left', 'top_right', 'bottom_right', 'bottom_left')"
 SCANNED = f"""mk AS ({_MARKS}), pg AS (SELECT s_suppkey AS image_id, s_suppkey % 4 AS m4, 1.0::DOUBLE + 0.002::DOUBLE * (s_suppkey % 5) AS a, 0.001::DOUBLE * (s_suppkey % 3) AS b, s_suppkey % 9 - 4.0::DOUBLE AS tx, s_suppkey % 7 - 3.0::DOUBLE AS ty FROM supplier),
@@ -226,4 +268,25 @@ SELECT k AS image_id, block, CASE WHEN n >= 4 THEN 'homography' WHEN n = 3 THEN
     "exact_block_fits": f"""WITH {_FIT}, n AS (SELECT *, CAST(3 + k % 4 AS INTEGER) AS n FROM fk)
 SELECT k AS image_id, CASE WHEN n = 3 THEN 'affine' ELSE 'homography' END AS method, 'ok' AS status, n, 0.0::DOUBLE AS rms, CASE WHEN n = 3 THEN 0.75::DOUBLE ELSE 1 END AS confidence, {_shown_matrix("true")} FROM n""",
     "exact_grid_fits": f"WITH {_FIT} SELECT k AS image_id, 'affine' AS method, 'ok' AS status, 9 AS n, 7 AS n_inliers, 0.0::DOUBLE AS rms, round(7 / 9, 6) AS confidence, true AS decode_allowed, {_shown_matrix('true')} FROM fk",
+    "layout_predictions": f"""WITH {V.PIXELS_SQL}, ht AS (SELECT image_id, 'marker' AS c, y, x, p, 0.1::DOUBLE AS t FROM px UNION ALL SELECT image_id, 'bubble', y, x, -p, 0.12::DOUBLE FROM px),
+m1 AS (SELECT *, max(p) OVER (PARTITION BY image_id, c, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM ht),
+m2 AS (SELECT *, max(m) OVER (PARTITION BY image_id, c, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mm FROM m1),
+pk AS (SELECT image_id, c, y, x, p, row_number() OVER (PARTITION BY image_id, c ORDER BY p DESC, y, x) AS r FROM m2 WHERE p >= t AND p >= mm - 1e-6::DOUBLE QUALIFY r <= 6),
+bx AS (SELECT image_id, round(min(x) * 2.5::DOUBLE, 3) AS page_0, round(min(y) * 1.5::DOUBLE, 3) AS page_1, round((max(x) + 1) * 2.5::DOUBLE, 3) AS page_2, round((max(y) + 1) * 1.5::DOUBLE, 3) AS page_3 FROM px WHERE p >= 0.05::DOUBLE GROUP BY image_id),
+ag AS (SELECT image_id, CAST(count(*) FILTER (c = 'marker') AS INTEGER) AS n_markers, CAST(count(*) FILTER (c = 'bubble') AS INTEGER) AS n_bubbles, max(round(x * 2.5::DOUBLE, 3)) FILTER (c = 'marker' AND r = 1) AS marker_x,
+  max(CAST(y AS DOUBLE)) FILTER (c = 'marker' AND r = 1) AS marker_y, max(round(p, 6)) FILTER (c = 'bubble' AND r = 1) AS bubble_score FROM pk GROUP BY image_id)
+SELECT i.image_id, coalesce(n_markers, 0) AS n_markers, coalesce(n_bubbles, 0) AS n_bubbles, bx.* EXCLUDE (image_id), marker_x, marker_y, bubble_score
+FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN ag ON ag.image_id = i.image_id LEFT JOIN bx ON bx.image_id = i.image_id""",
+    "evaluate_layout": f"""SELECT l.loss, d.mean_dice, p.* FROM (SELECT round(sum(loss * (batch_id + 1)) / sum(batch_id + 1), 4) AS loss FROM ({V.ORACLES['layout_loss']})) l,
+  (SELECT round(sum(dice * (batch_id + 1)) / sum(batch_id + 1), 4) AS mean_dice FROM (SELECT batch_id, avg(dice) AS dice FROM ({V.ORACLES['dice_mse']}) GROUP BY batch_id)) d, ({V.ORACLES['peak_prf']}) p""",
+    "layout_dataset": f"""WITH {V.SPECS_SQL}, mk AS ({_MARKS}), pt AS (SELECT 'marker' AS kind, name AS id, x, y FROM mk UNION ALL SELECT 'bubble', id, x, y FROM ({D_LABELS})),
+r AS (SELECT doc_id AS k, row_number() OVER (ORDER BY sha1('20260619:' || doc_id), doc_id) AS n FROM documents),
+s AS (SELECT k, CASE WHEN n <= 20 THEN 'train' WHEN n <= 26 THEN 'val' ELSE 'test' END AS split FROM r WHERE n <= 30),
+g AS (SELECT k, split, i, k || CASE i WHEN 0 THEN '_clean' ELSE format('_aug{{:03d}}', i) END AS sample_id,
+  CASE WHEN i > 0 THEN 90.0::DOUBLE * (CAST(concat('0x', substr(sha1('7:' || k || ':' || i || ':x'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * 2 - 1) ELSE 0 END AS dx,
+  CASE WHEN i > 0 THEN 90.0::DOUBLE * (CAST(concat('0x', substr(sha1('7:' || k || ':' || i || ':y'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * 2 - 1) ELSE 0 END AS dy FROM s, range(0, 3) a(i)),
+l AS (SELECT sample_id, k, split, i, kind, round(x * (832 / 1650.0::DOUBLE) + dx, 3) AS x, round(y * (1192 / 2363.0::DOUBLE) + dy, 3) AS y,
+  kind = 'marker' AND i > 0 AND CAST(concat('0x', substr(sha1('11:' || sample_id || ':' || id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.3::DOUBLE AS covered FROM g, pt)
+SELECT sample_id, k AS base_image_id, split, 'images/' || split || '/' || sample_id || '.jpg' AS image_path, 'labels/' || split || '/' || sample_id || '.json' AS label_path, i = 0 AS clean,
+  count(*) FILTER (kind = 'marker' AND NOT covered AND x >= 0 AND x < 832 AND y >= 0 AND y < 1192) AS visible_markers, count(*) FILTER (kind = 'bubble' AND x >= 0 AND x < 832 AND y >= 0 AND y < 1192) AS visible_bubbles FROM l GROUP BY ALL""",
 }

@@ -40,6 +40,19 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def read_document_if_exists(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A run's summary or another single document; no row where there is no such file."""
+    return read_document(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def first_that_exists(spark: SparkSession, path: str, *bases: str) -> str:
+    """A path as it is if absolute; else below the first base that holds it, and below the last one if none does."""
+    if path.startswith("/") or "://" in path:
+        return path
+    places = [f"{base.rstrip('/')}/{path}" for base in bases]
+    return next((p for p in places if exists(spark, p)), places[-1])
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame | None:
     """The first tab-separated field of each line that is neither blank nor a comment; None, which
     means no filter, where the file is missing."""

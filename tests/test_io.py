@@ -95,3 +95,21 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted((r.image_id, r.selected, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("s1", "A", "accepted"), ("s2", "A", "accepted")]
     assert A.arrivals_by_hour(stream).isStreaming and A.arriving_images(spark, f"{tmp_path}/in").isStreaming
+
+
+def test_optional_documents_and_bases(spark, tmp_path):
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "extraction_result.json").write_text('{"ok": 3,\n "total": 4}')
+    assert I.read_document_if_exists(spark, f"{tmp_path}/run/extraction_result.json", "ok int, total int").first().total == 4
+    assert I.read_document_if_exists(spark, f"{tmp_path}/none.json", "ok int").count() == 0
+    assert I.first_that_exists(spark, "extraction_result.json", f"{tmp_path}", f"{tmp_path}/run/", "/x") == f"{tmp_path}/run/extraction_result.json"
+    assert I.first_that_exists(spark, "a.json", "/b", "/c/") == "/c/a.json" and I.first_that_exists(spark, "/abs/a", "/b") == "/abs/a"
+
+
+def test_guarded_folder(spark, tmp_path):
+    O.prepare_folder(spark, f"{tmp_path}/out", False)
+    (tmp_path / "out" / "x").write_text("1")
+    with pytest.raises(FileExistsError):
+        O.prepare_folder(spark, f"{tmp_path}/out", False)
+    O.prepare_folder(spark, f"{tmp_path}/out", True)
+    assert list((tmp_path / "out").iterdir()) == []
