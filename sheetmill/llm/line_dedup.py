@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small_batches
+from .common import cut, forget, scratch_dir, slices, small_batches
 
 MIN_CHARS = 12
 #: Wanted lines (id and line number: about 16 bytes each) up to which they are broadcast to the
@@ -200,7 +200,10 @@ def near_partners(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted) if few else wanted
         return texts.join(wanted, F.col("doc_id") == F.col("w_id")).select("doc_id", "text", "wanted").mapInArrow(make, schema)
 
-    variants = pick(wanted, _variants, f"key long, kind byte, doc_id {kind}, line int").withColumn("at", F.struct("doc_id", "line"))
+    # Written once as a table, whose columns repeat and pack well: their keys are counted and joined.
+    folder = scratch_dir(docs.sparkSession, "variants")
+    pick(wanted, _variants, f"key long, kind byte, doc_id {kind}, line int").write.mode("overwrite").parquet(folder)
+    variants = docs.sparkSession.read.parquet(folder).withColumn("at", F.struct("doc_id", "line"))
     groups = (
         variants.groupBy("key")
         .agg(
@@ -222,6 +225,7 @@ def near_partners(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         .select("doc_id", "line", F.explode("others").alias("other"))
         .select("doc_id", "line", F.col("other.doc_id").alias("o_id"), F.col("other.line").alias("o_line"))
     )
+    forget(docs.sparkSession, folder)
     named = pairs.select("doc_id", "line").union(pairs.select("o_id", "o_line")).distinct()
     named = cut(named.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list("line").alias("wanted")))
     found = pick(named, _texts, f"doc_id {kind}, line int, found string").distinct()
