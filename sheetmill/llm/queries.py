@@ -18,6 +18,7 @@ from .packing import pack_documents
 from .prefix_trie import prefix_trie
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
+from .token_alignment import align_tokens
 from .token_files import read_tokens, write_tokens
 from .toxicity import score_toxicity
 
@@ -73,6 +74,10 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -144,7 +149,7 @@ LEFT JOIN g p ON p.path = up.above AND p.d = up.above_d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_fingerprints": op3_fingerprints, "op4_token_files": op4_token_files, "op5_html_extraction": op5_html_extraction, "op6_embedding_dedup": op6_embedding_dedup, "op7_language_id": op7_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_packing": op10_packing, "op11_prefix_trie": op11_prefix_trie, "op12_toxicity": op12_toxicity}
+    return {"op1_line_dedup": op1_line_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_fingerprints": op3_fingerprints, "op4_token_files": op4_token_files, "op5_html_extraction": op5_html_extraction, "op6_embedding_dedup": op6_embedding_dedup, "op7_language_id": op7_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_packing": op10_packing, "op11_prefix_trie": op11_prefix_trie, "op12_toxicity": op12_toxicity, "op13_token_alignment": op13_token_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
