@@ -12,6 +12,7 @@ their groups by a join, and what documents hold is summed within the block.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections import defaultdict
@@ -23,6 +24,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,8 +59,23 @@ def words_of(text: str) -> list[str]:
     return text.split(" ")
 
 
+def _release(spark: SparkSession) -> None:
+    """Shuffle files that nothing refers to any longer go now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(np.int32).tobytes())
+
+
+def _unpacked(held: bytes | None) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(held) if held else b"", np.int32)
+
+
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents, ``words`` holding their words' numbers in the block, and a row for each of its words."""
+    """Rows of documents (part 0), ``words`` holding their words' numbers in the block, and a row for each of its
+    words (part 1)."""
     numbers: defaultdict[str, int] = defaultdict()
     numbers.default_factory = numbers.__len__
     block, size = TaskContext.get().partitionId() << 32, 0
@@ -66,15 +83,15 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def dictionary() -> pa.RecordBatch:
         n = len(numbers)
-        return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(list(numbers), pa.string())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(list(numbers), pa.string())], names=names)
 
-    names = ["block", "doc_id", "words", "number", "word"]
+    names = ["part", "block", "doc_id", "words", "number", "word"]
     for batch in slices(batches, "text", 1 << 20):
         kind = batch.column("doc_id").type
         texts = batch.column("text").to_pylist()
-        held = [np.fromiter(map(numbers.__getitem__, words_of(t)), np.int32).tobytes() if t else None for t in texts]
+        held = [_packed(np.fromiter(map(numbers.__getitem__, words_of(t)), np.int32)) if t else None for t in texts]
         n = len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), batch.column("doc_id"), pa.array(held, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([block] * n, pa.int64()), batch.column("doc_id"), pa.array(held, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names)
         size += sum(map(len, filter(None, texts)))
         if size >= BLOCK:
             yield dictionary()
@@ -99,26 +116,35 @@ def _tokenizers() -> tuple[Tokenizer, sentencepiece.SentencePieceProcessor, list
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids and lengths of the tokens of words whose bytes both tokenizers keep."""
+    """Of sorted words: which number each has in which block (part 0), and, once, its tokens' ids and lengths
+    (part 1) if both tokenizers keep its bytes."""
     a, b, a_bytes, b_bytes = _tokenizers()
     kind = pa.list_(pa.int32())
-    schema = pa.schema([("w", pa.int64()), ("word", pa.string()), ("a", kind), ("a_len", kind), ("b", kind), ("b_len", kind)])
+    schema = pa.schema([("part", pa.int32()), ("w", pa.int64()), ("block", pa.int64()), ("number", pa.int32()), ("a", kind), ("a_len", kind), ("b", kind), ("b_len", kind)])
+    w, last = (TaskContext.get().partitionId() << 32) - 1, None
     for whole in batches:
         for batch in slices([whole], "word", 1 << 20):
-            words = batch.column("word").to_pylist()
-            left = [e.ids for e in a.encode_batch([f" {w}" for w in words], add_special_tokens=False)]
-            right = b.encode(words, num_threads=1)
-            found: dict[str, list] = {name: [] for name in schema.names}
-            for w, word, x, y in zip(batch.column("w").to_pylist(), words, left, right, strict=True):
+            words, new, which = batch.column("word").to_pylist(), [], []
+            for word in words:
+                if word != last:
+                    w, last = w + 1, word
+                    new.append(word)
+                which.append(w)
+            n = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(which, pa.int64()), batch.column("block"), batch.column("number"), *(pa.nulls(n, kind) for _ in range(4))], schema=schema)
+            found: dict[str, list] = {name: [] for name in ("w", "a", "a_len", "b", "b_len")}
+            left = [e.ids for e in a.encode_batch([f" {x}" for x in new], add_special_tokens=False)]
+            for k, (word, x, y) in enumerate(zip(new, left, b.encode(new, num_threads=1) if new else [], strict=True)):
                 text, p, q = f" {word}".encode(), [a_bytes[i] for i in x], [b_bytes[i] for i in y]
                 if b"".join(p) == text == b"".join(q):
-                    for name, value in zip(schema.names, (w, word, x, [*map(len, p)], y, [*map(len, q)]), strict=True):
+                    for name, value in zip(found, (w - len(new) + 1 + k, x, [*map(len, p)], y, [*map(len, q)]), strict=True):
                         found[name].append(value)
-            yield pa.RecordBatch.from_pydict(found, schema)
+            n = len(found["w"])
+            yield pa.RecordBatch.from_pydict({"part": [1] * n, "block": [None] * n, "number": [None] * n, **found}, schema)
 
 
 def aligned_groups(tokens: DataFrame) -> DataFrame:
-    """``word, groups`` of ``w, word, a, a_len, b, b_len``: the groups as ``a1,a2|b1;a3|b2,b3``."""
+    """``w, groups`` of ``w, a, a_len, b, b_len``: the groups as ``a1,a2|b1;a3|b2,b3``."""
     dealt = tokens.repartition("w")
 
     def ends(side: str) -> DataFrame:
@@ -134,8 +160,33 @@ def aligned_groups(tokens: DataFrame) -> DataFrame:
     )
     ids = lambda side: F.array_join(F.slice(side, F.col(f"{side}_from") + 2, F.col(f"{side}_at") - F.col(f"{side}_from")), ",")
     ranges = groups.join(dealt.select("w", "a", "b"), "w").select("w", F.struct("g", F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids")).alias("group"))
-    whole = ranges.groupBy("w").agg(F.array_join(F.transform(F.array_sort(F.collect_list("group")), lambda x: x["ids"]), ";").alias("groups"))
-    return dealt.select("w", "word").join(whole, "w").select("word", "groups")
+    return ranges.groupBy("w").agg(F.array_join(F.transform(F.array_sort(F.collect_list("group")), lambda x: x["ids"]), ";").alias("groups"))
+
+
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``block, number, groups`` as one compressed piece a block and some hundred thousand rows."""
+    held: list[pa.RecordBatch] = []
+
+    def pieces() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+        block = table.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        out = []
+        for x, y in zip(edges, edges[1:], strict=False):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([table.schema.field("number"), table.schema.field("groups")]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(table.select(["number", "groups"]).slice(x, y - x))
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(out, pa.binary())], names=["block", "piece"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= 200_000:
+            yield pieces()
+            held.clear()
+    if held:
+        yield pieces()
 
 
 class _Groups(dict):
@@ -160,13 +211,15 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _hold(kind: pa.DataType):
     """What the documents of one block hold, and how many of them hold each pair."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", kind), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary()), ("number", pa.int32()), ("pair", pa.int64()), ("n_docs", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("doc_id", kind), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("links", pa.binary()), ("number", pa.int32()), ("pair", pa.int64()), ("n_docs", pa.int64())])
 
     def run(words: pa.Table, docs: pa.Table) -> pa.Table:
         block = (words if words.num_rows else docs).column("block")[0].as_py()
-        n = words.num_rows
+        pieces = [pa.ipc.open_stream(x).read_all() for x in words.column("piece").to_pylist()]
+        n = sum(x.num_rows for x in pieces)
         strings = np.full(n, None, object)
-        strings[words.column("number").to_numpy()] = words.column("groups").to_pylist()
+        for x in pieces:
+            strings[x.column("number").to_numpy()] = x.column("groups").to_pylist()
         known, numbers = _Groups(), []
         sizes = np.zeros(n, np.int64)
         for k, s in enumerate(strings):
@@ -181,11 +234,11 @@ def _hold(kind: pa.DataType):
         pair_starts = np.cumsum(pair_sizes) - pair_sizes
         pairs, pair_of = np.unique(np.concatenate(known.pairs or [np.zeros(0, np.int64)]), return_inverse=True)
         n_docs = np.zeros(len(pairs), np.int64)
-        out: dict[str, list] = {name: [] for name in schema.names[:9]}
+        out: dict[str, list] = {name: [] for name in schema.names[:8]}
         for doc_id, held in zip(docs.column("doc_id").to_pylist(), docs.column("words").to_pylist(), strict=True):
-            row: tuple = (0, 0, 0, 0, "", None, None)
+            row: tuple = (0, 0, 0, 0, "", None)
             if held is not None:
-                at = np.frombuffer(held, np.int32)
+                at = _unpacked(held)
                 texts = strings[at].tolist()
                 if None not in texts:
                     groups = np.bincount(of_word[_spread(word_starts[at], sizes[at])], minlength=len(known))
@@ -195,12 +248,12 @@ def _hold(kind: pa.DataType):
                     mine, where = np.unique(pair_of[_spread(pair_starts[some], pair_sizes[some])], return_inverse=True)
                     n_docs[mine] += 1
                     sha = hashlib.sha256(";".join(texts).encode()).hexdigest()
-                    row = (int(times @ n_a[some]), int(times @ n_b[some]), int(times.sum()), int(each.sum()), sha, mine.astype(np.int32).tobytes(), np.bincount(where, each, len(mine)).astype(np.int64).tobytes())
-            for name, value in zip(schema.names[:9], (block, doc_id, *row), strict=True):
+                    row = (int(times @ n_a[some]), int(times @ n_b[some]), int(times.sum()), int(each.sum()), sha, _packed(np.concatenate([np.diff(mine, prepend=0), np.bincount(where, each, len(mine))])))
+            for name, value in zip(schema.names[:8], (block, doc_id, *row), strict=True):
                 out[name].append(value)
         rows = pa.Table.from_pydict(out | {"number": [None] * docs.num_rows, "pair": [None] * docs.num_rows, "n_docs": [None] * docs.num_rows}, schema)
         p = len(pairs)
-        counts = pa.Table.from_arrays([pa.array([block] * p, pa.int64()), *(pa.nulls(p, f.type) for f in [*schema][1:9]), pa.array(range(p), pa.int32()), pa.array(pairs), pa.array(n_docs)], schema=schema)
+        counts = pa.Table.from_arrays([pa.array([block] * p, pa.int64()), *(pa.nulls(p, f.type) for f in [*schema][1:8]), pa.array(range(p), pa.int32()), pa.array(pairs), pa.array(n_docs)], schema=schema)
         return pa.concat_tables([rows, counts])
 
     return run
@@ -213,10 +266,11 @@ def _judge(pairs: pa.Table, docs: pa.Table) -> pa.Table:
     number = pairs.column("number").to_numpy()
     count[number], best[number] = pairs.column("count").to_numpy(), pairs.column("best").to_numpy()
     sums: dict[str, list[int]] = {"n_best": [], "count_sum": []}
-    for held, times in zip(docs.column("pairs").to_pylist(), docs.column("times").to_pylist(), strict=True):
-        at, n_times = np.frombuffer(held or b"", np.int32), np.frombuffer(times or b"", np.int64)
-        sums["n_best"].append(int(n_times @ best[at]))
-        sums["count_sum"].append(int(n_times @ count[at]))
+    for held in docs.column("links").to_pylist():
+        steps, times = _unpacked(held).astype(np.int64).reshape(2, -1)
+        at = np.cumsum(steps)
+        sums["n_best"].append(int(times @ best[at]))
+        sums["count_sum"].append(int(times @ count[at]))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     found = {**{c: docs.column(c) for c in names if c not in sums}, **{k: pa.array(v, pa.int64()) for k, v in sums.items()}}
     return pa.table({c: found[c] for c in names})
@@ -232,22 +286,27 @@ def align_tokens(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch_dir(spark, "token-alignment")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = small_batches(docs).select("doc_id", "text").mapInArrow(_block_words, f"block long, doc_id {kind}, words binary, number int, word string")
-    rows.write.parquet(f"{folder}/blocks")
-    blocks = spark.read.parquet(f"{folder}/blocks")
-    dictionary = blocks.where("word is not null").select("block", "number", "word")
-    distinct = dictionary.select("word").distinct().select(F.monotonically_increasing_id().alias("w"), "word")
-    distinct.mapInArrow(_tokenize, "w long, word string, a array<int>, a_len array<int>, b array<int>, b_len array<int>").write.parquet(f"{folder}/tokens")
+    rows = small_batches(docs).select("doc_id", "text").mapInArrow(_block_words, f"part int, block long, doc_id {kind}, words binary, number int, word string")
+    rows.write.partitionBy("part").parquet(f"{folder}/blocks")
+    read = lambda name, part, columns: spark.read.schema(f"{columns}, part int").parquet(f"{folder}/{name}").where(F.col("part") == part).drop("part")
+    dictionary = read("blocks", 1, "block long, number int, word string")
+    tokens = dictionary.repartition("word").sortWithinPartitions("word").mapInArrow(_tokenize, "part int, w long, block long, number int, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
+    tokens.write.partitionBy("part").parquet(f"{folder}/tokens")
+    forget(spark, f"{folder}/blocks/part=1")
+    _release(spark)
     with _by_word(spark):
-        aligned_groups(spark.read.parquet(f"{folder}/tokens")).write.parquet(f"{folder}/words")
-    words = spark.read.parquet(f"{folder}/words").withColumnRenamed("word", "known")
-    known = dictionary.join(words, F.col("word") == F.col("known"), "left").select("block", "number", "groups")
-    texts = spark.read.parquet(f"{folder}/blocks").where("number is null").select("block", "doc_id", "words")
-    held = f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary, number int, pair long, n_docs long"
-    hold = _hold(_arrow_type(docs))
-    known.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(hold, held).write.parquet(f"{folder}/held")
+        aligned_groups(read("tokens", 1, "w long, a array<int>, a_len array<int>, b array<int>, b_len array<int>")).write.parquet(f"{folder}/words")
+    forget(spark, f"{folder}/tokens/part=1")
+    _release(spark)
+    words = spark.read.parquet(f"{folder}/words").withColumnRenamed("w", "known")
+    places = read("tokens", 0, "w long, block long, number int")
+    known = places.join(words, F.col("w") == F.col("known"), "left").select("block", "number", "groups").mapInArrow(_bundle, "block long, piece binary")
+    texts = read("blocks", 0, f"block long, doc_id {kind}, words binary")
+    held = f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, number int, pair long, n_docs long"
+    known.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_hold(_arrow_type(docs)), held).write.parquet(f"{folder}/held")
     for done in ("blocks", "tokens", "words"):
         forget(spark, f"{folder}/{done}")
+    _release(spark)
     found = spark.read.parquet(f"{folder}/held")
     pairs = found.where("number is not null").select("block", "number", "pair", "n_docs")
     counts = pairs.groupBy(F.col("pair").alias("counted")).agg(F.sum("n_docs").alias("count"))
