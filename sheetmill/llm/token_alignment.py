@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import forget, scratch_dir, slices, small_batches
+from .common import forget, scratch_dir, slices, small_batches, utf8_buffer
 from .tokens import _byte_characters
 
 #: Bytes of text in a block of documents, about; a longer text is a block of its own.
@@ -115,12 +115,19 @@ def _tokenizers() -> tuple[Tokenizer, sentencepiece.SentencePieceProcessor, list
     return a, b, a_bytes, b_bytes
 
 
+def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The values between each two edges, as bytes."""
+    offsets = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted words: which number each has in which block (part 0), and, once, its tokens' ids and lengths
-    (part 1) if both tokenizers keep its bytes."""
+    """Of sorted words: which number each has in which blocks (part 0, ``blocks`` and ``numbers`` being lists as
+    bytes, one row a word and batch), and, once, its tokens' ids and lengths (part 1) if both tokenizers keep
+    its bytes."""
     a, b, a_bytes, b_bytes = _tokenizers()
     kind = pa.list_(pa.int32())
-    schema = pa.schema([("part", pa.int32()), ("w", pa.int64()), ("block", pa.int64()), ("number", pa.int32()), ("a", kind), ("a_len", kind), ("b", kind), ("b_len", kind)])
+    schema = pa.schema([("part", pa.int32()), ("w", pa.int64()), ("blocks", pa.binary()), ("numbers", pa.binary()), ("a", kind), ("a_len", kind), ("b", kind), ("b_len", kind)])
     w, last = (TaskContext.get().partitionId() << 32) - 1, None
     for whole in batches:
         for batch in slices([whole], "word", 1 << 20):
@@ -130,8 +137,11 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     w, last = w + 1, word
                     new.append(word)
                 which.append(w)
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(which, pa.int64()), batch.column("block"), batch.column("number"), *(pa.nulls(n, kind) for _ in range(4))], schema=schema)
+            runs = np.array(which, np.int64)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(runs)) + 1, [len(words)]])
+            n = len(edges) - 1
+            lists = [_lists(batch.column(c).to_numpy(), edges) for c in ("block", "number")]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(runs[edges[:-1]]), *lists, *(pa.nulls(n, kind) for _ in range(4))], schema=schema)
             found: dict[str, list] = {name: [] for name in ("w", "a", "a_len", "b", "b_len")}
             left = [e.ids for e in a.encode_batch([f" {x}" for x in new], add_special_tokens=False)]
             for k, (word, x, y) in enumerate(zip(new, left, b.encode(new, num_threads=1) if new else [], strict=True)):
@@ -140,7 +150,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for name, value in zip(found, (w - len(new) + 1 + k, x, [*map(len, p)], y, [*map(len, q)]), strict=True):
                         found[name].append(value)
             n = len(found["w"])
-            yield pa.RecordBatch.from_pydict({"part": [1] * n, "block": [None] * n, "number": [None] * n, **found}, schema)
+            yield pa.RecordBatch.from_pydict({"part": [1] * n, "blocks": [None] * n, "numbers": [None] * n, **found}, schema)
 
 
 def aligned_groups(tokens: DataFrame) -> DataFrame:
@@ -164,7 +174,8 @@ def aligned_groups(tokens: DataFrame) -> DataFrame:
 
 
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``block, number, groups`` as one compressed piece a block and some hundred thousand rows."""
+    """Rows ``blocks, numbers, groups`` as one compressed piece of ``number, groups`` a block and some hundred
+    thousand rows."""
     held: list[pa.RecordBatch] = []
 
     def pieces() -> pa.RecordBatch:
@@ -181,7 +192,11 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         if batch.num_rows:
-            held.append(batch)
+            blocks = np.frombuffer(b"".join(batch.column("blocks").to_pylist()), np.int64)
+            numbers = np.frombuffer(b"".join(batch.column("numbers").to_pylist()), np.int32)
+            times = np.diff(utf8_buffer(batch.column("blocks"))[1]) // 8
+            groups = batch.column("groups").take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+            held.append(pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(numbers), groups], names=["block", "number", "groups"]))
         if sum(b.num_rows for b in held) >= 200_000:
             yield pieces()
             held.clear()
@@ -290,7 +305,7 @@ def align_tokens(docs: DataFrame) -> DataFrame:
     rows.write.partitionBy("part").parquet(f"{folder}/blocks")
     read = lambda name, part, columns: spark.read.schema(f"{columns}, part int").parquet(f"{folder}/{name}").where(F.col("part") == part).drop("part")
     dictionary = read("blocks", 1, "block long, number int, word string")
-    tokens = dictionary.repartition("word").sortWithinPartitions("word").mapInArrow(_tokenize, "part int, w long, block long, number int, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
+    tokens = dictionary.repartition("word").sortWithinPartitions("word").mapInArrow(_tokenize, "part int, w long, blocks binary, numbers binary, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
     tokens.write.partitionBy("part").parquet(f"{folder}/tokens")
     forget(spark, f"{folder}/blocks/part=1")
     _release(spark)
@@ -299,8 +314,8 @@ def align_tokens(docs: DataFrame) -> DataFrame:
     forget(spark, f"{folder}/tokens/part=1")
     _release(spark)
     words = spark.read.parquet(f"{folder}/words").withColumnRenamed("w", "known")
-    places = read("tokens", 0, "w long, block long, number int")
-    known = places.join(words, F.col("w") == F.col("known"), "left").select("block", "number", "groups").mapInArrow(_bundle, "block long, piece binary")
+    places = read("tokens", 0, "w long, blocks binary, numbers binary")
+    known = places.join(words, F.col("w") == F.col("known"), "left").select("blocks", "numbers", "groups").mapInArrow(_bundle, "block long, piece binary")
     texts = read("blocks", 0, f"block long, doc_id {kind}, words binary")
     held = f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, number int, pair long, n_docs long"
     known.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_hold(_arrow_type(docs)), held).write.parquet(f"{folder}/held")
