@@ -32,15 +32,12 @@ BROADCAST_HOSTS = 1 << 17
 _RAW = "script|style"
 _WHOLE = "title|textarea|noscript|template|iframe|object|canvas|video|audio|annotation|annotation-xml"
 _WIDGET = "button|select|svg"
-_REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b{_REST}>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<whole>{_WHOLE})\b{_REST}>(?:(?!<(?P=whole)\b).)*?</(?P=whole)\s*>"
-    rf"|<(?P<widget>{_WIDGET})\b{_REST}>(?:(?!<(?:(?P=widget)|p|h[1-6]|article|section|main|ul|ol|table|body)\b).)*?</(?P=widget)\s*>"
-    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>{_REST})>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW.split("|")}
+_ENDS |= {tag: re.compile(rf"(?P<other><{tag}\b)|</{tag}\s*>", re.I) for tag in _WHOLE.split("|")}
+_ENDS |= {tag: re.compile(rf"(?P<other><(?:{tag}|p|h[1-6]|article|section|main|ul|ol|table|body)\b)|</{tag}\s*>", re.I) for tag in _WIDGET.split("|")}
+_RAW_TAGS = frozenset(_RAW.split("|"))
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _BLOCKS = frozenset(
     "html head body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
@@ -62,30 +59,84 @@ _NOISE_WORDS = re.compile(
     r"footer|shar(?:e|ing)|social|newsletter|subscri\w*|sign-?up|login)(?=$|[\s_-])",
     re.I,
 )
-_HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
-#: What is to become of an element's text: it stays; it goes unless it is the page's running text, or
-#: unless nothing else is; it goes.
-_STAYS, _DOUBTED, _COMMENTS, _GOES = range(4)
+_HEADING = re.compile(r"h[1-6](?:\.|$)")
+_LEAF = re.compile(r"(?:p|h[1-6])(?:\.|$)")
+#: What is to become of an element's text: it stays; it goes if it is mostly links (an article's own boxes); it
+#: goes unless it is the page's running text, or unless nothing else is; it goes.
+_STAYS, _LISTED, _DOUBTED, _COMMENTS, _GOES = range(5)
 #: A start tag of the first closes an open one of the second that is nearer than its list or table.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPES = frozenset("ul ol dl table html body".split())
 
 
 class Block(NamedTuple):
-    """Text of one block, how much of it is linked, the numbers of the containers around it, and of
-    those among them whose text is in doubt."""
+    """Text of one block, how much of it is linked, and the number of the container around it."""
 
     text: str
     linked: int
-    within: tuple[int, ...]
-    doubts: tuple[int, ...] = ()
+    within: int
 
 
 class _Open(NamedTuple):
     tag: str
     number: int
     dropped: bool
-    doubts: tuple[int, ...] = ()
+    doubted: bool = False
+    article: bool = False
+
+
+class Containers:
+    """A page's containers by number, from the outside in; the one around each, and the nearest one whose text is
+    in doubt (0 if none), itself included.  Indexing gives a container's path, which is spelled out only then."""
+
+    def __init__(self) -> None:
+        self.parents, self.steps, self.doubts, self.fates = [0], [""], [0], [_STAYS]
+        self.noise: set[int] = set()
+
+    def __len__(self) -> int:
+        return len(self.parents)
+
+    def add(self, parent: int, step: str, fate: int) -> int:
+        number = len(self.parents)
+        self.parents.append(parent)
+        self.steps.append(step)
+        self.doubts.append(number if fate in (_LISTED, _DOUBTED, _COMMENTS) else self.doubts[parent])
+        self.fates.append(fate)
+        return number
+
+    def around(self, number: int) -> Iterator[int]:
+        """The container and those around it, from the inside out."""
+        while number:
+            yield number
+            number = self.parents[number]
+
+    def __getitem__(self, number: int) -> str:
+        return "".join(f"/{self.steps[k]}" for k in reversed([*self.around(number)]))
+
+    def chain(self, doubt: int) -> Iterator[int]:
+        """The containers in doubt around one of them, itself included."""
+        while doubt:
+            yield doubt
+            doubt = self.doubts[self.parents[doubt]]
+
+    def at(self, path: str) -> list[int]:
+        """The numbers of the containers at a path."""
+        reached = [0] + [-1] * (len(self) - 1)
+        for k in range(1, len(self)):
+            so_far = reached[self.parents[k]]
+            if so_far >= 0 and path.startswith(f"/{self.steps[k]}", so_far):
+                end = so_far + 1 + len(self.steps[k])
+                reached[k] = end if path[end : end + 1] in ("", "/") else -1
+        return [k for k in range(len(self)) if reached[k] == len(path)]
+
+    def inside(self, numbers: list[int]) -> list[bool]:
+        """For each container, whether it is one of these or lies in one."""
+        found = [False] * len(self)
+        for k in numbers:
+            found[k] = True
+        for k in range(1, len(self)):
+            found[k] = found[k] or found[self.parents[k]]
+        return found
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -93,7 +144,8 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def _fate(tag: str, attributes: dict[str, str]) -> int:
+def _fate(tag: str, attributes: dict[str, str], article: bool = False) -> int:
+    """``article``: whether the element stands in one, where names alone mean little."""
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     if tag in _NEVER_DROPPED:
         return _COMMENTS if tag == "article" and _COMMENT_WORDS.search(named) else _STAYS
@@ -106,7 +158,9 @@ def _fate(tag: str, attributes: dict[str, str]) -> int:
     ):
         return _GOES
     if named.strip() and _DROPPED_WORDS.search(named):
-        return _COMMENTS if _COMMENT_WORDS.search(named) else _DOUBTED
+        if _COMMENT_WORDS.search(named):
+            return _COMMENTS
+        return _LISTED if article and tag != "form" and not _NOISE_WORDS.search(named) else _DOUBTED
     return _DOUBTED if tag == "form" else _STAYS
 
 
@@ -115,130 +169,180 @@ def _runs(block: Block) -> bool:
     return 2 * block.linked < len(block.text) and (len(block.text) > 80 or block.text[-1] in ".!?…")
 
 
-def _settle(blocks: list[Block], comments: set[int], noise: set[int], paths: list[str]) -> list[Block]:
+def _settle(blocks: list[Block], paths: Containers) -> list[Block]:
     """The blocks that stay.  A container whose name or kind puts its text in doubt goes, unless it holds
     ``SHARE`` of the running text in two blocks at least, as a form around a whole page does (and, where it is
-    named like an advert or notice, unless it holds all).  Where only headings and links would be left,
-    all such containers stay but readers' comments; and those only if there is nothing else."""
-    if not any(b.doubts for b in blocks):
+    named like an advert or notice, unless it holds all); one in an article goes if it is mostly links.  Where
+    only headings and links would be left, all such containers stay but readers' comments; and those only if
+    there is nothing else."""
+    doubt_of = paths.doubts
+    if not any(doubt_of[b.within] for b in blocks):
         return blocks
-    weight: dict[tuple[int, ...], float] = {}
-    runs: dict[tuple[int, ...], int] = {}
+    size, linked = [0] * len(paths), [0] * len(paths)
+    for b in blocks:
+        size[b.within] += len(b.text)
+        linked[b.within] += b.linked
+    comments, noise, doubted = [False] * len(paths), [False] * len(paths), [False] * len(paths)
+    for k in range(len(paths) - 1, 0, -1):
+        size[paths.parents[k]] += size[k]
+        linked[paths.parents[k]] += linked[k]
+    for k in range(1, len(paths)):
+        up, fate = paths.parents[k], paths.fates[k]
+        comments[k] = comments[up] or fate == _COMMENTS
+        noise[k] = noise[up] or k in paths.noise
+        doubted[k] = doubted[up] or fate in (_DOUBTED, _COMMENTS) or fate == _LISTED and 2 * linked[k] >= size[k]
+    weight: dict[int, float] = {}
+    runs: dict[int, int] = {}
     for b in blocks:
-        weight[b.doubts] = weight.get(b.doubts, 0.0) + _weight(b)
-        runs[b.doubts] = runs.get(b.doubts, 0) + _runs(b)
-    plain = weight.pop((), 0.0)
+        doubt = doubt_of[b.within] if doubted[b.within] else 0
+        weight[doubt] = weight.get(doubt, 0.0) + _weight(b)
+        runs[doubt] = runs.get(doubt, 0) + _runs(b)
+    plain = weight.pop(0, 0.0)
     stay: set[int] = set()
-    doubted = [k for k in weight if comments.isdisjoint(k) and runs[k] > 1 and (noise.isdisjoint(k) or not plain)]
-    most = max(doubted, key=weight.__getitem__, default=())
+    likely = [k for k in weight if not comments[k] and runs[k] > 1 and (not noise[k] or not plain)]
+    most = max(likely, key=weight.__getitem__, default=0)
     if most and weight[most] >= SHARE * (weight[most] + plain):
-        stay |= {*most}
-    kept = [b for b in blocks if stay.issuperset(b.doubts)]
-    for others in (comments, frozenset()):
-        if not all(2 * b.linked >= len(b.text) or _HEADING.search(paths[b.within[-1]]) for b in kept):
+        stay.update(paths.chain(most))
+    kept = [b for b in blocks if not doubted[b.within] or doubt_of[b.within] in stay]
+    for others in (comments, None):
+        if not all(2 * b.linked >= len(b.text) or _HEADING.match(paths.steps[b.within]) for b in kept):
             break
-        kept = [b for b in blocks if others.isdisjoint(b.doubts)]
+        kept = [b for b in blocks if others is None or not others[b.within]]
     return kept
 
 
-def read_blocks(page: str) -> tuple[list[Block], list[str]]:
-    """The blocks that stand in nothing dropped, in page order, and the paths of all containers by number."""
+def _tags(page: str) -> Iterator[tuple[str, str, str]]:
+    """Texts and tags in page order: ``(text, tag, rest)``, the tag with a slash if it is an end, and empty for
+    the page's last text.  Comments, scripts and the like are left out.  Each character is passed a bounded number
+    of times: behind the last ``>`` nothing is a tag, and where a tag's quotes don't close before the page does,
+    quotes mean nothing from there on."""
+    at = seek = 0
+    last, quotes = page.rfind(">"), True
+    text: list[str] = []
+    while (start := page.find("<", seek)) >= 0:
+        name = _NAME.match(page, start + 1)
+        if not name:
+            if page[start + 1 : start + 2] not in ("!", "?", "/"):
+                seek = start + 1  # a less-than sign
+                continue
+            text.append(page[at:start])
+            comment = page.startswith("<!--", start)
+            end = page.find("-->" if comment else ">", start + (4 if comment else 2))
+            at = seek = len(page) if end < 0 else end + (3 if comment else 1)
+            continue
+        text.append(page[at:start])
+        if start > last:  # an unfinished tag at the very end is no text
+            at = seek = len(page)
+            break
+        end = page.find(">", name.end())
+        if quotes and ('"' in (rest := page[name.end() : end]) or "'" in rest):
+            whole = _REST.match(page, name.end()).end()
+            quotes = page[whole : whole + 1] == ">"
+            end = whole if quotes else end
+        at = seek = end + 1
+        tag = name[0].lower()
+        if tag in _ENDS:
+            close = _ENDS[tag].search(page, at)
+            if close is None and tag in _RAW_TAGS:
+                at = seek = len(page)
+                continue
+            if close and close.lastgroup != "other":
+                at = seek = close.end()
+                continue
+        yield "".join(text), tag, page[name.end() : end]
+        text.clear()
+    yield "".join([*text, page[at:]]), "", ""
+
+
+def read_blocks(page: str) -> tuple[list[Block], Containers]:
+    """The blocks that stand in nothing dropped, in page order, and all containers."""
     blocks: list[Block] = []
-    comments: set[int] = set()
-    noise: set[int] = set()
-    paths = [""]
+    paths = Containers()
     stack = [_Open("", 0, False)]
+    places: dict[str, list[int]] = {}  # where each tag is open
+    open_blocks: list[int] = []
     run: list[str] = []
-    linked = in_link = at = 0
+    linked = in_link = 0
+    plain = False  # whether the run has text outside inline elements in doubt
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, plain
         if run:
             text = " ".join("".join(run).split())
-            if text and not stack[-1].dropped:
-                blocks.append(Block(text, linked, tuple(dict.fromkeys(o.number for o in stack)), stack[-1].doubts))
+            if text and plain:
+                blocks.append(Block(text, linked, stack[-1].number))
             run.clear()
-        linked = 0
+        linked, plain = 0, False
 
     def text(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, plain
         if raw and not stack[-1].dropped:
             found = html.unescape(raw) if "&" in raw else raw
             run.append(found)
+            plain = plain or not stack[-1].doubted and not found.isspace()
             if in_link:
                 linked += len(found)
 
-    def close(k: int) -> None:
-        flush()
-        del stack[k:]
+    def push(opened: _Open) -> None:
+        places.setdefault(opened.tag, []).append(len(stack))
+        if opened.tag in _BLOCKS:
+            open_blocks.append(len(stack))
+        stack.append(opened)
 
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+    def close(k: int) -> None:
+        if open_blocks and open_blocks[-1] >= k:
+            flush()
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+            if open_blocks and open_blocks[-1] == len(stack):
+                open_blocks.pop()
+
+    nearest = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
+    for before, tag, rest in _tags(page):
+        text(before)
         if not tag:
-            continue
-        if m["end"] or m["end2"]:
+            break
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            elif tag in _BLOCKS or any(o.tag == tag for o in stack):
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-                if k:
-                    close(k)
-                else:
-                    flush()
+            if places.get(tag):
+                close(places[tag][-1])
+            elif tag in _BLOCKS:
+                flush()
             continue
         if tag == "br":
             text(" ")
             continue
         if tag == "a":
             in_link += 1
-        rest = m["rest"] or m["rest2"] or ""
         attributes = {}
         if "=" in rest or "hidden" in rest:
             attributes = {(a[0] or a[4]).lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(rest)}
-        fate = _fate(tag, attributes)
+        top = stack[-1]
+        fate = _fate(tag, attributes, top.article)
         if tag not in _BLOCKS:
-            if fate and tag not in _VOID:  # an inline element that hides its text
-                flush()
-                stack.append(_Open(tag, stack[-1].number, True, stack[-1].doubts))
+            # An inline element whose text goes or is in doubt, and others of its tag inside, so that ends meet their starts.
+            if tag not in _VOID and (fate or places.get(tag)):
+                push(_Open(tag, top.number, top.dropped or fate == _GOES, top.doubted or fate != _STAYS, top.article))
             continue
         flush()
         in_link = 0 if tag != "p" else in_link
-        for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-            if stack[k].tag == "p":
-                close(k)
-                break
-            if stack[k].tag in _BLOCKS:
-                break
-        if tag in _CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in _CLOSES[tag]:
-                    close(k)
-                    break
-                if stack[k].tag in _SCOPES:
-                    break
-        if tag == "body":  # a head that was not closed ends here
-            k = next((k for k, o in enumerate(stack) if o.tag == "head"), 0)
-            if k:
-                close(k)
+        if places.get("p") and open_blocks[-1] == places["p"][-1]:  # a block ends an open paragraph
+            close(open_blocks[-1])
+        if tag in _CLOSES and (k := nearest(_CLOSES[tag])) > nearest(_SCOPES):
+            close(k)
+        if tag == "body" and places.get("head"):  # a head that was not closed ends here
+            close(places["head"][0])
         if tag in _VOID:
             continue
-        doubts = stack[-1].doubts
-        if fate in (_DOUBTED, _COMMENTS):
-            doubts = (*doubts, len(paths))
-            if fate == _COMMENTS:
-                comments.add(len(paths))
-            elif _NOISE_WORDS.search(f"{attributes.get('class', '')} {attributes.get('id', '')}"):
-                noise.add(len(paths))
-        stack.append(_Open(tag, len(paths), stack[-1].dropped or fate == _GOES, doubts))
-        paths.append(f"{paths[stack[-2].number]}/{_step(tag, attributes)}")
-    # An unfinished tag at the very end is no text.
-    tail = page[at:]
-    cut_off = re.search(r"<[a-zA-Z/!][^>]*\Z", tail)
-    text(tail[: cut_off.start()] if cut_off else tail)
+        top = stack[-1]
+        number = paths.add(top.number, _step(tag, attributes), fate)
+        if fate == _DOUBTED and _NOISE_WORDS.search(f"{attributes.get('class', '')} {attributes.get('id', '')}"):
+            paths.noise.add(number)
+        push(_Open(tag, number, top.dropped or fate == _GOES, top.doubted, top.article or tag in ("article", "main") and fate == _STAYS))
     flush()
-    return _settle(blocks, comments, noise, paths), paths
+    return _settle(blocks, paths), paths
 
 
 def _weight(block: Block) -> float:
@@ -247,24 +351,32 @@ def _weight(block: Block) -> float:
     return plain if len(block.text) > 80 or block.text[-1] in ".!?…" else 0.3 * plain
 
 
-def best_container(blocks: list[Block], paths: list[str]) -> tuple[int, float]:
+def best_container(blocks: list[Block], paths: Containers) -> tuple[int, float]:
     """The deepest container with ``SHARE`` of the page's weight, or the nearest article or main element
-    around it, so that headings and leads beside the text's box stay; and its weight."""
-    total, score = 0.0, [0.0] * len(paths)
+    around it, so that headings and leads beside the text's box stay; on a page without these, the outermost
+    one below the body that is reached by adding blocks that are not mostly links.  And its weight."""
+    parents = paths.parents
+    score, size, linked = [0.0] * len(paths), [0] * len(paths), [0] * len(paths)
     for block in blocks:
-        weight = _weight(block)
-        total += weight
-        for number in block.within:
-            score[number] += weight
+        score[block.within] += _weight(block)
+        size[block.within] += len(block.text)
+        linked[block.within] += block.linked
+    for k in range(len(paths) - 1, 0, -1):
+        score[parents[k]] += score[k]
+        size[parents[k]] += size[k]
+        linked[parents[k]] += linked[k]
     # Containers are numbered from the outside in; paragraphs and headings themselves contain nothing.
-    full = [k for k in range(len(paths)) if score[k] >= SHARE * total and not re.search(r"/(?:p|h[1-6])(?:\.[^/]*)?$", paths[k])]
-    best = full[-1] if full else 0
-    around = next((b.within for b in blocks if best in b.within), ())
-    for k in range(len(around) - 1, 0, -1):
-        step = paths[around[k]][len(paths[around[k - 1]]) + 1 :]
-        if around[k] <= best and step.split(".")[0] in ("article", "main"):
-            best = around[k]
+    full = (k for k in range(len(paths) - 1, -1, -1) if score[k] >= SHARE * score[0] and not _LEAF.match(paths.steps[k]) and (size[k] or not size[0]))
+    best = next(full, 0)
+    for k in paths.around(best):
+        if paths.steps[k].split(".")[0] in ("article", "main"):
+            return k, score[k]
+    while best and parents[best] and paths.steps[parents[best]].split(".")[0] not in ("body", "html"):
+        up = parents[best]
+        more = size[up] - size[best]
+        if more and 2 * (linked[up] - linked[best]) >= more:
             break
+        best = up
     return best, score[best]
 
 
@@ -286,11 +398,11 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_at(page: str, path: str | None) -> str:
     """The blocks of all containers at ``path``, or else of the page's own best container."""
     blocks, paths = read_blocks(page)
-    numbers = {k for k, p in enumerate(paths) if p == path}
-    chosen = [b.text for b in blocks if not numbers.isdisjoint(b.within)] if path is not None else []
+    inside = paths.inside(paths.at(path) if path is not None else [])
+    chosen = [b.text for b in blocks if inside[b.within]]
     if not chosen:
-        own, _ = best_container(blocks, paths)
-        chosen = [b.text for b in blocks if own in b.within]
+        inside = paths.inside([best_container(blocks, paths)[0]])
+        chosen = [b.text for b in blocks if inside[b.within]]
     return "\n".join(chosen)
 
 

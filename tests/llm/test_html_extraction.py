@@ -140,3 +140,46 @@ def test_real_pages_against_another_parser(spark):
         want[r.page_id] = "\n".join(t for t in (" ".join("".join(run).split()) for run in parser.runs) if t)
     got = {r.page_id: r.text for r in H.extract_main_text(rows).collect()}
     assert got == want and all(want.values())
+
+
+def test_links_and_inline_elements_with_listed_names():
+    story = f"<article><h1>Head</h1><p>{P1}</p></article>"
+    assert H.text_at(f"<body><a class='skip-nav' href='#m'>Skip</a>{story}</body>", None) == f"Head\n{P1}"
+    assert H.text_at(f"<body>{story.replace('<h1>', '<a hidden>x</a><h1>')}</body>", None) == f"Head\n{P1}"
+    assert H.text_at(f"<div><a class='social'>Tweet</a><p>{P1}</p><p>{P1}</p></div>", None) == f"{P1}\n{P1}"
+    assert H.text_at(f"<p>See the <a class='related'>earlier study</a> for more. {P1}</p>", None) == f"See the earlier study for more. {P1}"
+    assert H.text_at(f"<article><p>One <span hidden>x <span>y</span> z</span> two.</p><p>{P1}</p></article>", None) == f"One two.\n{P1}"
+    assert H.text_at(f"<article><p>One <b hidden>x</p><p>{P1}</p></article>", None) == f"One\n{P1}"
+
+
+def test_pages_without_an_article_keep_heading_and_lead():
+    body = "".join(f"<p>{P1}</p>" for _ in range(6))
+    want = "\n".join(["Head", "The lead."] + [P1] * 6)
+    assert H.text_at(page(f"<div class=post><h1>Head</h1><p>The lead.</p><div class=body>{body}</div></div>{END}"), None) == want
+    links = "<ul><li><a href='/1'>Some other story</a><li><a href='/2'>And one more story</a></ul>"
+    assert H.text_at(page(f"<div class=page><div class=post><h1>Head</h1><p>The lead.</p><div class=body>{body}</div></div>{links}</div>{END}"), None) == want
+
+
+def test_names_inside_an_article():
+    parts = f"<div class='page-header'><h1>Head</h1></div><p>{P1}</p><section id='related-work'><p>{P1}</p><p>{P1}</p></section>"
+    gone = "<div class='related'><a href='/1'>One more</a> <a href='/2'>Another</a></div><div class='ad'>Buy this now, at once.</div><form><p>Type here.</p></form><div class='comments'><p>I liked it.</p></div>"
+    assert H.text_at(page(f"{NOISE}<article>{parts}{gone}</article>{END}"), None) == "\n".join(["Head"] + [P1] * 3)
+
+
+def test_broken_and_deep_markup_takes_linear_time():
+    import time
+    import tracemalloc
+
+    n = 1_000_000
+    pages = ["<p " * (n // 3), '<a "' * (n // 4), '<a ">" ' * (n // 7), "<a '\">" * (n // 6), "<div>" * 100_000 + P1, "<form>" * 50_000 + P1, "<span hidden>" * 50_000 + "<div>x" * 20_000]
+    pages += ["<li><ul>" + "<div>" * 30_000 + "<li>x</li>" * 30_000, "<title>" * 50_000, "<svg><button>" * 50_000, "<!-- " * 100_000, "</x>" * 200_000, "<div><p>x</x>" * 30_000, "<" * n]
+    for raw in pages:
+        if raw.startswith(("<div>", "<form>", "<span")):
+            tracemalloc.start()
+        began = time.process_time()
+        H.text_at(raw, "/div/div")
+        H.best_container(*H.read_blocks(raw))
+        assert time.process_time() - began < 30, raw[:20]
+        if tracemalloc.is_tracing():
+            assert tracemalloc.get_traced_memory()[1] < 200e6, raw[:20]
+            tracemalloc.stop()
