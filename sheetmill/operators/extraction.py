@@ -22,7 +22,8 @@ from . import decode as D
 from . import ranking as R
 from . import registration as G
 from . import sheets as H
-from .raster import component_labels, component_sizes
+from .circles import grid_names, outlined, refined_grids
+from .raster import component_sizes
 
 BOX = "array<struct<x:double,y:double,w:double,h:double,area:double>>"
 #: What is darker than this can be a mark.
@@ -34,19 +35,9 @@ FEATURES = "darkness_score background_noise darkness_contrast ink_ratio_inside c
 
 
 def dark_boxes(gray: np.ndarray, limit: int = MARK_LIMIT, least: int = 10, most: int = 54) -> np.ndarray:
-    """``x, y, w, h, area`` of connected dark areas of a mark's size, by y, then x."""
-    y, x = np.nonzero(gray <= limit)
-    if not len(y):
-        return np.zeros((0, 5))
-    _, label = np.unique(component_labels(np.zeros(len(y), np.int64), y, x), return_inverse=True)
-    n = label.max() + 1
-    low = np.full((n, 2), 1 << 30)
-    high = np.full((n, 2), -1)
-    at = np.stack([x, y], axis=1)
-    np.minimum.at(low, label, at)
-    np.maximum.at(high, label, at)
-    boxes = np.c_[low, high - low + 1, np.bincount(label)].astype(float)
-    boxes = boxes[((boxes[:, 2:4] >= least) & (boxes[:, 2:4] <= most)).all(axis=1)]
+    """``x, y, w, h, area`` of connected dark areas of a mark's size, by y, then x.  The area is that within the
+    outer outline, so that a ring or a hollow square counts as full."""
+    boxes = np.array([f[:5] for f in outlined(gray <= limit, least, most)], float).reshape(-1, 5)
     return boxes[np.lexsort((boxes[:, 0], boxes[:, 1]))]
 
 
@@ -151,9 +142,24 @@ def _warp_pages(width: int, height: int):
     return run
 
 
-def _measure(width: int, height: int, regions: dict, margin: int, boxes: np.ndarray):
-    """A row a bubble with its features; a page without a transform has one row, of nulls."""
+GRID = "grid_refinement_status string, grid_refinement_confidence double, grid_refinement_decode_allowed boolean, grid_method string, grid_circles int, grid_inliers int, grid_residual_px double, grid_shift array<int>"
+
+
+def _measure(width: int, height: int, regions: dict, margin: int, boxes: np.ndarray, grids: Sequence[str] | None = None):
+    """A row a bubble with its features; a page without a transform has one row, of nulls.  With ``grids``, the names
+    of the bubbles' grid blocks, these are first moved to the circles printed around them."""
     keep = (*KNOWN, "blocks")
+    blocks = grid_names(grids or [])
+    centres = boxes[:, :2] + (boxes[:, 2:] - boxes[:, :2]) // 2
+    around = int((boxes[:, 2:] - boxes[:, :2]).max()) + margin - 8 if len(boxes) else 0
+    kinds = [pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32())]
+    names = [c.split()[0] for c in GRID.split(", ")]
+
+    def refined(page: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+        moved, fits = refined_grids(page, blocks, centres, boxes, around)
+        rows = [(f["status"], f["confidence"], f["decode_allowed"], f["method"], f["circles"], f["n_inliers"], f["rms"]) for f in map(fits.__getitem__, grids)]
+        shifts = (moved[:, :2] - boxes[:, :2]).tolist()
+        return moved, [pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=False)] + [pa.array(shifts, kinds[-1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,12 +169,13 @@ def _measure(width: int, height: int, regions: dict, margin: int, boxes: np.ndar
                 n = 1 if raw is None else len(boxes)
                 same = [row.column(c).take(pa.array(np.zeros(n, np.int64))) for c in keep]
                 if raw is None:
-                    found = [pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.float64()) for _ in FEATURES)]
+                    found = [pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.float64()) for _ in FEATURES), *(pa.nulls(1, kind) for kind in kinds if blocks)]
                 else:
                     page = aligned(np.frombuffer(raw, np.uint8).reshape(height, width), row.column("fits")[0].as_py(), regions, margin)
-                    values = crop_features(page, boxes)
-                    found = [pa.array(np.arange(1, n + 1, dtype=np.int32)), *(pa.array(np.ascontiguousarray(values[:, j])) for j in range(len(FEATURES)))]
-                yield pa.RecordBatch.from_arrays([*same, *found], names=[*keep, "spec_ord", *FEATURES])
+                    moved, info = refined(page) if blocks else (boxes, [])
+                    values = crop_features(page, moved)
+                    found = [pa.array(np.arange(1, n + 1, dtype=np.int32)), *(pa.array(np.ascontiguousarray(values[:, j])) for j in range(len(FEATURES))), *info]
+                yield pa.RecordBatch.from_arrays([*same, *found], names=[*keep, "spec_ord", *FEATURES, *(names if blocks else [])])
 
     return run
 
@@ -191,14 +198,15 @@ def registered_pages(pages: DataFrame, template: dict, detector: Column | None =
     return rows.withColumn("error", F.when(F.col("gray").isNull(), "image_read_failed").otherwise(F.col("error"))).drop("boxes", "corners", "start", "ruled", "detected")
 
 
-def page_bubbles(pages: DataFrame, specs: DataFrame, template: dict) -> DataFrame:
+def page_bubbles(pages: DataFrame, specs: DataFrame, template: dict, refine: bool = False) -> DataFrame:
     """Every bubble of the registered pages, with its features and its block's alignment, and a row with a null
-    ``spec_ord`` for a page without a transform.
+    ``spec_ord`` for a page without a transform.  With ``refine``, grids follow the circles printed on the page.
 
     ``specs``: the template's; they go to the kernel as one small array."""
     width, height = template["canonical"]["width"], template["canonical"]["height"]
     targets = F.array(*[F.struct(F.lit(m["name"]).alias("name"), F.lit(m["x"]).alias("x"), F.lit(m["y"]).alias("y")) for m in template["marks"]])
-    boxes = np.array([r["bbox"] for r in specs.orderBy("spec_ord").select("bbox").collect()])  # bounded by the template
+    rows = specs.orderBy("spec_ord").select("bbox", "grid_block").collect()  # bounded by the template
+    boxes, grids = np.array([r["bbox"] for r in rows]), [r["grid_block"] for r in rows] if refine else None
     known = f"image_id {pages.schema['image_id'].dataType.simpleString()}, error string, marker_source string"
     regions = {r["name"]: r["bbox"] for r in template["regions"]}
     straight = pages.select(*KNOWN, "width", "height", "gray", "matrix").mapInArrow(_warp_pages(width, height), f"{known}, page binary, boxes {BOX}")
@@ -208,10 +216,10 @@ def page_bubbles(pages: DataFrame, specs: DataFrame, template: dict) -> DataFram
     fitted = placed.select(*KNOWN, "page", "fits", F.transform("fits", lambda f: F.struct(f.block, f.status, f.confidence, f.method, f.marker_count, f.rms)).alias("blocks"))
     features = ", ".join(f"{c} double" for c in FEATURES)
     measured = fitted.mapInArrow(
-        _measure(width, height, regions, template["padding"] + 8, boxes),
-        f"{known}, blocks array<struct<block:string,status:string,confidence:double,method:string,marker_count:int,rms:double>>, spec_ord int, {features}",
+        _measure(width, height, regions, template["padding"] + 8, boxes, grids),
+        f"{known}, blocks array<struct<block:string,status:string,confidence:double,method:string,marker_count:int,rms:double>>, spec_ord int, {features}" + (f", {GRID}" if refine else ""),
     )
-    of_spec = specs.select("spec_ord", "spec_id", "section", "item_id", "choice", "label", "alignment_block")
+    of_spec = specs.select("spec_ord", "spec_id", "section", "item_id", "choice", "label", "alignment_block", "grid_block")
     block = F.get(F.filter("blocks", lambda b: b.block == F.col("alignment_block")), 0)
     return (
         measured.join(F.broadcast(of_spec), "spec_ord", "left")  # one row a bubble of the template
@@ -237,15 +245,24 @@ def decoded_pages(bubbles: DataFrame) -> DataFrame:
     return one.union(written).withColumn("need_review", F.when(F.col("section") == "identity", F.col("status") != "accepted").otherwise(F.col("status").isin(*H.REVIEW)))
 
 
-def extract_sheets(pages: DataFrame, specs: DataFrame, template: dict, detector: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def grid_blocks(bubbles: DataFrame) -> DataFrame:
+    """``image_id, grid_block`` and how each grid was fitted, of refined bubbles."""
+    return bubbles.groupBy("image_id", "grid_block").agg(
+        F.first("grid_refinement_status").alias("status"), F.first("grid_method").alias("method"), F.round(F.first("grid_refinement_confidence"), 6).alias("confidence"), F.first("grid_refinement_decode_allowed").alias("decode_allowed"),
+        F.first("grid_circles").alias("circle_count"), F.first("grid_inliers").alias("inlier_count"), F.round(F.first("grid_residual_px"), 3).alias("grid_residual_px"),
+        F.round(F.avg(F.element_at("grid_shift", 1)), 3).alias("shift_x"), F.round(F.avg(F.element_at("grid_shift", 2)), 3).alias("shift_y"),
+    )
+
+
+def extract_sheets(pages: DataFrame, specs: DataFrame, template: dict, detector: Column | None = None, refine: bool = False) -> tuple[DataFrame, DataFrame]:
     """Sheets and their items.  A sheet: ``image_id, status, error, marker_source, sbd, sbd_status, exam_code,
     exam_code_status, alignment_status, alignment_confidence, decoded_item_confidence, review_item_count,
     sheet_confidence, auto_pass, crop_count``; a page that can't be read or registered has status error and says why.
 
-    Printed circles are not searched for, so grids are not refined (``geometry.refine_specs`` does that with
-    circles from elsewhere) and the sheet's status rests on its blocks' alignment."""
+    With ``refine``, printed circles are searched for and each grid block is moved to them before its bubbles are
+    cropped; sheets then have ``grid_status`` and ``grid_confidence``, and the grid decides on their status."""
     # Pages are read once: what comes of them is slim.
-    rows = computed_once(page_bubbles(registered_pages(pages, template, detector), specs, template))
+    rows = computed_once(page_bubbles(registered_pages(pages, template, detector), specs, template, refine))
     bubbles = rows.where("spec_ord is not null").drop("error")
     items = decoded_pages(bubbles.drop("marker_source"))
     field = lambda name, c: F.max(F.when(F.col("item_id") == name, F.col(c)))
@@ -255,14 +272,16 @@ def extract_sheets(pages: DataFrame, specs: DataFrame, template: dict, detector:
         F.round(F.min(F.when((F.col("section") == "identity") | (F.col("status") != "blank"), F.col("confidence"))), 6).alias("decoded_item_confidence"),
     )
     blocks = bubbles.groupBy("image_id").agg(
-        H.alignment_rollup(F.col("alignment_status")).alias("alignment_status"), F.round(F.min("alignment_confidence"), 6).alias("alignment_confidence"), F.count(F.lit(1)).alias("crop_count"), F.lit(None).cast("double").alias("grid_confidence"), F.lit(None).cast("string").alias("error"), F.first("marker_source").alias("marker_source")
-    )
+        H.alignment_rollup(F.col("alignment_status")).alias("alignment_status"), F.round(F.min("alignment_confidence"), 6).alias("alignment_confidence"), F.count(F.lit(1)).alias("crop_count"),
+        (H.grid_rollup(F.col("grid_refinement_status")) if refine else F.lit(None).cast("string")).alias("grid_status"), (F.round(F.min("grid_refinement_confidence"), 6) if refine else F.lit(None).cast("double")).alias("grid_confidence"),
+        F.lit(None).cast("string").alias("error"), F.first("marker_source").alias("marker_source"),
+    )
     failed = rows.where("spec_ord is null").select("image_id", "error", "marker_source")
     joined = found.join(blocks, "image_id").unionByName(failed, allowMissingColumns=True)
     none = F.lit(None).cast("string")
-    joined = joined.withColumn("sheet_status", F.when(F.col("error").isNotNull(), "error").otherwise(H.sheet_status(none, none, F.col("alignment_status"))))
-    sheets = H.confidence_summary(joined).withColumnRenamed("sheet_status", "status").drop("grid_confidence")
-    return sheets, items
+    joined = joined.withColumn("sheet_status", F.when(F.col("error").isNotNull(), "error").otherwise(H.sheet_status(F.col("grid_status"), none, F.col("alignment_status"))))
+    sheets = H.confidence_summary(joined).withColumnRenamed("sheet_status", "status")
+    return (sheets if refine else sheets.drop("grid_confidence", "grid_status")), items
 
 
 def picture_bubbles(pictures: DataFrame, boxes: Sequence[Sequence[int]], choices: Sequence[str]) -> DataFrame:

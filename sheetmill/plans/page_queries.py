@@ -54,6 +54,30 @@ def extract_items(spark, sf):
     return items.select("image_id", "section", "item_id", "value", "status", "need_review")
 
 
+def _printed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    specs = T.all_specs(template(spark))
+    return P.drawn_pages(B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("image_id")), TEMPLATE, specs, printed=True), specs
+
+
+def refined_grids(spark, sf):
+    """Grid blocks fitted to the circles printed on pages, one block lying beside its place or missing."""
+    pages, specs = _printed(spark, sf)
+    found = E.grid_blocks(E.page_bubbles(E.registered_pages(pages, TEMPLATE), specs, TEMPLATE, refine=True).where("spec_ord is not null"))
+    there = F.col("status") == "ok"
+    shift = lambda c: F.when(there, (3 * F.round(F.col(c) / 3)).cast("int")).alias(c)  # noqa: E731  blocks lie whole steps of 3 aside
+    close = F.coalesce(F.col("grid_residual_px") <= 1.5, F.lit(False))
+    return found.select("image_id", "grid_block", there.alias("fitted"), F.when(there, F.col("method")).alias("method"), (there & close).alias("close"), shift("shift_x"), shift("shift_y"))
+
+
+def refined_sheets(spark, sf):
+    """The same pages to sheets: what is read where the grid was moved, and the grid's say in the sheet's status."""
+    pages, specs = _printed(spark, sf)
+    sheets, items = E.extract_sheets(pages, specs, TEMPLATE, refine=True)
+    moved = items.where("item_id = 'III_003'").select("image_id", F.col("value").alias("moved_value"))
+    shown = sheets.select("image_id", "status", "error", "grid_status", "alignment_status", "sbd", "exam_code", "crop_count")
+    return shown.join(moved, "image_id", "left")
+
+
 def extract_pictures(spark, sf):
     """Small pictures as one question each: the crops of their quarters, labelled by rank and decoded."""
     pictures = _pictures(spark, sf, F.col("vec_id")).withColumnRenamed("name", "image_id")
@@ -225,7 +249,7 @@ def layout_dataset(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_sheets, extract_items, extract_pictures, registration_marks, warp_matrix, detector_marks, block_alignment, exact_block_fits, exact_grid_fits, layout_predictions, evaluate_layout,
+        extract_sheets, extract_items, extract_pictures, refined_grids, refined_sheets, registration_marks, warp_matrix, detector_marks, block_alignment, exact_block_fits, exact_grid_fits, layout_predictions, evaluate_layout,
         layout_dataset, grid_report, predicted_crops,
     )
 }
@@ -271,6 +295,19 @@ SELECT n_nationkey AS image_id, CASE WHEN sbd IS NULL THEN 'error' ELSE 'ok' END
   'rule_based' AS marker_source, sbd, CASE WHEN sbd IS NOT NULL THEN 'accepted' END AS sbd_status, exam_code, CASE WHEN sbd IS NOT NULL THEN 'accepted' END AS exam_code_status, CASE WHEN sbd IS NOT NULL THEN 'ok' END AS alignment_status,
   CASE WHEN sbd IS NOT NULL THEN 0 END AS review_item_count, CASE WHEN sbd IS NOT NULL THEN true WHEN true THEN false END AS auto_pass, CASE WHEN sbd IS NOT NULL THEN 602 END AS crop_count FROM nation LEFT JOIN s ON k = n_nationkey""",
     "extract_items": f"WITH {_TRUE} SELECT k AS image_id, section, item_id, value, CASE WHEN value IS NULL THEN 'blank' ELSE 'accepted' END AS status, false AS need_review FROM it",
+    "refined_grids": f"""WITH {V.SPECS_SQL}, g AS (SELECT DISTINCT grid_block FROM al), p AS (
+  SELECT n_nationkey AS image_id, grid_block, grid_block = '{P.MOVED}' AS moved, n_nationkey % {P.MISSING} <> 3 OR grid_block <> '{P.MOVED}' AS fitted
+  FROM nation, g WHERE n_nationkey NOT IN (23, 24))
+SELECT image_id, grid_block, fitted, CASE WHEN fitted THEN 'affine' END AS method, fitted AS close,
+  CAST(CASE WHEN fitted THEN CASE WHEN moved THEN 3 * (image_id % 5) - 6 ELSE 0 END END AS INTEGER) AS shift_x,
+  CAST(CASE WHEN fitted THEN CASE WHEN moved THEN 3 * (image_id % 4) - 3 ELSE 0 END END AS INTEGER) AS shift_y FROM p""",
+    "refined_sheets": f"""WITH {_TRUE}, s AS (
+  SELECT k, max(value) FILTER (item_id = 'sbd') AS sbd, max(value) FILTER (item_id = 'exam_code') AS exam_code, max(value) FILTER (item_id = 'III_003') AS third FROM it GROUP BY k)
+SELECT n_nationkey AS image_id, CASE WHEN sbd IS NULL THEN 'error' WHEN n_nationkey % {P.MISSING} = 3 THEN 'need_review' ELSE 'ok' END AS status,
+  CASE n_nationkey WHEN 24 THEN 'image_read_failed' WHEN 23 THEN 'missing source markers: [''bottom_right'', ''bottom_left'']' END AS error,
+  CASE WHEN sbd IS NOT NULL THEN CASE WHEN n_nationkey % {P.MISSING} = 3 THEN 'need_review' ELSE 'ok' END END AS grid_status, CASE WHEN sbd IS NOT NULL THEN 'ok' END AS alignment_status,
+  sbd, exam_code, CASE WHEN sbd IS NOT NULL THEN 602 END AS crop_count, CASE WHEN n_nationkey % {P.MISSING} <> 3 THEN third END AS moved_value
+FROM nation LEFT JOIN s ON k = n_nationkey""",
     "extract_pictures": f"WITH {V.PIXELS_SQL},{_CROPS},{Q.relabel_sql('fill_score', 0.08, 0.025)},{Q.decode_sql(True, 0.08, 0.025)} SELECT {Q.ITEM_SQL.replace('item_id, ', '')} FROM f",
     "registration_marks": f"WITH {SCANNED}, {_FOUND} SELECT image_id, name, round(sx, 3) AS x, round(sy, 3) AS y FROM fo",
     "warp_matrix": f"""WITH {SCANNED}, {_FOUND}, n AS (SELECT image_id, m4, a, b, tx, ty, count(*) AS n FROM fo GROUP BY ALL), r AS (SELECT *, {_BACK} FROM n)

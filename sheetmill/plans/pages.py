@@ -37,29 +37,45 @@ def is_marked(k: int, spec: dict) -> bool:
     return choice == str((k + number + slot) % 10)
 
 
-def draw(k: int, template: dict, specs: list[dict]) -> np.ndarray:
+#: The grid block that printed pages move, and the pages on which it isn't printed at all.
+MOVED, MISSING = "part3:q003", 7
+
+
+def moved_by(k: int) -> tuple[int, int]:
+    """How far page k's moved block lies beside its place."""
+    return 3 * (k % 5) - 6, 3 * (k % 4) - 3
+
+
+def draw(k: int, template: dict, specs: list[dict], printed: bool = False) -> np.ndarray:
+    """Page k; with ``printed``, a ring stands around each bubble, and one block beside its place or not at all."""
     page, m = np.full((HEIGHT, WIDTH), 255, np.uint8), affine(k)
     marks = template["marks"][:2] if k == 23 else [t for t in template["marks"] if not (k % 5 == 4 and t["name"] == "part2_right_bottom")]
     for t in marks:
         x, y = (m @ [t["x"], t["y"], 1])[:2]
         page[round(y) - 15 : round(y) + 15, round(x) - 15 : round(x) + 15] = 10
-    dy, dx = np.mgrid[-12:13, -12:13]
-    disk = dx * dx + dy * dy <= 121
+    dy, dx = np.mgrid[-14:15, -14:15]
+    far = np.hypot(dx, dy)
     for spec in specs:
-        if k != 23 and is_marked(k, spec):
-            x, y = (m @ [*spec["center"], 1])[:2]
-            page[round(y) - 12 : round(y) + 13, round(x) - 12 : round(x) + 13][disk] = 20
+        there = printed and spec["grid_block"] == MOVED
+        if k == 23 or there and k % MISSING == 3:
+            continue
+        x, y = (m @ [*(np.array(spec["center"]) + (moved_by(k) if there else 0)), 1])[:2]
+        spot = page[round(y) - 14 : round(y) + 15, round(x) - 14 : round(x) + 15]
+        if printed:
+            spot[np.abs(far - 12) <= 1.2] = 90
+        if is_marked(k, spec):
+            spot[far <= 11] = 20
     return page
 
 
-def drawn_pages(keys: DataFrame, template: dict, specs: DataFrame) -> DataFrame:
+def drawn_pages(keys: DataFrame, template: dict, specs: DataFrame, printed: bool = False) -> DataFrame:
     """``image_id, width, height, gray`` of the pages ``image_id`` (one row each)."""
-    rows = [r.asDict() for r in specs.select("section", "field", "question_number", "slot", "choice", "role", "center").collect()]  # a template's bubbles
+    rows = [r.asDict() for r in specs.select("section", "field", "question_number", "slot", "choice", "role", "center", "grid_block").collect()]  # a template's bubbles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column("image_id").to_pylist():
-                gray = None if k == 24 else draw(k, template, rows).tobytes()
+                gray = None if k == 24 else draw(k, template, rows, printed).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k], batch.column("image_id").type), pa.array([WIDTH], pa.int32()), pa.array([HEIGHT], pa.int32()), pa.array([gray], pa.binary())], names=["image_id", "width", "height", "gray"]
                 )
