@@ -64,7 +64,7 @@ def refined_grids(spark, sf):
     pages, specs = _printed(spark, sf)
     found = E.grid_blocks(E.page_bubbles(E.registered_pages(pages, TEMPLATE), specs, TEMPLATE, refine=True).where("spec_ord is not null"))
     there = F.col("status") == "ok"
-    shift = lambda c: F.when(there, (3 * F.round(F.col(c) / 3)).cast("int")).alias(c)  # noqa: E731  blocks lie whole steps of 3 aside
+    shift = lambda c: F.when(there, (4 * F.round(F.col(c) / 4)).cast("int")).alias(c)  # noqa: E731  blocks lie whole steps of 4 aside
     close = F.coalesce(F.col("grid_residual_px") <= 1.5, F.lit(False))
     return found.select("image_id", "grid_block", there.alias("fitted"), F.when(there, F.col("method")).alias("method"), (there & close).alias("close"), shift("shift_x"), shift("shift_y"))
 
@@ -299,8 +299,8 @@ SELECT n_nationkey AS image_id, CASE WHEN sbd IS NULL THEN 'error' ELSE 'ok' END
   SELECT n_nationkey AS image_id, grid_block, grid_block = '{P.MOVED}' AS moved, n_nationkey % {P.MISSING} <> 3 OR grid_block <> '{P.MOVED}' AS fitted
   FROM nation, g WHERE n_nationkey NOT IN (23, 24))
 SELECT image_id, grid_block, fitted, CASE WHEN fitted THEN 'affine' END AS method, fitted AS close,
-  CAST(CASE WHEN fitted THEN CASE WHEN moved THEN 3 * (image_id % 5) - 6 ELSE 0 END END AS INTEGER) AS shift_x,
-  CAST(CASE WHEN fitted THEN CASE WHEN moved THEN 3 * (image_id % 4) - 3 ELSE 0 END END AS INTEGER) AS shift_y FROM p""",
+  CAST(CASE WHEN fitted THEN CASE WHEN moved THEN 4 * (image_id % 5) - 8 ELSE 0 END END AS INTEGER) AS shift_x,
+  CAST(CASE WHEN fitted THEN CASE WHEN moved THEN 4 * (image_id % 4) - 4 ELSE 0 END END AS INTEGER) AS shift_y FROM p""",
     "refined_sheets": f"""WITH {_TRUE}, s AS (
   SELECT k, max(value) FILTER (item_id = 'sbd') AS sbd, max(value) FILTER (item_id = 'exam_code') AS exam_code, max(value) FILTER (item_id = 'III_003') AS third FROM it GROUP BY k)
 SELECT n_nationkey AS image_id, CASE WHEN sbd IS NULL THEN 'error' WHEN n_nationkey % {P.MISSING} = 3 THEN 'need_review' ELSE 'ok' END AS status,

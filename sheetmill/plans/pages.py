@@ -43,7 +43,7 @@ MOVED, MISSING = "part3:q003", 7
 
 def moved_by(k: int) -> tuple[int, int]:
     """How far page k's moved block lies beside its place."""
-    return 3 * (k % 5) - 6, 3 * (k % 4) - 3
+    return 4 * (k % 5) - 8, 4 * (k % 4) - 4
 
 
 def draw(k: int, template: dict, specs: list[dict], printed: bool = False) -> np.ndarray:
