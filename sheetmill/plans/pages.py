@@ -62,7 +62,7 @@ def draw(k: int, template: dict, specs: list[dict], printed: bool = False) -> np
         x, y = (m @ [*(np.array(spec["center"]) + (moved_by(k) if there else 0)), 1])[:2]
         spot = page[round(y) - 14 : round(y) + 15, round(x) - 14 : round(x) + 15]
         if printed:
-            spot[np.abs(far - 12) <= 1.2] = 90
+            spot[np.abs(far - 13) <= 1] = 90
         if is_marked(k, spec):
             spot[far <= 11] = 20
     return page
