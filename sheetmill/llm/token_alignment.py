@@ -316,10 +316,15 @@ def align_tokens(docs: DataFrame) -> DataFrame:
     words = spark.read.parquet(f"{folder}/words").withColumnRenamed("w", "known")
     places = read("tokens", 0, "w long, blocks binary, numbers binary")
     known = places.join(words, F.col("w") == F.col("known"), "left").select("blocks", "numbers", "groups").mapInArrow(_bundle, "block long, piece binary")
+    known.write.parquet(f"{folder}/pieces")
+    for done in ("tokens", "words"):
+        forget(spark, f"{folder}/{done}")
+    _release(spark)
     texts = read("blocks", 0, f"block long, doc_id {kind}, words binary")
     held = f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, number int, pair long, n_docs long"
-    known.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_hold(_arrow_type(docs)), held).write.parquet(f"{folder}/held")
-    for done in ("blocks", "tokens", "words"):
+    pieces = spark.read.parquet(f"{folder}/pieces").groupBy("block")
+    pieces.cogroup(texts.groupBy("block")).applyInArrow(_hold(_arrow_type(docs)), held).write.parquet(f"{folder}/held")
+    for done in ("blocks", "pieces"):
         forget(spark, f"{folder}/{done}")
     _release(spark)
     found = spark.read.parquet(f"{folder}/held")
