@@ -87,7 +87,7 @@ def sample(docs: DataFrame, labels: DataFrame, train_docs: int) -> tuple[DataFra
     return chosen, {k: 1 / _share(n.get(k, 0), train_docs) / share[k] for k in (0, 1)}
 
 
-def _descend(start: np.ndarray, loss: Callable[[np.ndarray], tuple[float, np.ndarray]], rounds: int, memory: int = 8) -> np.ndarray:
+def _descend(start: np.ndarray, loss: Callable[[np.ndarray], tuple[float, np.ndarray]], rounds: int, memory: int = 5) -> np.ndarray:
     """Limited-memory quasi-Newton descent; ``loss`` gives value and gradient, and is called ``rounds`` times at most."""
     x, (value, slope) = start, loss(start)
     moves: list[tuple[np.ndarray, np.ndarray, float]] = []
@@ -152,12 +152,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
                     total[0, :FEATURES] += np.bincount(held, np.repeat(off, sizes), FEATURES)
                     total[0, FEATURES] += off.sum()
                     total[0, FEATURES + 1] += (one * np.logaddexp(0, np.where(label == 1, -z, z))).sum()
-            if total.any():
-                yield pa.RecordBatch.from_pydict({"part": [total.tobytes()]}, pa.schema([("part", pa.binary())]))
-
-        found = table.mapInArrow(add, "part binary").collect()
+            if total.any():  # summed in double, sent in single precision, the loss apart
+                kept = (total if w is None else total[:1]).astype(np.float32)
+                yield pa.RecordBatch.from_pydict({"part": [kept.tobytes()], "loss": [float(total[0, FEATURES + 1])]}, pa.schema([("part", pa.binary()), ("loss", pa.float64())]))
+
+        whole = np.zeros((2 if weights is None else 1, FEATURES + 2))
+        losses = 0.0
+        for r in table.mapInArrow(add, "part binary, loss double").collect():
+            whole += np.frombuffer(r["part"], np.float32).reshape(whole.shape)
+            losses += r["loss"]
+        whole[0, FEATURES + 1] = losses
         shared.destroy()
-        return sum((np.frombuffer(r["part"]).reshape(2, -1) for r in found), np.zeros((2, FEATURES + 2)))
+        return whole
 
     counts = sums(None)
     n = [counts[k, FEATURES] * weight[k] for k in (0, 1)]
