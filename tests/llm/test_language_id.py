@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, and scoring against a plain loop."""
 
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -37,7 +39,8 @@ def test_scores_do_not_depend_on_the_batch(spark, monkeypatch):
     df = spark.createDataFrame(rows(60), "doc_id long, text string, lang string, score string").select("doc_id", "text", "lang")
     model = L.fit(df)
     one = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in L.predict(df, model).collect()}
-    langs, log_p, prior = model
+    langs, prior = model.langs, model.prior
+    log_p = np.concatenate([model.block(k) for k in range(len(model.blocks))]).T
     for i, text, _, _ in rows(60):
         p = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "]
         total = prior.copy()
@@ -51,13 +54,54 @@ def test_scores_do_not_depend_on_the_batch(spark, monkeypatch):
         assert one[i] == (langs[int(total.argmax())], round(float(e.max() / e.sum()), 9))
 
 
-def test_many_labels(spark, monkeypatch):
-    monkeypatch.setattr(L, "MOST_LANGS", 3)
+def test_many_labels(spark):
     data = rows(60) + [(1000 + i, f"odd {i}", f"dirty{i}", "x") for i in range(50)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, score string")
-    langs = L.fit(df)[0]
-    assert len(langs) == 3 and {x for _, _, x, _ in rows(60)} <= {*langs}
-    assert {r.lang_pred for r in L.identify(df).collect()} <= {*langs, "und"} | {f"dirty{i}" for i in range(50)}
+    assert {*L.fit(df).langs} == {r[2] for r in data}
+    few = L.fit(df, most_langs=3).langs
+    assert few == sorted({x for _, _, x, _ in rows(60)})
+    assert {r.lang_pred for r in L.identify(df, most_langs=3).collect()} <= {*few, "und"} | {f"dirty{i}" for i in range(50)}
+
+
+def test_blocks_of_languages_change_nothing(spark, monkeypatch):
+    data = [(i, t, f"{x}{i % 5}", s) for i, t, x, s in rows(90)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, score string")
+    rounded = lambda: {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in L.identify(df).collect()}
+    one = rounded()
+    model = L.fit(df)
+    whole = np.concatenate([model.block(k) for k in range(len(model.blocks))])
+    monkeypatch.setattr(L, "BLOCK", 4)
+    monkeypatch.setattr(L, "HELD", 64)
+    blocks = L.fit(df)
+    assert len(blocks.blocks) == 4 and blocks.langs == model.langs
+    assert np.allclose(np.concatenate([blocks.block(k) for k in range(4)]), whole, atol=1e-5)
+    p, kept = np.exp(whole[:, :-1].astype(float)).sum(axis=1), one
+    assert np.allclose(p, 1, atol=1e-4) and kept == one
+
+
+def test_thousands_of_labels_stay_small():
+    """2,000 labels in one batch of 2,000 short rows, counted and scored in one process."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from sheetmill.llm import language_id as L
+batch = pa.record_batch({"text": [f"some words {i} of row {chr(97 + i % 26)}" for i in range(2000)], "lang": [f"l{i:04}" for i in range(2000)]})
+got = pa.Table.from_batches(list(L._count(iter([batch]))))
+assert len(set(got.column("lang").to_pylist())) == 2000
+langs = sorted(set(batch.column("lang").to_pylist()))
+at = {x: k for k, x in enumerate(langs)}
+where = np.array([at[x] for x in got.column("lang").to_pylist()])
+blocks = []
+for k in range(0, 2000, L.BLOCK):
+    own = (where >= k) & (where < k + L.BLOCK)
+    blocks.append(((where[own] - k) * (L.FEATURES + 1) + got.column("feature").to_numpy()[own], np.log(got.column("n").to_numpy()[own] / 0.5 + 1).astype(np.float32)))
+model = L.Model(langs, np.full(2000, -np.log(2000)), np.full(2000, np.log(0.5) - np.log(50 + 0.5 * L.FEATURES)), blocks)
+class Shared: value = model
+rows = list(L._score(Shared, iter([batch])))
+assert sum(r.num_rows for r in rows) == 2000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    peak = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert peak < 500
 
 
 def test_empty_and_unlabelled(spark):
