@@ -22,7 +22,8 @@ FEATURES = 1 << 18
 ORDERS = (3, 4, 5)
 #: Labelled documents of each label that the model is fitted on, about: those of lowest hash.
 TRAIN_DOCS = 10_000
-#: Tasks that add up gradients, and so gradients that come to the driver in a round.
+#: Tasks that add up gradients at most, however many files the table has, and so gradients that come to the
+#: driver in a round.
 TASKS = 6
 ROUNDS = 30
 RIDGE = 1.0
@@ -158,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
 
         whole = np.zeros((2 if weights is None else 1, FEATURES + 2))
         losses = 0.0
-        for r in table.mapInArrow(add, "part binary, loss double").collect():
+        for r in table.coalesce(TASKS).mapInArrow(add, "part binary, loss double").collect():
             whole += np.frombuffer(r["part"], np.float32).reshape(whole.shape)
             losses += r["loss"]
         whole[0, FEATURES + 1] = losses
