@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,3 +112,37 @@ def error_stats(rows: DataFrame, keys: Sequence[str], error: str = "error") -> D
     return rows.groupBy(*keys).agg(
         F.round(F.sqrt(F.avg(F.col(error) * F.col(error))), 3).alias("rms"), F.round(F.max(error), 3).alias("largest")
     )
+
+
+def epoch_draws(rows: DataFrame, n: int, seed: int, epoch: int, weight: str = "weight", key: str = "image_id", per_cell: int = 4_096) -> DataFrame:
+    """``place`` (0 to n - 1, the order of the epoch) and the row drawn there: n draws with replacement, each row
+    by its weight.  The key must be unique; null, negative and zero weights are never drawn.
+
+    Rows lie one behind another along a line, in the order of their keys' hash, each as long as its weight in
+    whole 1e-12s; draws are points on it.  Line and points are cut into cells, in which one sorted pass finds
+    each point's row, so that neither a heavy row nor many light ones meet in one task; sums are whole numbers,
+    so the draws don't depend on the partitions."""
+    units = F.rint(F.col(weight) * 1e12).cast("decimal(38,0)")
+    order = F.sha1(F.col(key).cast("string").cast("binary"))
+    kept = rows.where(F.col(weight) > 0).select("*", units.alias("_units"), order.alias("_order")).withColumn("_bucket", F.substring("_order", 1, 3))
+    sums = kept.groupBy("_bucket").agg(F.sum("_units").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    found = sums.orderBy("_bucket").collect()  # 4,096 at most
+    whole, count = sum(int(r["_sum"]) for r in found), sum(r["_rows"] for r in found)
+    cells = max(1, (n + count) // per_cell)
+    size = -(-max(whole, 1) // cells)
+    firsts, at = [], 0
+    for r in found:
+        firsts.append((r["_bucket"], Decimal(at)))
+        at += int(r["_sum"])
+    kept = kept.join(F.broadcast(rows.sparkSession.createDataFrame(firsts, "_bucket string, _first decimal(38,0)")), "_bucket")
+    inside = Window.partitionBy("_bucket").orderBy("_order", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    length = F.lit(Decimal(size)).cast("decimal(38,0)")
+    cell = lambda c: ((c - c % length) / length).cast("long")
+    line = kept.withColumn("_end", (F.col("_first") + F.sum("_units").over(inside)).cast("decimal(38,0)")).withColumn("_start", (F.col("_end") - F.col("_units")).cast("decimal(38,0)"))
+    line = line.where("_units > 0").select(F.explode(F.sequence(cell(F.col("_start")), cell(F.col("_end") - 1))).alias("_cell"), F.col("_start").alias("_at"), F.col(key).alias("_key"), F.lit(None).cast("long").alias("place"))
+    share = F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}:{epoch}:"), F.col("id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    points = rows.sparkSession.range(n if whole else 0).select(F.least(F.rint(share * float(whole)).cast("decimal(38,0)"), F.lit(Decimal(max(whole - 1, 0))).cast("decimal(38,0)")).alias("_at"), F.col("id").alias("place"))
+    points = points.select(cell(F.col("_at")).alias("_cell"), "_at", F.lit(None).cast(rows.schema[key].dataType).alias("_key"), "place")
+    behind = Window.partitionBy("_cell").orderBy("_at", F.col("place").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = line.unionByName(points).withColumn("_key", F.last("_key", ignorenulls=True).over(behind))
+    return met.where("place is not null").select("place", F.col("_key").alias(key))

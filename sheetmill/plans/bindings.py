@@ -61,6 +61,14 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pictures, one row each."""
+    gray = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.lit(128.0) + 400.0 * v.cast("double") + 0.5).cast("int")))
+    digits = F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(gray(v)), 2, "0")), "")
+    rows = table(spark, sf_dir, "embeddings").where("size(embedding) = 64")
+    return rows.select(F.col("vec_id").alias("image_id"), "label", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(digits).alias("gray"))
+
+
 def lattice(images: DataFrame) -> DataFrame:
     """Sixteen template points on each picture."""
     points = F.array(*[F.struct(F.lit(4 * i + j).alias("id"), F.lit(float(2 * j)).alias("x"), F.lit(float(2 * i)).alias("y")) for i in range(4) for j in range(4)])

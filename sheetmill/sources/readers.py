@@ -77,10 +77,11 @@ def ok_sheets(sheets: DataFrame, ids: DataFrame | None = None, order: str = "rel
 
 
 def read_images(spark: SparkSession, path: str, *, recursive: bool = False, suffixes: Sequence[str] = IMAGE_SUFFIXES) -> DataFrame:
-    """``path, image_id, content`` of the image files in a folder; other files are passed over."""
+    """``path, image_id, content`` of the image files in a folder, in no order (sorting would shuffle the files'
+    bytes); other files are passed over."""
     glob = "*.{" + ",".join([*suffixes, *[s.upper() for s in suffixes]]) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
-    return files.select("path", base_id(F.col("path")).alias("image_id"), "content").orderBy("path")
+    return files.select("path", base_id(F.col("path")).alias("image_id"), "content")
 
 
 def decode_images(spark: SparkSession, path: str) -> DataFrame:
