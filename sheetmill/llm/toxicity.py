@@ -61,9 +61,26 @@ def features(texts: list[str | None]) -> Iterator[np.ndarray]:
 _SPACES = {i: " " for i in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
 
 
+_WIDEST = 0xFFFF
+
+
+def packed(found: np.ndarray) -> bytes:
+    """Ascending features as gaps of 16 bits; the widest gap stands for a step without a feature."""
+    gaps = np.diff(found, prepend=0)
+    steps = gaps // _WIDEST
+    out = np.full(len(gaps) + int(steps.sum()), _WIDEST, np.uint16)
+    out[np.arange(len(gaps)) + np.cumsum(steps)] = gaps % _WIDEST
+    return out.tobytes()
+
+
+def unpacked(stored: bytes) -> np.ndarray:
+    gaps = np.frombuffer(stored, np.uint16)
+    return np.cumsum(gaps, dtype=np.int32)[gaps != _WIDEST]
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 1 << 20):
-        found = [x.tobytes() for x in features(batch.column("text").to_pylist())]
+        found = [packed(x) for x in features(batch.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], names=["label", "features"])
 
 
@@ -125,8 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
     spark = docs.sparkSession
     chosen, weight = sample(docs, labels, train_docs)
     folder = scratch_dir(spark, "toxicity")
-    stored = small_batches(chosen).mapInArrow(_featured, "label int, features binary")
-    stored.repartition(TASKS, F.xxhash64("features")).sortWithinPartitions("label", F.xxhash64("features")).write.parquet(f"{folder}/features")
+    # Texts are dealt, not their features, which are several times as large.
+    dealt = small_batches(chosen).repartition(TASKS, F.xxhash64("text")).sortWithinPartitions("label", F.xxhash64("text"))
+    dealt.mapInArrow(_featured, "label int, features binary").write.parquet(f"{folder}/features")
     table = spark.read.schema("label int, features binary").parquet(f"{folder}/features")
 
     def sums(weights: np.ndarray | None, intercept: float = 0.0) -> np.ndarray:
@@ -140,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
             for batch in batches:
                 for part in slices([batch], "features", 4 << 20):
                     label = part.column("label").to_numpy()
-                    each = [np.frombuffer(x, np.int32) for x in part.column("features").to_pylist()]
+                    each = [unpacked(x) for x in part.column("features").to_pylist()]
                     held, sizes = np.concatenate(each), np.array([len(x) for x in each])
                     one = np.where(label == 1, weight[1], weight[0])
                     if w is None:

@@ -98,3 +98,12 @@ def test_held_out_accuracy_on_the_test_tables(spark):
     area = (order[y == 1].mean() - (y.sum() - 1) / 2) / (y == 0).sum()
     print("area", area, "caught", p[y == 1].mean(), "left alone", 1 - p[y == 0].mean(), len(y))
     assert area > 0.8 and p[y == 0].mean() < 0.1
+
+
+def test_packed_features_come_back():
+    rng = np.random.default_rng(5)
+    wide = T._WIDEST
+    for found in ([], [0], [wide - 1], [wide], [wide + 1], [0, 3 * wide], [2 * wide, 4 * wide - 1, T.FEATURES - 1], np.sort(rng.choice(T.FEATURES, 5000, replace=False))):
+        found = np.array(found, np.int32)
+        assert T.unpacked(T.packed(found)).tolist() == found.tolist()
+    assert len(T.packed(np.arange(1000, dtype=np.int32))) == 2000
