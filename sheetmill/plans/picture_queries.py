@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import epochs as E
+from ..operators import networks as N
 from ..operators import pictures as P
 from ..operators import training as L
+from ..functions import scalars as S
 from . import bindings as B
 from . import detail_queries as D
 from . import vision_queries as V
@@ -50,7 +53,34 @@ def epoch_draws(spark, sf):
     return L.epoch_draws(rows, rows.count(), seed=7, epoch=2)
 
 
-QUERIES = {f.__name__: f for f in (network_inputs, lanczos_pictures, elastic_pictures, painted_masks, epoch_draws)}
+EPOCHS, STEPS, RATE, LEAST_RATE, DECAY = 4, 2, 0.05, 0.001, 0.01
+TAUGHT = ("size", "spaces", "vowels")
+
+
+def training_history(spark, sf):
+    """The epochs of a classifier of labelled documents, by three numbers of each whole text; the best one is marked."""
+    text, n = F.coalesce("text", F.lit("")), F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("double")
+    without = lambda letters: F.length(F.translate(text, letters, "")) / n
+    numbers = B.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("_id"), F.least(F.lit(1.0), n / 4000.0).alias("size"), (1 - without(" ")).alias("spaces"), (1 - without("aeiou")).alias("vowels")
+    )
+    rows = L.balanced_weights(B.manifest(spark, sf).where("gt_label is not null")).withColumn("split", S.hash_split(F.col("image_id")))
+    rows = rows.join(numbers, rows["image_id"] == numbers["_id"])
+    found = E.train(rows, TAUGHT, ["blank", "filled"], epochs=EPOCHS, steps=STEPS, rate=RATE, least_rate=LEAST_RATE, decay=DECAY, seed=7)
+    history = spark.createDataFrame([tuple(h.values()) for h in found.history], "epoch int, rate double, train_loss double, train_accuracy double, val_loss double, val_accuracy double")
+    numbers = [F.round(c, 6).alias(c) for c in history.columns[1:]]
+    return history.select("epoch", *numbers, (F.col("epoch") == found.epoch).alias("best"))
+
+
+def network_layout(spark, sf):
+    """A small network of seeded weights over every picture, grown to 16 x 16, and its peaks."""
+    weights = N.seeded_weights(base=4, n_out=4, seed=3)
+    found = N.predict_layout(B.pictures(spark, sf), weights, 16, 16, page=0.5, marker=0.5, bubble=0.5, radius=1, most=6)
+    peaks = lambda c: F.transform(c, lambda p: F.concat_ws(":", p["rank"], F.round(p["x"], 3), F.round(p["y"], 3), F.round(p["score"], 3)))
+    return found.select("image_id", "n_markers", "n_bubbles", F.array_join(peaks("markers"), " ").alias("markers"), F.array_join(peaks("bubbles"), " ").alias("bubbles"), F.concat_ws(",", F.transform("page", lambda v: v.cast("string"))).alias("page"))
+
+
+QUERIES = {f.__name__: f for f in (network_inputs, lanczos_pictures, elastic_pictures, painted_masks, epoch_draws, training_history, network_layout)}
 
 # How much of each cell out (j of m) a cell in (i of 8) covers.
 _COVER = "greatest(0, least(i + 1, (j + 1) * 8.0::DOUBLE / {m}) - greatest(i, j * 8.0::DOUBLE / {m})) * {m} / 8.0::DOUBLE"
@@ -64,7 +94,42 @@ _BEND = _DRAW.format(seed=_SEED + "'bend_{axis}'")
 _TWO_PI = "(2 * pi())"
 _AT = "CASE WHEN {x} BETWEEN 0 AND 7 AND {y} BETWEEN 0 AND 7 THEN g[CAST({y} * 8 + {x} + 1 AS BIGINT)] ELSE 255 END"
 
+
+
+def _training_sql() -> str:
+    """Each step's sums and moved weights as relations of one row: ``w`` weights, ``m`` and ``v`` their moments."""
+    classes, inputs = ("blank", "filled"), (*TAUGHT, "1.0::DOUBLE")
+    places = [(k, i) for k in range(len(classes)) for i in range(len(inputs))]
+    z = [" + ".join(f"w{k}{i} * {x}" for i, x in enumerate(inputs)) for k in range(len(classes))]
+    scored = f"SELECT *, exp(z0) / (exp(z0) + exp(z1)) AS p0, exp(z1) / (exp(z0) + exp(z1)) AS p1 FROM (SELECT *, {z[0]} AS z0, {z[1]} AS z1 FROM ft, {{state}} WHERE split = '{{split}}' {{more}})"
+    measured = "sum(-w * ln(CASE WHEN gt_label = 'blank' THEN p0 ELSE p1 END)) AS loss, sum(w) AS w, count(*) FILTER ((z0 >= z1) = (gt_label = 'blank')) AS good, count(*) AS n"
+    slopes = ", ".join(f"sum(w * (p{k} - CASE WHEN gt_label = '{classes[k]}' THEN 1 ELSE 0 END) * {inputs[i]}) / sum(w) AS g{k}{i}" for k, i in places)
+    parts = ["s0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS {name}{k}{i}" for name in "wmv" for k, i in places) + ")"]
+    t = 0
+    for epoch in range(1, EPOCHS + 1):
+        rate = f"({LEAST_RATE}::DOUBLE + ({RATE}::DOUBLE - {LEAST_RATE}::DOUBLE) * (1 + cos(pi() * {epoch - 1} / {EPOCHS})) / 2)"
+        place = _DRAW.format(seed=f"'7:{epoch}:' || CAST(image_id AS VARCHAR)")
+        for step in range(STEPS):
+            t += 1
+            parts.append(f"g{t} AS MATERIALIZED (SELECT {slopes}, {measured} FROM ({scored.format(state=f's{t - 1}', split='train', more=f'AND floor({place} * {STEPS}) = {step}')}))")
+            mean, square = (lambda a: f"(0.9::DOUBLE * m{a} + 0.1::DOUBLE * g{a})"), (lambda a: f"(0.999::DOUBLE * v{a} + 0.001::DOUBLE * g{a} * g{a})")
+            move = lambda a: f"{rate} * {mean(a)} / (1 - 0.9::DOUBLE ** {t}) / (sqrt({square(a)} / (1 - 0.999::DOUBLE ** {t})) + 1e-8::DOUBLE)"  # noqa: B023, E731
+            cells = [c for k, i in places for c in (f"w{k}{i} * (1 - {rate} * {DECAY}::DOUBLE) - {move(f'{k}{i}')} AS w{k}{i}", f"{mean(f'{k}{i}')} AS m{k}{i}", f"{square(f'{k}{i}')} AS v{k}{i}")]
+            parts.append(f"s{t} AS MATERIALIZED (SELECT {', '.join(cells)} FROM s{t - 1}, g{t})")
+        seen = " UNION ALL ".join(f"SELECT loss, w, good, n FROM g{k}" for k in range(t - STEPS + 1, t + 1))
+        parts.append(f"h{epoch} AS (SELECT {epoch} AS epoch, {rate} AS rate, a.*, b.* FROM (SELECT sum(loss) / sum(w) AS train_loss, sum(good) / sum(n) AS train_accuracy FROM ({seen})) a, "
+                     f"(SELECT loss / w AS val_loss, good / n AS val_accuracy FROM (SELECT {measured} FROM ({scored.format(state=f's{t}', split='val', more='')}))) b)")
+    history = " UNION ALL ".join(f"SELECT * FROM h{e}" for e in range(1, EPOCHS + 1))
+    rounded = ", ".join(f"round({c}, 6) AS {c}" for c in ("rate", "train_loss", "train_accuracy", "val_loss", "val_accuracy"))
+    return f"""WITH {V.SPLIT_SQL}, nm AS (SELECT doc_id AS image_id, coalesce(text, '') AS t, CAST(greatest(1, length(coalesce(text, ''))) AS DOUBLE) AS n FROM documents),
+ft AS MATERIALIZED (SELECT image_id, gt_label, split, 1.0::DOUBLE / count(*) OVER (PARTITION BY gt_label) AS w, least(1.0::DOUBLE, n / 4000) AS size,
+  1 - length(replace(t, ' ', '')) / n AS spaces, 1 - length(translate(t, 'aeiou', '')) / n AS vowels FROM mf JOIN nm USING (image_id) WHERE gt_label IS NOT NULL),
+{", ".join(parts)}, hs AS (SELECT * FROM ({history}))
+SELECT epoch, {rounded}, epoch = (SELECT epoch FROM hs ORDER BY val_accuracy DESC, epoch LIMIT 1) AS best FROM hs"""
+
+
 ORACLES = {
+    "training_history": _training_sql(),
     "network_inputs": f"""WITH {V.PIXELS_SQL}, wx AS (SELECT j, i, {_COVER.format(m=5)} AS w FROM range(0, 5) a(j), range(0, 8) b(i)),
 wy AS (SELECT j, i, {_COVER.format(m=3)} AS w FROM range(0, 3) a(j), range(0, 8) b(i)),
 r AS (SELECT image_id, y, j, sum(gray * w) AS v FROM px JOIN wx ON x = i AND w > 0 GROUP BY ALL)
