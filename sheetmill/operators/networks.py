@@ -3,7 +3,8 @@
 Three levels down and up: blocks of two 3 x 3 convolutions, each normalised by groups of channels, halved by
 the largest of four, grown again bilinearly beside the block of the same level.  Weights have a size fixed by
 ``base``, come from one file of named arrays and are broadcast.  Convolutions run by strips of rows, so a
-picture of 832 x 1192 needs a few copies of its widest level and no more.
+picture of 832 x 1192 needs a few copies of its widest level and no more: some 750 MB with 24 channels there,
+in each task.
 """
 
 from __future__ import annotations
@@ -97,14 +98,16 @@ def convolved(parts: Sequence[np.ndarray], weight: np.ndarray) -> np.ndarray:
 
 
 def activated(x: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """Normalised by groups of channels (8 of them, or as many as divide both), scaled, and times its own sigmoid."""
-    groups = x.reshape(math.gcd(len(x), 8), -1)
-    middle = groups.mean(axis=1, dtype=np.float64)
-    spread = np.sqrt(groups.var(axis=1, dtype=np.float64) + 1e-5)
-    each = len(x) // len(groups)
-    gain = (scale / np.repeat(spread, each)).astype(x.dtype)[:, None, None]
-    x = x * gain + (shift - np.repeat(middle, each) * scale / np.repeat(spread, each)).astype(x.dtype)[:, None, None]
-    return x / (1 + np.exp(-np.clip(x, -80, 80)))
+    """Normalised by groups of channels (8 of them, or as many as divide both), scaled, and times its own sigmoid; in place."""
+    for group in np.split(np.arange(len(x)), math.gcd(len(x), 8)):
+        part = x[group[0] : group[-1] + 1]
+        middle = np.mean([c.mean(dtype=np.float64) for c in part])
+        spread = math.sqrt(np.mean([np.square(c - middle, dtype=np.float64).mean() for c in part]) + 1e-5)
+        for k, c in zip(group, part, strict=True):
+            c *= scale[k] / spread
+            c += shift[k] - middle * scale[k] / spread
+            c /= 1 + np.exp(-np.clip(c, -80, 80))
+    return x
 
 
 def halved(x: np.ndarray) -> np.ndarray:
@@ -114,13 +117,18 @@ def halved(x: np.ndarray) -> np.ndarray:
 
 
 def grown(x: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear between the middles of cells, edges repeated."""
-    for axis, size in ((1, height), (2, width)):
-        at = np.maximum((np.arange(size) + 0.5) * x.shape[axis] / size - 0.5, 0)
+    """Bilinear between the middles of cells, edges repeated; a channel at a time."""
+    places = []
+    for before, after in zip(x.shape[1:], (height, width), strict=True):
+        at = np.maximum((np.arange(after) + 0.5) * before / after - 0.5, 0)
         low = np.floor(at).astype(np.int64)
-        share = (at - low).astype(x.dtype).reshape((-1, 1) if axis == 1 else (-1,))
-        x = x.take(low, axis) * (1 - share) + x.take(np.minimum(low + 1, x.shape[axis] - 1), axis) * share
-    return x
+        places.append((low, np.minimum(low + 1, before - 1), (at - low).astype(x.dtype)))
+    (top, bottom, down), (left, right, along) = places
+    out = np.empty((len(x), height, width), x.dtype)
+    for c, whole in zip(x, out, strict=True):
+        rows = c[top] * (1 - down)[:, None] + c[bottom] * down[:, None]
+        whole[:] = rows[:, left] * (1 - along) + rows[:, right] * along
+    return out
 
 
 def forward(x: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
