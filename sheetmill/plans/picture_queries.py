@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import epochs as E
+from ..operators import layout as Y
 from ..operators import networks as N
 from ..operators import pictures as P
+from ..operators import samples as X
 from ..operators import training as L
 from ..functions import scalars as S
 from . import bindings as B
@@ -80,7 +82,24 @@ def network_layout(spark, sf):
     return found.select("image_id", "n_markers", "n_bubbles", F.array_join(peaks("markers"), " ").alias("markers"), F.array_join(peaks("bubbles"), " ").alias("bubbles"), F.concat_ws(",", F.transform("page", lambda v: v.cast("string"))).alias("page"))
 
 
-QUERIES = {f.__name__: f for f in (network_inputs, lanczos_pictures, elastic_pictures, painted_masks, epoch_draws, training_history, network_layout)}
+POINTS = [("marker", "m0", 1, 1), ("marker", "m1", 6, 1), ("marker", "m2", 6, 6), ("marker", "m3", 1, 6), ("bubble", "b0", 2, 3), ("bubble", "b1", 5, 4)]
+
+
+def sample_pictures(spark, sf):
+    """Two training samples of every picture, a clean one and a moved one with covered marks, and the marks that can be seen."""
+    pictures = B.pictures(spark, sf)
+    points = spark.createDataFrame([(kind, name, float(x), float(y)) for kind, name, x, y in POINTS], "kind string, id string, x double, y double")
+    geometry = Y.training_geometry(pictures, 8, 8, 24, 24, augmented=1, seed=5, shift=4.0, bend=0.0)
+    labels = X.with_covers(Y.training_labels(geometry, points, 24, 24, occluded=0.6, seed=6), 7, radii=(1, 3), least_half=1, room=2)
+    samples = X.described(geometry, labels, pictures.select("image_id", F.lit("train").alias("split")))
+    met = samples.join(pictures.select(F.col("image_id").alias("base_image_id"), "width", "height", "gray"), "base_image_id")
+    seen = lambda c: F.size(F.filter(c, lambda p: p["visible"]))
+    painted = X.warped_samples(met, 24, 24).select("sample_id", F.hex("gray").alias("gray"))
+    counts = samples.select("sample_id", F.size("covers").alias("covers"), seen("markers").alias("visible_markers"), seen("bubbles").alias("visible_bubbles"))
+    return painted.join(counts, "sample_id")
+
+
+QUERIES = {f.__name__: f for f in (network_inputs, lanczos_pictures, elastic_pictures, painted_masks, epoch_draws, training_history, network_layout, sample_pictures)}
 
 # How much of each cell out (j of m) a cell in (i of 8) covers.
 _COVER = "greatest(0, least(i + 1, (j + 1) * 8.0::DOUBLE / {m}) - greatest(i, j * 8.0::DOUBLE / {m})) * {m} / 8.0::DOUBLE"
@@ -96,6 +115,29 @@ _AT = "CASE WHEN {x} BETWEEN 0 AND 7 AND {y} BETWEEN 0 AND 7 THEN g[CAST({y} * 8
 
 
 
+def _samples_sql() -> str:
+    unit = lambda text: f"(CAST(concat('0x', substr(sha1({text}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+    shift = lambda axis: f"CASE s WHEN 0 THEN 0.0::DOUBLE ELSE ({unit(f"'5:' || CAST(image_id AS VARCHAR) || ':1:{axis}'")} * 2 - 1) * 4.0::DOUBLE END AS d{axis}"
+    chance = lambda what: _DRAW.format(seed=f"'7:' || sample_id || ':' || id || ':{what}'")
+    whole = lambda what, low, high: f"(CAST(floor({chance(what)} * ({high} - ({low}) + 1)) AS INTEGER) + {low})"
+    middle = lambda axis: f"CAST(round_even({axis}, 0) AS INTEGER) + CASE WHEN f THEN 0 ELSE {whole(f'at_{axis}', '-r', 'r')} END AS m{axis}"
+    reach = lambda axis: f"CASE WHEN f THEN r ELSE {whole(f'half_{axis}', 'greatest(1, r // 2)', '(r + 1)')} END AS h{axis}"
+    return f"""WITH {V.PIXELS_SQL}, pic AS (SELECT image_id, list(gray ORDER BY y, x) AS g FROM px GROUP BY image_id),
+gm AS (SELECT *, CAST(image_id AS VARCHAR) || CASE s WHEN 0 THEN '_clean' ELSE '_aug001' END AS sample_id, {shift("x")}, {shift("y")} FROM pic, range(0, 2) a(s)),
+lb AS (SELECT sample_id, s, kind, id, round(px * 3 + dx, 3) AS x, round(py * 3 + dy, 3) AS y FROM gm, (VALUES {", ".join(map(str, POINTS))}) v(kind, id, px, py)),
+fr AS (SELECT *, x >= 0 AND x < 24 AND y >= 0 AND y < 24 AS inside, kind = 'marker' AND s > 0 AND {unit("'6:' || sample_id || ':' || id")} < 0.6::DOUBLE AS occluded,
+  {chance("full")} < 0.45::DOUBLE AS f, {whole("radius", "1", "3")} AS r FROM lb),
+cv AS (SELECT sample_id, id, {middle("x")}, {middle("y")}, {reach("x")}, {reach("y")}, {whole("shade", "190", "255")} AS shade FROM fr WHERE occluded AND inside),
+nc AS (SELECT sample_id, CAST(count(*) FILTER (occluded AND inside) AS INTEGER) AS covers, CAST(count(*) FILTER (kind = 'marker' AND inside AND NOT (occluded AND f)) AS INTEGER) AS visible_markers,
+  CAST(count(*) FILTER (kind = 'bubble' AND inside) AS INTEGER) AS visible_bubbles FROM fr GROUP BY sample_id),
+sr AS (SELECT sample_id, g, x, y, floor((x - dx) / 3) AS l, floor((y - dy) / 3) AS t, (x - dx) / 3 - floor((x - dx) / 3) AS fx, (y - dy) / 3 - floor((y - dy) / 3) AS fy FROM gm, range(0, 24) a(x), range(0, 24) b(y)),
+sm AS (SELECT sample_id, x, y, CAST(round_even(({_AT.format(x="l", y="t")} * (1 - fx) + {_AT.format(x="(l + 1)", y="t")} * fx) * (1 - fy)
+  + ({_AT.format(x="l", y="(t + 1)")} * (1 - fx) + {_AT.format(x="(l + 1)", y="(t + 1)")} * fx) * fy, 0) AS INTEGER) AS gray FROM sr),
+hd AS (SELECT sample_id, x, y, arg_max(shade, id) AS shade FROM cv JOIN (SELECT x, y FROM range(0, 24) a(x), range(0, 24) b(y)) ON abs(x - mx) <= hx AND abs(y - my) <= hy GROUP BY ALL)
+SELECT sample_id, string_agg(printf('%02X', coalesce(shade, gray)), '' ORDER BY y, x) AS gray, any_value(covers) AS covers, any_value(visible_markers) AS visible_markers, any_value(visible_bubbles) AS visible_bubbles
+FROM sm LEFT JOIN hd USING (sample_id, x, y) JOIN nc USING (sample_id) GROUP BY sample_id"""
+
+
 def _training_sql() -> str:
     """Each step's sums and moved weights as relations of one row: ``w`` weights, ``m`` and ``v`` their moments."""
     classes, inputs = ("blank", "filled"), (*TAUGHT, "1.0::DOUBLE")
@@ -130,6 +172,7 @@ SELECT epoch, {rounded}, epoch = (SELECT epoch FROM hs ORDER BY val_accuracy DES
 
 ORACLES = {
     "training_history": _training_sql(),
+    "sample_pictures": _samples_sql(),
     "network_inputs": f"""WITH {V.PIXELS_SQL}, wx AS (SELECT j, i, {_COVER.format(m=5)} AS w FROM range(0, 5) a(j), range(0, 8) b(i)),
 wy AS (SELECT j, i, {_COVER.format(m=3)} AS w FROM range(0, 3) a(j), range(0, 8) b(i)),
 r AS (SELECT image_id, y, j, sum(gray * w) AS v FROM px JOIN wx ON x = i AND w > 0 GROUP BY ALL)

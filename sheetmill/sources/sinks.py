@@ -118,6 +118,25 @@ def write_pictures(pictures: DataFrame, folder: str) -> DataFrame:
     return pictures.select("name", "width", "height", "gray").mapInArrow(run, "name string, uri string")
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """``name, content`` (bytes) as files below the folder, as ``write_pictures`` does.  Returns ``name, uri``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                path = f"{base}/{name}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                draft = f"{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(content)
+                store.move(draft, path)
+            uris = pa.array([f"{folder}/{name}" for name in batch.column("name").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("name"), uris], names=["name", "uri"])
+
+    return files.select("name", "content").mapInArrow(run, "name string, uri string")
+
+
 def web_payload(sheets: DataFrame, metadata: DataFrame, summary: dict[str, str]) -> DataFrame:
     """Sheets that are ok with their metadata; entries of the run summary win over computed ones."""
     meta = metadata.select("image_id", *[F.col(c).alias(f"_m_{c}") for c in ("file_name", "split", "relative_path")])
