@@ -89,7 +89,7 @@ def _share(n: int, most: int) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame, train_docs: int) -> tuple[DataFrame, dict[int, float]]:
-    """``label, text`` of about ``train_docs`` documents a label, and the weight of one of each.  An id labelled
+    """``label, doc_id, text`` of about ``train_docs`` documents a label, and the weight of one of each.  An id labelled
     twice counts as toxic if one of its rows does; a document that repeats with its text counts once."""
     place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 20)) / F.lit(float(1 << 20))
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("label"))
@@ -101,7 +101,7 @@ def sample(docs: DataFrame, labels: DataFrame, train_docs: int) -> tuple[DataFra
     rows = dict(marked.groupBy("label").count().collect())
     share = {k: _share(rows.get(k, 0), 2 * train_docs) for k in (0, 1)}  # below 1 only where ids repeat
     chosen = marked.where(place(F.col("doc_id").cast("string"), "text") < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
-    chosen = chosen.dropDuplicates(["doc_id", "text"]).select("label", "text")
+    chosen = chosen.dropDuplicates(["doc_id", "text"]).select("label", "doc_id", "text")
     return chosen, {k: 1 / _share(n.get(k, 0), train_docs) / share[k] for k in (0, 1)}
 
 
@@ -142,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
     spark = docs.sparkSession
     chosen, weight = sample(docs, labels, train_docs)
     folder = scratch_dir(spark, "toxicity")
-    # Texts are dealt, not their features, which are several times as large.
-    dealt = small_batches(chosen).repartition(TASKS, F.xxhash64("text")).sortWithinPartitions("label", F.xxhash64("text"))
+    # Texts are dealt, not their features, which are several times as large; by their ids too, so that copies part.
+    dealt = small_batches(chosen).repartition(TASKS, F.xxhash64("doc_id", "text")).sortWithinPartitions("label", F.xxhash64("doc_id", "text"))
     dealt.mapInArrow(_featured, "label int, features binary").write.parquet(f"{folder}/features")
     table = spark.read.schema("label int, features binary").parquet(f"{folder}/features")
 
