@@ -209,7 +209,7 @@ def _shifted(spark, sf) -> DataFrame:
     pairs = M.greedy_pairs(M.reach_pairs(B.lattice(pixels), _peaks(spark, sf), 2.0))
     lattice = B.lattice(pixels).select("image_id", F.col("id").alias("a"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     peaks = _peaks(spark, sf).select("image_id", F.col("id").alias("b"), F.col("x").alias("dx"), F.col("y").alias("dy"))
-    return pairs.join(lattice, ["image_id", "a"]).join(peaks, ["image_id", "b"]).select("image_id", F.lit("grid").alias("block"), "sx", "sy", "dx", "dy", F.lit(6).alias("expected"))
+    return pairs.join(lattice.hint("merge"), ["image_id", "a"]).join(peaks.hint("merge"), ["image_id", "b"]).select("image_id", F.lit("grid").alias("block"), "sx", "sy", "dx", "dy", F.lit(6).alias("expected"))
 
 
 def translation_transform(spark, sf):

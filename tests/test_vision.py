@@ -150,3 +150,12 @@ def test_classifier(spark):
     assert [r.prelabel for r in got] == ["filled", "blank"] and got[0].prelabel_source == "bubble_classifier_group"
     with pytest.raises(ValueError):
         P.prediction(F.lit(None), ["a"], 2.0)
+
+
+def test_exploded_points_are_never_broadcast(spark):
+    images = spark.range(3).select(F.col("id").alias("image_id"))
+    points = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(float(k)).alias("x"), F.lit(0.0).alias("y")) for k in range(16)])
+    lattice = images.distinct().select("image_id", F.explode(points).alias("p")).select("image_id", "p.id", "p.x", "p.y")
+    pairs = M.reach_pairs(lattice, lattice, 2.0)
+    assert len(pairs.collect()) == 3 * (16 + 2 * 15 + 2 * 14)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
