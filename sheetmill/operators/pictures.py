@@ -124,12 +124,15 @@ def displacement(field: dict, width: int, height: int, strength: float) -> tuple
 
 
 def sampled(picture: np.ndarray, x: np.ndarray, y: np.ndarray, background: float) -> np.ndarray:
-    """Bilinear samples at real places; what lies beyond the picture is background."""
-    framed = np.full((picture.shape[0] + 2, picture.shape[1] + 2), float(background))
+    """Bilinear samples at real places; what lies beyond the picture is background.  Fractions are those of the
+    places themselves, as a shift by the frame would round them: moves of equal size often meet exact halves."""
+    height, width = picture.shape
+    framed = np.full((height + 2, width + 2), float(background))
     framed[1:-1, 1:-1] = picture
-    x, y = np.clip(x + 1, 0, picture.shape[1] + 1), np.clip(y + 1, 0, picture.shape[0] + 1)
-    left, top = np.minimum(np.floor(x), picture.shape[1]).astype(np.int64), np.minimum(np.floor(y), picture.shape[0]).astype(np.int64)
+    x, y = np.clip(x, -1, width), np.clip(y, -1, height)
+    left, top = np.minimum(np.floor(x), width - 1), np.minimum(np.floor(y), height - 1)
     fx, fy = x - left, y - top
+    left, top = left.astype(np.int64) + 1, top.astype(np.int64) + 1
     upper = framed[top, left] * (1 - fx) + framed[top, left + 1] * fx
     lower = framed[top + 1, left] * (1 - fx) + framed[top + 1, left + 1] * fx
     return upper * (1 - fy) + lower * fy

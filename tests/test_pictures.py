@@ -95,3 +95,15 @@ def test_draws_follow_weights_and_not_partitions(spark):
     assert abs(heavy - 5.0 / (5.0 + 999 * 0.05)) < 0.02
     assert all(r.image_id < 2000 for r in got) and len({r.image_id for r in got}) > 900
     assert L.epoch_draws(df.where("false"), 10, 1, 0).collect() == []
+
+
+def test_halves_round_by_the_places_own_fractions():
+    grays = np.random.default_rng(1).integers(0, 256, (2000, 8, 8)).astype(np.uint8)
+    x, y = np.arange(8) - 1.3, np.arange(8)[:, None] - 1.3
+    fx, fy = x - np.floor(x), y - np.floor(y)
+    for p in grays:
+        f = np.full((10, 10), 255.0)  # two rows and columns of background above and left of the picture
+        f[2:, 2:] = p
+        l, t = np.floor(x).astype(int) + 2, np.floor(y).astype(int) + 2
+        want = (f[t, l] * (1 - fx) + f[t, l + 1] * fx) * (1 - fy) + (f[t + 1, l] * (1 - fx) + f[t + 1, l + 1] * fx) * fy
+        assert (np.rint(P.sampled(p, x, y, 255)) == np.rint(want)).all()
