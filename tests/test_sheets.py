@@ -59,3 +59,11 @@ def test_compare(spark):
     assert C.errors(a, truth).count() == 1
     rows = spark.createDataFrame([("x", 1, "old"), ("x", 2, "new"), ("", 3, "gone"), (None, 4, "gone")], "image_id string, line int, v string")
     assert [(r.image_id, r.v) for r in C.last_wins(rows, "image_id", "line").collect()] == [("x", "new")]
+
+
+def test_tasks_grow_with_the_lines(spark, monkeypatch):
+    from sheetmill.plans import bindings as B
+
+    monkeypatch.setattr(B, "TASK_ROWS", 500, raising=False)
+    rows = B.bubbles(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= rows.count() / 500
