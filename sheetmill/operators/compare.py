@@ -38,17 +38,18 @@ def _by_section(rows: DataFrame, sections: Sequence[str], **sums) -> DataFrame:
     return every.join(F.broadcast(found), "section", "left").select("section", *[F.coalesce(F.col(k), F.lit(0)).alias(k) for k in sums])
 
 
-def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+def pairs(a: DataFrame, b: DataFrame, tasks: int | None = None) -> DataFrame:
     """Items of the images that both extractions have, key by key.
 
     Each extraction is read once: dealt by image, items meet in an aggregate by image and key, and a
-    window over the image (at most a sheet's keys) tells whether both sides are there."""
+    window over the image (at most a sheet's keys) tells whether both sides are there.  ``tasks``: how many share
+    the images (Spark's choice if unknown, which goes by the size of compressed rows and takes few)."""
     none = F.lit(None).cast("string")
     left = a.select("image_id", "key", F.col("value").alias("value_a"), F.col("status").alias("status_a"), none.alias("value_b"), none.alias("status_b"), F.lit(1).alias("side"))
     right = b.select("image_id", "key", none, none, F.col("value"), F.col("status"), F.lit(2))
     return (
         left.union(right)
-        .repartition("image_id")
+        .repartition(*([tasks] if tasks else []), "image_id")
         .groupBy("image_id", "key")
         .agg(*[F.max(c).alias(c) for c in ("value_a", "status_a", "value_b", "status_b")], F.bit_or("side").alias("side"))
         .withColumn("sides", F.bit_or("side").over(Window.partitionBy("image_id")))
@@ -57,19 +58,19 @@ def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def agreement(a: DataFrame, b: DataFrame, sections: Sequence[str] = SECTIONS) -> DataFrame:
+def agreement(a: DataFrame, b: DataFrame, sections: Sequence[str] = SECTIONS, tasks: int | None = None) -> DataFrame:
     """How often two extractions agree, overall and by section."""
     same = F.count(F.when(F.col("value_a") == F.col("value_b"), 1))
-    return _by_section(pairs(a, b), sections, total=F.count(F.lit(1)), same=same).select(
+    return _by_section(pairs(a, b, tasks), sections, total=F.count(F.lit(1)), same=same).select(
         "section", "total", "same", (F.col("total") - F.col("same")).alias("different"), rate(F.col("same"), F.col("total")).alias("same_rate")
     )
 
 
-def differences(a: DataFrame, b: DataFrame, truth: DataFrame | None = None, most: int = 0) -> DataFrame:
+def differences(a: DataFrame, b: DataFrame, truth: DataFrame | None = None, most: int = 0, tasks: int | None = None) -> DataFrame:
     """Items on which two extractions differ, by image and key; the first ``most`` if that is not 0.
 
     ``truth``: ``image_id, key, expected``."""
-    rows = pairs(a, b).where("value_a <> value_b")
+    rows = pairs(a, b, tasks).where("value_a <> value_b")
     if truth is not None:
         rows = rows.join(truth.select("image_id", "key", "expected"), ["image_id", "key"], "left")
     else:

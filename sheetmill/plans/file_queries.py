@@ -86,7 +86,7 @@ def _read_csv(spark, path: str, columns) -> DataFrame:
 
 
 def csv_differences_file(spark, sf):
-    found = C.differences(Q._method_a(spark, sf), Q._method_b(spark, sf), Q._truth(spark, sf))
+    found = C.differences(Q._method_a(spark, sf), Q._method_b(spark, sf), Q._truth(spark, sf), tasks=Q._tasks(spark, sf))
     path = scratch(spark, "csv") + "/differences"
     O.write_csv(found, path, O.DIFFERENCE_COLUMNS)
     return _read_csv(spark, path, O.DIFFERENCE_COLUMNS)

@@ -264,6 +264,10 @@ def _method(spark, sf, filled: float, margin: float) -> DataFrame:
     return H.flat_items(keyed, H.all_keys())
 
 
+def _tasks(spark, sf) -> int:
+    return B.tasks(B.table(spark, sf, "lineitem"))
+
+
 def _method_a(spark, sf):
     return _method(spark, sf, 0.05, 0.025)
 
@@ -314,7 +318,7 @@ def flatten_items(spark, sf):
 
 
 def pairwise_agreement(spark, sf):
-    return C.agreement(_method_a(spark, sf), _method_b(spark, sf))
+    return C.agreement(_method_a(spark, sf), _method_b(spark, sf), tasks=_tasks(spark, sf))
 
 
 def _verdicts(found: DataFrame) -> DataFrame:
@@ -323,11 +327,11 @@ def _verdicts(found: DataFrame) -> DataFrame:
 
 
 def difference_listing(spark, sf):
-    return _verdicts(C.differences(_method_a(spark, sf), _method_b(spark, sf), _truth(spark, sf)))
+    return _verdicts(C.differences(_method_a(spark, sf), _method_b(spark, sf), _truth(spark, sf), tasks=_tasks(spark, sf)))
 
 
 def sample_differences(spark, sf):
-    return _verdicts(C.differences(_method_a(spark, sf), _method_b(spark, sf), _truth(spark, sf), most=200))
+    return _verdicts(C.differences(_method_a(spark, sf), _method_b(spark, sf), _truth(spark, sf), most=200, tasks=_tasks(spark, sf)))
 
 
 def only_in_a(spark, sf):
@@ -351,7 +355,7 @@ def flat_status_histogram(spark, sf):
 
 
 def sheets_by_differences(spark, sf):
-    return C.sheets_with_most_differences(C.differences(_method_a(spark, sf), _method_b(spark, sf)), 25)
+    return C.sheets_with_most_differences(C.differences(_method_a(spark, sf), _method_b(spark, sf), tasks=_tasks(spark, sf)), 25)
 
 
 def ground_truth_export(spark, sf):
@@ -359,9 +363,9 @@ def ground_truth_export(spark, sf):
 
 
 def report_lines(spark, sf):
-    a, b, truth = _method_a(spark, sf), _method_b(spark, sf), _truth(spark, sf)
+    a, b, truth, tasks = _method_a(spark, sf), _method_b(spark, sf), _truth(spark, sf), _tasks(spark, sf)
     accuracies = {"a": C.accuracy(a, truth), "b": C.accuracy(b, truth)}
-    return C.report(C.agreement(a, b), accuracies, C.differences(a, b, truth), ("rule", "model"), 40)
+    return C.report(C.agreement(a, b, tasks=tasks), accuracies, C.differences(a, b, truth, tasks=tasks), ("rule", "model"), 40)
 
 
 def ground_truth_pivot(spark, sf):

@@ -67,3 +67,11 @@ def test_tasks_grow_with_the_lines(spark, monkeypatch):
     monkeypatch.setattr(B, "TASK_ROWS", 500, raising=False)
     rows = B.bubbles(spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() >= rows.count() / 500
+
+
+def test_a_comparison_has_the_tasks_it_is_given(spark):
+    from sheetmill.operators import compare as C
+
+    rows = spark.createDataFrame([(k, "part1:I_001", "A", "accepted") for k in range(40)], "image_id long, key string, value string, status string")
+    found = C.pairs(rows, rows, 7)
+    assert found.rdd.getNumPartitions() == 7 and found.count() == 40
