@@ -175,12 +175,14 @@ def option_values(spark, sf):
 
 
 def layout_masks(spark, sf):
-    pixels = B.pixels(spark, sf)
+    """Images are dealt by what their masks take, 64 pixels each, and not by their ids' few bytes."""
+    tasks = B.tasks(B.table(spark, sf, "embeddings"), 64)
+    images = B.pixels(spark, sf).select("image_id", "label").distinct().repartition(tasks, "image_id")
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     label = F.col("label")
     quad = F.array(at(F.lit(0), F.lit(0)), at(7 - label % 3, F.lit(0)), at(F.lit(7), F.lit(7)), at(label % 2, F.lit(6)))
-    polygons = pixels.select("image_id", "label").distinct().select("image_id", quad.alias("points"))
-    points = B.lattice(pixels).select("image_id", F.when(F.col("id") % 4 == 0, "marker").otherwise("bubble").alias("kind"), "x", "y", (F.col("id") % 3 > 0).alias("visible"))
+    polygons = images.select("image_id", quad.alias("points"))
+    points = B.lattice(images).select("image_id", F.when(F.col("id") % 4 == 0, "marker").otherwise("bubble").alias("kind"), "x", "y", (F.col("id") % 3 > 0).alias("visible"))
     found = X.layout_masks(points, polygons, 8, 8, {"marker": 1.0, "bubble": 0.5})
     return found.groupBy("image_id", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("gray").alias("total"), F.sum(8 * F.col("y") + F.col("x")).alias("where"))
 

@@ -75,3 +75,13 @@ def test_a_comparison_has_the_tasks_it_is_given(spark):
     rows = spark.createDataFrame([(k, "part1:I_001", "A", "accepted") for k in range(40)], "image_id long, key string, value string, status string")
     found = C.pairs(rows, rows, 7)
     assert found.rdd.getNumPartitions() == 7 and found.count() == 40
+
+
+def test_masks_are_dealt_by_their_pixels(spark, monkeypatch):
+    from sheetmill.plans import bindings as B
+    from sheetmill.plans import detail_queries as D
+
+    monkeypatch.setattr(B, "TASK_ROWS", 640, raising=False)
+    found = D.layout_masks(spark, "/root/testdata/sf0.001")
+    n = B.table(spark, "/root/testdata/sf0.001", "embeddings").count()
+    assert f", {-(-n * 64 // 640)}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
