@@ -159,3 +159,11 @@ def test_exploded_points_are_never_broadcast(spark):
     pairs = M.reach_pairs(lattice, lattice, 2.0)
     assert len(pairs.collect()) == 3 * (16 + 2 * 15 + 2 * 14)
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("query", ["_shifted"])  # what grid_fit fits
+def test_queries_on_points_broadcast_nothing(spark, query):
+    from sheetmill.plans import vision_queries as V
+
+    found = getattr(V, query)(spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
