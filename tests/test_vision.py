@@ -161,7 +161,7 @@ def test_exploded_points_are_never_broadcast(spark):
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("query", ["_shifted", "points_in_reach"])  # _shifted: what grid_fit fits
+@pytest.mark.parametrize("query", ["_shifted", "points_in_reach", "template_point_match"])  # _shifted: what grid_fit fits
 def test_queries_on_points_broadcast_nothing(spark, query):
     from sheetmill.plans import vision_queries as V
 
