@@ -1,9 +1,13 @@
 """Conversation prefix trie by prefix-doubling names.
 
-Turns get dense names; then, in rounds, so do blocks of 2, 4, 8, ... turns that begin at multiples of
-their length, each named by the names of its halves.  A prefix of d turns is made of the blocks of d's
-binary decomposition, longest first, so its name is composed of them, one more block a round: as many
-rounds as d has bits set.  Nodes of the trie are groups of equal depth and prefix name.
+Turns are named by their digests; then, in rounds, so are blocks of 2, 4, 8, ... turns that begin at multiples of
+their length, each by the digest of its halves' names.  A prefix of d turns is made of the blocks of d's
+binary decomposition, longest first.  A block of s turns that ends at e is the last of its length in the prefixes of
+e to e + s - 1 turns, so each block goes out to these depths and meets the prefix's others there, in one
+aggregate.  Nodes of the trie are groups of equal depth and prefix name.
+
+Names need no table of their own and no join, so that a round is one aggregate; the driver's memory goes with the
+number of plans.
 
 Sums over a node's subtree need no walk: every node is charged to its smallest member, so a subtree's sum
 is that of its members' own charges from the node's depth on, which is a suffix sum along each conversation.
@@ -24,7 +28,7 @@ from .common import cut, small_batches
 #: Every how many conversation ids one is the base of the following, and the most turns that are borrowed and one.
 FAMILY = 5
 BORROWED = 9
-#: Depths of a conversation that one window holds; sums are carried on between windows.
+#: Depths of a conversation that one window or one list holds; sums are carried on between windows.
 STRETCH = 4096
 #: Ids that one row of a node's list of ends holds.
 ENDS = 1 << 16
@@ -41,14 +45,6 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, start + F.col("row_at").bitwiseAND((1 << 33) - 1)).drop("row_at")
 
 
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with a dense ``name`` of each distinct key in place of ``keys``.  The names are joined back to
-    all rows, so that a very common key is split by the skew join."""
-    names = _numbered(rows.select(*keys).distinct(), "name").withColumnsRenamed({k: f"{k}_named" for k in keys})
-    same = reduce(Column.__and__, [F.col(k) == F.col(f"{k}_named") for k in keys])
-    return cut(rows.join(names, same).drop(*keys, *names.columns[:-1]))
-
-
 def borrowed_turns(conv_id: Column) -> Column:
     """How many turns a conversation takes from its base: crc32 of its id as text, modulo 9."""
     return F.crc32(conv_id.cast("string").cast("binary")) % BORROWED
@@ -69,44 +65,47 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``c, d, name, n_bytes``: the turns of the rebuilt conversations by depth from 1 on; and ``c, n``: the
+    """``c, d, name, n_bytes, n``: the turns of the rebuilt conversations by depth from 1 on; and ``c, n``: the
     number of turns of each.  ``turns`` has ``conv_id, i, name, n_bytes``; ``c % 5`` is SQL's remainder."""
     own = turns.groupBy(F.col("conv_id").alias("c")).agg(F.count(F.lit(1)).alias("own"))
     base = own.select(F.col("c").alias("b"), F.col("own").alias("base"))
     sizes = own.join(base, F.col("c") - F.col("c") % FAMILY == F.col("b"), "left").withColumn("h", borrowed_turns(F.col("c")))
     sizes = cut(sizes.select("c", "h", F.least("h", F.coalesce("base", F.lit(0))).alias("m"), "own"))
+    turns_of = F.col("m") + F.greatest(F.col("own") - F.col("h"), F.lit(0))
     lent = turns.where((F.col("conv_id") % FAMILY == 0) & (F.col("i") < BORROWED - 1)).withColumn("x", F.explode(F.sequence(F.lit(1 - FAMILY), F.lit(FAMILY - 1))))
     lent = lent.withColumn("x", F.col("conv_id") + F.col("x")).where((F.col("x") - F.col("x") % FAMILY == F.col("conv_id")) & (F.col("i") < borrowed_turns(F.col("x"))))
     kept = turns.withColumn("x", F.col("conv_id")).where(F.col("i") >= borrowed_turns(F.col("conv_id")))
     rows = lent.withColumn("lent", F.lit(True)).unionByName(kept.withColumn("lent", F.lit(False)))
     depth = F.when(F.col("lent"), F.col("i") + 1).otherwise(F.col("i") - F.col("h") + F.col("m") + 1)
-    placed = rows.join(sizes, F.col("x") == F.col("c")).select("c", depth.alias("d"), "name", "n_bytes")
-    return cut(placed), sizes.select("c", (F.col("m") + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("n"))
+    placed = rows.join(sizes, F.col("x") == F.col("c")).select("c", depth.alias("d"), "name", "n_bytes", turns_of.alias("n"))
+    return cut(placed), sizes.select("c", turns_of.alias("n"))
+
+
+def _digested(names: Column) -> Column:
+    return F.unhex(F.sha2(names, 256))
 
 
 def prefix_names(turns: DataFrame) -> DataFrame:
-    """``c, d, prefix``: equal for conversations whose first d turns have equal names, from ``c, d, name`` rows.
-
-    ``tail`` of d is the name of the block that ends there, of the length of d's lowest set bit."""
-    blocks = turns.select("c", (F.col("d") - 1).alias("j"), "name")
-    tails, size = [], 1
-    while True:
-        tails.append(blocks.where("j % 2 = 0").select("c", ((F.col("j") + 1) * size).alias("d"), F.col("name").alias("tail")))
-        half = lambda k: F.max(F.when(F.col("j") % 2 == k, F.col("name")))
-        pairs = blocks.groupBy("c", F.shiftright("j", 1).alias("k")).agg(half(0).alias("left"), half(1).alias("right"))
-        pairs = cut(pairs.where("left is not null and right is not null").withColumnRenamed("k", "j"))
-        if pairs.isEmpty():
+    """``c, d, n, n_bytes, prefix``: equal for conversations whose first d turns have equal names, from
+    ``c, d, name, n_bytes, n`` rows.
+
+    ``tail`` is the name of the block that ends at ``e``, of the length of e's lowest set bit."""
+    deepest = turns.agg(F.max("d")).first()[0] or 0
+    blocks, tails = turns.select("c", (F.col("d") - 1).alias("j"), "name", "n_bytes", "n"), []
+    for size in (1 << k for k in range(max(1, deepest.bit_length()))):
+        tails.append(blocks.where("j % 2 = 0").select("c", ((F.col("j") + 1) * size).alias("e"), F.lit(size).cast("long").alias("size"), F.col("name").alias("tail"), "n_bytes", "n"))
+        if 2 * size > deepest:
             break
-        blocks, size = _named(pairs, ["left", "right"]), 2 * size
-    tails = cut(reduce(DataFrame.unionByName, tails).withColumn("bits", F.bit_count("d")))
-    done = [tails.where("bits = 1").select("c", "d", F.col("tail").alias("prefix"))]
-    for bits in range(2, (tails.agg(F.max("bits")).first()[0] or 1) + 1):
-        head = done[-1].select(F.col("c").alias("head_c"), F.col("d").alias("head_d"), F.col("prefix").alias("head"))
-        rest = F.col("d").bitwiseAND(F.col("d") - 1)
-        rows = tails.where(F.col("bits") == bits).withColumn("rest", rest).join(head, (F.col("c") == F.col("head_c")) & (F.col("rest") == F.col("head_d")))
-        rows = cut(rows.select("c", "d", F.col("d").alias("depth"), "head", "tail"))
-        done.append(_named(rows, ["depth", "head", "tail"]).withColumnRenamed("name", "prefix"))
-    return reduce(DataFrame.unionByName, done)
+        half = lambda k, c: F.max(F.when(F.col("j") % 2 == k, F.col(c)))
+        pairs = blocks.groupBy("c", F.shiftright("j", 1).alias("k")).agg(half(0, "name").alias("left"), half(1, "name").alias("right"), half(1, "n_bytes").alias("n_bytes"), F.max("n").alias("n"))
+        blocks = cut(pairs.where("right is not null").select("c", F.col("k").alias("j"), _digested(F.concat("left", "right")).alias("name"), "n_bytes", "n"))
+    last = F.least(F.col("e") + F.col("size") - 1, F.col("n"))
+    reached = reduce(DataFrame.unionByName, tails).withColumn("from", F.explode(F.sequence("e", last, F.lit(STRETCH).cast("long"))))
+    reached = reached.withColumn("d", F.explode(F.sequence("from", F.least(F.col("from") + STRETCH - 1, last))))
+    own = F.max(F.when(F.col("e") == F.col("d"), F.col("n_bytes")))
+    found = reached.groupBy("c", "d").agg(F.max("n").alias("n"), own.alias("n_bytes"), F.array_sort(F.collect_list(F.struct("e", "tail"))).alias("blocks"))
+    joined = F.aggregate("blocks", F.lit(b""), lambda names, block: F.concat(names, block.tail))
+    return found.select("c", "d", "n", "n_bytes", _digested(joined).alias("prefix"))
 
 
 def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +152,9 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     their own; an empty table gives an empty result (no root); other columns are ignored.
     """
     # SQL's numbering needs rows by (c, d); depth 0 is the root, of which every conversation is a member.
-    turns, sizes = rebuilt(_named(ordered_turns(small_batches(conversations)), ["turn_key"]))
-    names = prefix_names(turns.select("c", "d", "name")).withColumnsRenamed({"c": "name_c", "d": "name_d"})
-    rows = turns.drop("name").join(names, (F.col("c") == F.col("name_c")) & (F.col("d") == F.col("name_d"))).select("c", "d", "prefix", "n_bytes")
-    rows = rows.unionByName(sizes.select("c", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("n_bytes")))
-    lengths = sizes.withColumnsRenamed({"c": "size_c"})
-    rows = cut(rows.join(lengths, F.col("c") == F.col("size_c")).drop("size_c"))
+    turns, sizes = rebuilt(cut(ordered_turns(small_batches(conversations)).withColumnRenamed("turn_key", "name")))
+    roots = sizes.select("c", F.lit(0).cast("long").alias("d"), "n", F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("prefix"))
+    rows = cut(prefix_names(turns).unionByName(roots))
 
     nodes = rows.groupBy(F.col("d").alias("node_d"), F.col("prefix").alias("node_prefix")).agg(
         F.min("c").alias("first"), (F.max("n_bytes") * (F.count(F.lit(1)) - 1)).alias("saved"), (F.max("n") == F.col("d")).alias("leaf")
@@ -169,6 +165,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         .select("c", "d", "n", "first", "own", F.when(F.col("own"), F.col("saved")).otherwise(0).alias("saved"), (F.col("own") & F.col("leaf")).cast("long").alias("leaf"))
         .withColumn("stretch", F.floor(F.col("d") / STRETCH))
     )
+    node = F.concat_ws(":", "conv_id", "depth")
+    ends = ends_digests(rows.where("d = n").select(F.concat_ws(":", "first", "d").alias("node"), "c")).withColumnRenamed("node", "end_node")
     # The depth up to which the nodes are others', and the last of these others: the own nodes' parent.
     others = F.when(~F.col("own"), F.struct("d", "first"))
     parts = rows.groupBy("c", "stretch").agg(F.max(others).alias("hang"), F.sum("saved").alias("part"), F.sum("leaf").alias("leaves"))
@@ -191,7 +189,5 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         F.sum("leaves").alias("n_leaves"),
         F.sum(F.col("inside") + F.col("later")).alias("saved_tokens"),
     )
-    node = F.concat_ws(":", "conv_id", "depth")
-    ends = ends_digests(rows.where("d = n").select(F.concat_ws(":", "first", "d").alias("node"), "c")).withColumnRenamed("node", "end_node")
     none = F.lit(hashlib.sha256(b"").hexdigest())
     return trie.join(ends, node == F.col("end_node"), "left").drop("end_node").withColumn("ends_sha256", F.coalesce("ends_sha256", none))

@@ -83,3 +83,12 @@ def test_empty(spark):
 def test_role_and_text_do_not_run_together(spark, text):
     rows = [(5, 0, f"a{text}", "b"), (10, 0, "a", f"{text}b")]
     assert got(spark, rows) == brute(rows)
+
+
+def test_a_round_is_a_few_jobs(spark):
+    rows = [(c, t, "user", f"turn {t % 7}", "x", "y") for c in (0, 1, 2, 5) for t in range(37 + c)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.sparkContext.setJobGroup("trie", "trie")
+    assert T.prefix_trie(df).count() > 37
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("trie")) < 80
