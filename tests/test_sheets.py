@@ -1,5 +1,8 @@
 """Sections, sheets and comparisons on hand-made items."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from sheetmill.operators import compare as C
@@ -85,3 +88,15 @@ def test_masks_are_dealt_by_their_pixels(spark, monkeypatch):
     found = D.layout_masks(spark, "/root/testdata/sf0.001")
     n = B.table(spark, "/root/testdata/sf0.001", "embeddings").count()
     assert f", {-(-n * 64 // 640)}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("query", "decode_generic_group".split())
+def test_queries_on_bubbles_deal_their_lines(spark, monkeypatch, query):
+    from sheetmill.plans import bindings as B
+    from sheetmill.plans import catalog
+
+    monkeypatch.setattr(B, "TASK_ROWS", 500, raising=False)
+    sf = "/root/testdata/sf0.001"
+    n = -(-B.table(spark, sf, "lineitem").count() // 500)
+    plan = catalog.QUERIES[query](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(l_orderkey#\d+L?, {n}\), REPARTITION_BY_NUM", plan)
