@@ -90,7 +90,7 @@ def test_masks_are_dealt_by_their_pixels(spark, monkeypatch):
     assert f", {-(-n * 64 // 640)}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("query", "decode_generic_group flat_status_histogram flatten_items ground_truth_pivot ground_truth_unpivot identity_value_string only_in_a sheet_answer_rollup item_status_histogram".split())
+@pytest.mark.parametrize("query", "decode_generic_group flat_status_histogram flatten_items ground_truth_pivot ground_truth_unpivot identity_value_string only_in_a only_in_b sheet_answer_rollup true_false_dense item_status_histogram ranked_relabel error_listing".split())
 def test_queries_on_bubbles_deal_their_lines(spark, monkeypatch, query):
     from sheetmill.plans import bindings as B
     from sheetmill.plans import catalog
