@@ -137,7 +137,7 @@ def compact_answers(spark, sf):
 
 def sectioned_decode(spark, sf):
     """Identity, true/false and short answers of all sheets, each section by its rules."""
-    items = Q._slots(Q._items(spark, sf)).join(B.bubbles(spark, sf).select("image_id", "section").distinct(), "image_id")
+    items = Q._slots(spark, sf, Q._items(spark, sf)).join(B.bubbles(spark, sf).select("image_id", "section").distinct(), "image_id")
     slot, part = F.col("slot"), F.pmod(F.col("slot") - 1, F.lit(6))
     field = F.when(slot <= 8, F.format_string("sbd_%02d", slot)).when(slot <= 12, F.format_string("exam_code_%02d", slot - 8))
     statement = F.format_string("II_%03d_%s", (F.floor((slot - 1) / 4) + 1).cast("int"), F.chr(F.lit(97) + F.pmod(slot - 1, F.lit(4))))

@@ -162,7 +162,9 @@ def item_status_histogram(spark, sf):
 # -- fixed slots ------------------------------------------------------------------------------
 
 
-def _slots(items: DataFrame) -> DataFrame:
+def _slots(spark, sf, items: DataFrame) -> DataFrame:
+    """Items numbered by sheet.  Sheets are dealt into as many tasks as the lines, since Spark's choice goes by compressed bytes."""
+    items = items.repartition(_tasks(spark, sf), "image_id")
     return items.withColumn("slot", F.row_number().over(Window.partitionBy("image_id").orderBy("item_id")))
 
 
@@ -171,13 +173,13 @@ def _images(spark, sf):
 
 
 def identity_value_string(spark, sf):
-    rows = _slots(_items(spark, sf)).withColumn("item_id", F.format_string("sbd_%02d", "slot"))
+    rows = _slots(spark, sf, _items(spark, sf)).withColumn("item_id", F.format_string("sbd_%02d", "slot"))
     return H.identity_values(rows, _images(spark, sf), "sbd", 8)
 
 
 def true_false_dense(spark, sf):
     name = F.format_string("II_%03d_%s", (F.floor((F.col("slot") - 1) / 4) + 1).cast("int"), F.chr(F.lit(97) + F.pmod(F.col("slot") - 1, F.lit(4))))
-    rows = _slots(_items(spark, sf)).withColumn("item_id", name)
+    rows = _slots(spark, sf, _items(spark, sf)).withColumn("item_id", name)
     return H.true_false_answers(rows, _images(spark, sf))
 
 
@@ -187,7 +189,7 @@ def short_answer_compact(spark, sf):
     place = F.ascii("selected") - 65
     mark = F.when(part == 0, "-").when(part == 1, F.concat(F.lit("after_"), (F.pmod(place, F.lit(5)) + 1).cast("string"))).otherwise(F.pmod(place, F.lit(10)).cast("string"))
     rows = (
-        _slots(_items(spark, sf))
+        _slots(spark, sf, _items(spark, sf))
         .withColumn("item_id", F.concat(F.format_string("III_%03d_", (F.floor((F.col("slot") - 1) / 6) + 1).cast("int")), suffix))
         .withColumn("selected", F.when(F.col("selected").isNotNull(), mark))
     )
@@ -256,7 +258,7 @@ ENOUGH = 3
 
 def _method(spark, sf, filled: float, margin: float) -> DataFrame:
     """An extraction in the form of 80 keys a sheet; sheets with too few accepted items failed."""
-    items = _slots(_items(spark, sf, filled, margin))
+    items = _slots(spark, sf, _items(spark, sf, filled, margin))
     accepted = F.count(F.when(F.col("status") == "accepted", 1)).over(Window.partitionBy("image_id"))
     items = items.withColumn("accepted", accepted).where(F.col("accepted") >= ENOUGH)
     key = F.get(H.all_keys(), F.pmod((F.col("slot") - 1) * 7, F.lit(80)))
@@ -278,7 +280,7 @@ def _method_b(spark, sf):
 
 def _truth(spark, sf):
     best = F.min(F.struct((-F.col("darkness_score")).alias("m"), "spec_ord", "choice"))
-    items = _slots(B.bubbles(spark, sf).groupBy("image_id", "item_id").agg(best.alias("b")))
+    items = _slots(spark, sf, B.bubbles(spark, sf).groupBy("image_id", "item_id").agg(best.alias("b")))
     key = F.get(H.all_keys(), F.pmod((F.col("slot") - 1) * 7, F.lit(80)))
     return items.select("image_id", key.alias("key"), F.col("b.choice").alias("expected"))
 
