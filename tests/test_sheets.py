@@ -100,3 +100,20 @@ def test_queries_on_bubbles_deal_their_lines(spark, monkeypatch, query):
     n = -(-B.table(spark, sf, "lineitem").count() // 500)
     plan = catalog.QUERIES[query](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert re.search(rf"hashpartitioning\(l_orderkey#\d+L?, {n}\), REPARTITION_BY_NUM", plan)
+
+
+@pytest.mark.parametrize("query", "decode_generic_group flat_status_histogram flatten_items ground_truth_pivot ground_truth_unpivot identity_value_string only_in_a sheet_answer_rollup item_status_histogram ranked_relabel error_listing".split())
+def test_queries_on_bubbles_broadcast_no_table(spark, query):
+    from sheetmill.plans import catalog
+
+    plan = catalog.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
+def test_the_errors_that_are_written_broadcast_no_table(spark, monkeypatch):
+    from sheetmill.plans import file_queries as Q
+
+    plans, write = [], Q.O.write_csv
+    monkeypatch.setattr(Q.O, "write_csv", lambda rows, *a: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(rows, *a)))
+    Q.csv_errors_file(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "BroadcastExchange" not in plans[0]
